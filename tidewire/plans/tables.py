@@ -20,6 +20,8 @@ from tidewire.sources import paths
 # Partition values of dead-letter rows whose schema name is absent or unknown.
 NO_SCHEMA = "__none__"
 OTHER_SCHEMA = "__other__"
+# Further partition columns of tables written in idempotent mode.
+BATCH_PARTITIONS = ("query_id", "batch_id")
 
 
 @dataclass(frozen=True)
@@ -152,11 +154,11 @@ def append(
     if batch is None:
         rows.write.mode("append").partitionBy(*keys).parquet(target)
         return
-    rows = rows.withColumn("query_id", F.lit(batch[0])).withColumn("batch_id", F.lit(batch[1]))
+    rows = rows.select("*", *[F.lit(v).alias(c) for c, v in zip(BATCH_PARTITIONS, batch)])
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys, "query_id", "batch_id")
+        .partitionBy(*keys, *BATCH_PARTITIONS)
         .parquet(target)
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -74,6 +75,10 @@ def validate(specs: Sequence[StreamSpec]) -> list[StreamSpec]:
     """Names, topics, targets and checkpoints must all be distinct."""
     if not specs:
         raise ValueError("the registry is empty")
+    for s in specs:
+        # Schema names become folder names.
+        if not re.fullmatch(r"[A-Za-z]\w*", s.schema_name, re.ASCII):
+            raise ValueError(f"not a message name: {s.schema_name!r}")
     for field in ("schema_name", "topic", "target", "checkpoint"):
         values = [getattr(s, field).rstrip("/") for s in specs]
         if "" in values:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.headers import build_headers
@@ -74,3 +74,17 @@ def two_topic_records(events: DataFrame) -> DataFrame:
     name = F.when(note, F.lit("Notification")).otherwise(F.lit("Event"))
     topic = F.when(note, F.lit(NOTIFICATION_TOPIC)).otherwise(F.lit(EVENT_TOPIC))
     return events.select(*_record(_good_headers(name), _value(iso_utc(F.col("ts")), F.col("event_type")), topic))
+
+
+def hourly_counters(events: DataFrame) -> DataFrame:
+    """One counter per event type: the running sum of hourly values, reset every 200 hours seen."""
+    hourly = events.groupBy("event_type", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("value").alias("v"))
+    by_type = Window.partitionBy("event_type").orderBy("ts")
+    numbered = hourly.withColumn("run", F.floor((F.row_number().over(by_type) - 1) / 200))
+    running = Window.partitionBy("event_type", "run").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return numbered.select(
+        F.lit("events_value_total").alias("metric"),
+        F.create_map(F.lit("event_type"), F.col("event_type")).alias("labels"),
+        "ts",
+        F.sum("v").over(running).alias("value"),
+    )
