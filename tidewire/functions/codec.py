@@ -73,14 +73,22 @@ def protobuf_runtime() -> bool:
     return True
 
 
-def _message_class(descriptor: bytes, message: str):
-    from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
+def _message_loader(descriptor: bytes, message: str):
+    """A function that tasks call for the message class.
 
-    files = descriptor_pb2.FileDescriptorSet.FromString(descriptor)
-    pool = descriptor_pool.DescriptorPool()
-    for proto in files.file:
-        pool.Add(proto)
-    return message_factory.GetMessageClass(pool.FindMessageTypeByName(message))
+    It is a closure, so it travels with the task and tasks need not have this
+    package.
+    """
+
+    def load():
+        from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
+
+        pool = descriptor_pool.DescriptorPool()
+        for proto in descriptor_pb2.FileDescriptorSet.FromString(descriptor).file:
+            pool.Add(proto)
+        return message_factory.GetMessageClass(pool.FindMessageTypeByName(message))
+
+    return load
 
 
 @dataclass(frozen=True)
@@ -91,13 +99,13 @@ class ArrowProtobufCodec:
 
     def decode(self, df: DataFrame, value: str, spec: StreamSpec, out: str = "payload") -> DataFrame:
         fields = payload_type(spec)
-        descriptor, message, names = self.descriptor, spec.message, fields.names
+        names, load = fields.names, _message_loader(self.descriptor, spec.message)
         wire = T.StructType([*fields.fields, T.StructField("_read", T.BooleanType())])
 
         def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             from google.protobuf.message import DecodeError
 
-            cls = _message_class(descriptor, message)
+            cls = load()
 
             def fetch(raw):
                 if raw is None:
@@ -118,10 +126,10 @@ class ArrowProtobufCodec:
         return parsed.withColumn(out, F.when(F.col(out)["_read"], body))
 
     def encode(self, payload: Column, spec: StreamSpec) -> Column:
-        descriptor, message = self.descriptor, spec.message
+        load = _message_loader(self.descriptor, spec.message)
 
         def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-            cls = _message_class(descriptor, message)
+            cls = load()
             for batch in batches:
                 records = batch.to_dict("records")
                 yield pd.Series([cls(**r).SerializeToString() for r in records], dtype=object)

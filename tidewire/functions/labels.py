@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -72,13 +72,22 @@ def labelmap(prefix: str, labels: Column | str = "labels", keep: str = "") -> Co
     start = prefix + keep
     chosen = F.map_filter(column, lambda k, v: k.startswith(start) & (F.length(k) > len(start)))
     copies = F.transform_keys(chosen, lambda k, v: F.substr(k, F.lit(len(prefix) + 1)))
-    rest = F.map_filter(column, lambda k, v: ~F.map_contains_key(copies, k))
-    return F.map_concat(rest, copies)
+    replaced = lambda k: k.startswith(keep) & (F.length(k) > len(keep)) & F.map_contains_key(column, F.concat(F.lit(prefix), k))
+    return F.map_concat(F.map_filter(column, lambda k, v: ~replaced(k)), copies)
 
 
-def replace_label(source: str, target: str, labels: Column | str = "labels") -> Column:
-    """Set ``target`` to the value of ``source``; an empty value removes the target."""
+def replace_labels(targets: Mapping[str, str], labels: Column | str = "labels") -> Column:
+    """Set each target label to the value of its source; an empty value removes the target.
+
+    ``targets`` maps sources to targets. No source may be a target, so all are
+    read from the labels as they came.
+    """
+    if set(targets) & set(targets.values()):
+        raise ValueError("a source label is also a target")
     column = F.col(labels) if isinstance(labels, str) else labels
-    value = F.coalesce(F.element_at(column, source), F.lit(""))
-    others = F.map_filter(column, lambda k, v: k != F.lit(target))
-    return F.when(value == "", others).otherwise(F.map_concat(others, F.create_map(F.lit(target), value)))
+    pairs = [
+        F.struct(F.lit(target).alias("key"), F.element_at(column, source).alias("value"))
+        for source, target in targets.items()
+    ]
+    added = F.map_from_entries(F.filter(F.array(*pairs), lambda p: F.coalesce(p["value"], F.lit("")) != ""))
+    return F.map_concat(F.map_filter(column, lambda k, v: ~k.isin(*targets.values())), added)

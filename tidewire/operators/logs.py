@@ -29,27 +29,26 @@ def join_partials(lines: DataFrame, chunk: Column | None = None) -> DataFrame:
     if chunk is None:
         chunk = F.col("block") if "block" in lines.columns else F.floor(F.col("line_no") / CHUNK_LINES)
     source = ["path", "stream"]
+    columns = [*source, "line_no", "ts", "log", "complete"]
     within = Window.partitionBy(*source, "chunk").orderBy("line_no")
     # Messages of a chunk are numbered by the full lines before them.
     ends = F.sum(F.when(F.col("partial"), 0).otherwise(1)).over(within.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = lines.select(*source, chunk.alias("chunk"), "line_no", "ts", "partial", "log").withColumn(
-        "message", F.coalesce(ends, F.lit(0))
-    )
-    pieces = _joined(numbered, [*source, "chunk", "message"]).withColumn(
-        "complete", ~F.col("partial")
+    numbered = (
+        lines.select(*source, chunk.alias("chunk"), "line_no", "ts", "partial", "log")
+        .withColumn("message", F.coalesce(ends, F.lit(0)))
+        .withColumn("alone", ~F.col("partial") & F.coalesce(~F.lag("partial").over(within), F.lit(False)))
     )
-    # The head of a chunk may go on from the chunk before; a tail without a full line is open.
+    # Most lines are a message of their own and need no grouping.
+    single = numbered.where("alone").withColumn("complete", F.lit(True))
+    pieces = _joined(numbered.where("not alone"), [*source, "chunk", "message"])
+    # The head of a chunk may go on from the chunk before, its tail may go on in the next.
     edge = (F.col("message") == 0) | ~F.col("complete")
     inner = pieces.where(~edge)
     between = Window.partitionBy(*source).orderBy("chunk", "message")
     closed = F.sum(F.when(F.col("complete"), 1).otherwise(0)).over(between.rowsBetween(Window.unboundedPreceding, -1))
-    # An edge that is followed by complete messages of its own chunk is closed by its own last line.
     outer = pieces.where(edge).withColumn("message", F.coalesce(closed, F.lit(0)))
-    joined = _joined(outer.withColumn("partial", ~F.col("complete")), [*source, "message"]).withColumn(
-        "complete", ~F.col("partial")
-    )
-    columns = [*source, "line_no", "ts", "log", "complete"]
-    return inner.select(*columns).unionByName(joined.select(*columns))
+    joined = _joined(outer.withColumn("partial", ~F.col("complete")), [*source, "message"])
+    return single.select(*columns).unionByName(inner.select(*columns)).unionByName(joined.select(*columns))
 
 
 def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +60,7 @@ def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         F.col("items")[0]["line_no"].alias("line_no"),
         F.col("items")[0]["ts"].alias("ts"),
-        F.element_at("items", -1)["partial"].alias("partial"),
+        (~F.element_at("items", -1)["partial"]).alias("complete"),
         F.array_join(F.transform("items", lambda i: i["log"]), "").alias("log"),
     )
 
@@ -71,13 +70,12 @@ def merge_json(logs: DataFrame, column: str = "log") -> DataFrame:
 
     Text that is not an object stays and has no fields.
     """
-    options = {"mode": "FAILFAST"}
-    del options
-    body = F.try_parse_json(F.col(column))
-    is_object = F.schema_of_variant(body).startswith("OBJECT")
-    fields = F.try_variant_get(body, "$", "map<string,string>")
-    return logs.withColumn("fields", F.when(is_object, fields)).withColumn(
-        column, F.when(F.col("fields").isNull(), F.col(column))
+    text = F.col(column)
+    # In brackets, text after the object makes the whole malformed or a second element.
+    objects = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>")
+    parsed = logs.withColumn("fields", objects)
+    return parsed.withColumn("fields", F.when(F.size("fields") == 1, F.get("fields", F.lit(0)))).withColumn(
+        column, F.when(F.col("fields").isNull(), text)
     )
 
 

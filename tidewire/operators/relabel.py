@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.labels import labelmap, replace_label
+from tidewire.functions.labels import labelmap, replace_labels
 
 # Pod labels that are copied, and where pod metadata goes.
 POD_LABEL_PREFIX = "__meta_kubernetes_pod_label_"
@@ -25,9 +25,8 @@ def relabel_pods(df: DataFrame, drop_meta: bool = False) -> DataFrame:
 
     ``drop_meta`` removes the ``__`` labels afterwards, as a store would.
     """
-    out = labelmap(POD_LABEL_PREFIX, keep=POD_LABEL_KEEP)
-    for source, target in POD_TARGETS.items():
-        out = replace_label(source, target, out)
+    out = df.withColumn("labels", labelmap(POD_LABEL_PREFIX, keep=POD_LABEL_KEEP))
+    out = out.withColumn("labels", replace_labels(POD_TARGETS))
     if drop_meta:
-        out = F.map_filter(out, lambda k, v: ~k.startswith("__"))
-    return df.withColumn("labels", out)
+        out = out.withColumn("labels", F.map_filter("labels", lambda k, v: ~k.startswith("__")))
+    return out

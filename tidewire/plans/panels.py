@@ -222,10 +222,9 @@ PANELS: tuple[Panel, ...] = (
     _operator("JVM GC Count", "jvm_gc_pause_seconds_count", **_RATE_5M),
 )
 
-# What the variables stand for when nothing is chosen.
+# What the variables stand for when nothing is chosen. The
+# namespace and the cluster have no such value: one of each must be chosen.
 ALL_VALUES = {
-    "kubernetes_namespace": ".*",
-    "strimzi_cluster_name": ".*",
     "topic": ".*",
     "consumergroup": ".*",
     "kafka_broker": ".*",

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,17 +173,17 @@ def open_table(spark: SparkSession, target: str) -> None:
 def read(spark: SparkSession, layout: Layout, *targets: str) -> DataFrame:
     """Rows of one or more tables of the same layout.
 
-    Folder tables are read by a single scan however many there are. The
-    partition columns stay available for pruning.
+    The partition columns stay available for pruning, which works through the
+    union of several tables.
     """
-    folders = [t for t in targets if is_folder(t)]
-    tables = [t for t in targets if not is_folder(t)]
-    frames = [spark.read.schema(layout.folder_schema).parquet(*folders)] if folders else []
-    frames += [with_partitions(spark.table(t).select(*layout.names), layout) for t in tables]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
-    return out
+
+    def one(target: str) -> DataFrame:
+        if is_folder(target):
+            return spark.read.schema(layout.folder_schema).parquet(target)
+        return with_partitions(spark.table(target).select(*layout.names), layout)
+
+    frames = [one(t) for t in targets]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def after(df: DataFrame, layout: Layout, moment: Column) -> DataFrame:

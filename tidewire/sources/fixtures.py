@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.headers import build_headers
+from tidewire.operators.naming import bean_text
 from tidewire.registry import EVENT_TOPIC, NOTIFICATION_TOPIC, iso_utc
 
 
@@ -88,3 +91,189 @@ def hourly_counters(events: DataFrame) -> DataFrame:
         "ts",
         F.sum("v").over(running).alias("value"),
     )
+
+
+# The scrape clock of the derived samples, and their dashboards' labels.
+SCRAPE_START = "2024-01-01 00:00:00"
+SCRAPE_SECONDS = 15
+SLOTS = 15
+RESOURCE_KINDS = (
+    "Kafka", "KafkaUser", "KafkaTopic", "KafkaConnect", "KafkaMirrorMaker2", "KafkaMirrorMaker", "KafkaBridge",
+    "KafkaConnector", "KafkaRebalance",
+)
+OPERATOR_CONTAINERS = ("user-operator", "topic-operator", "strimzi-cluster-operator")
+
+
+def _pick(values: Sequence[str], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+
+
+def scrape_samples(events: DataFrame, dashboard: str, metrics: Sequence[str]) -> DataFrame:
+    """Samples of the given metrics as one dashboard's targets would report them.
+
+    Every 15 events are one scrape, 15 seconds after the one before, of 15
+    targets: five topics by three partitions. Values rise by 500 a scrape and
+    start over every 200 scrapes.
+    """
+    scrape, slot = F.expr(f"event_id div {SLOTS}"), F.col("event_id") % SLOTS
+    topic, partition = slot % 5, F.floor(slot / 5).cast("string")
+    pod = F.concat(F.lit("my-cluster-kafka-"), partition)
+    labels = {
+        "exporter": {
+            "namespace": F.lit("kafka"),
+            "strimzi_io_cluster": F.lit("my-cluster"),
+            "topic": F.concat(F.lit("topic-"), topic),
+            "partition": partition,
+            "consumergroup": F.concat(F.lit("group-"), topic % 2),
+        },
+        "broker": {
+            "namespace": F.lit("kafka"),
+            "strimzi_io_cluster": F.lit("my-cluster"),
+            "strimzi_io_name": F.lit("my-cluster-kafka"),
+            "kubernetes_pod_name": pod,
+            "pod": pod,
+            "container": F.lit("kafka"),
+            "persistentvolumeclaim": F.concat(F.lit("data-0-"), pod),
+            "listener": F.when(topic < 2, F.lit("plain-9092")).otherwise(F.lit("tls-9093")),
+            "topic": F.when(topic == 4, F.lit("")).otherwise(F.concat(F.lit("topic-"), topic)),
+            "partition": partition,
+        },
+        "operators": {
+            "kind": _pick(RESOURCE_KINDS, slot),
+            "container": _pick(OPERATOR_CONTAINERS, slot),
+            "replica": slot.cast("string"),
+        },
+    }[dashboard]
+    entries = [F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in labels.items()]
+    full = F.filter(F.array(*entries), lambda e: e["value"] != "")
+    rising = (scrape % 200) * 500 + F.col("value")
+    value = F.when(F.col("metric").endswith("_is_preferred"), (F.col("event_id") % 2).cast("double")).otherwise(rising)
+    clock = F.unix_micros(F.lit(SCRAPE_START).cast("timestamp")) + scrape * (SCRAPE_SECONDS * 1_000_000)
+    return events.select("event_id", "value", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric")).select(
+        "metric", F.map_from_entries(full).alias("labels"), F.timestamp_micros(clock).alias("ts"), value.alias("value")
+    )
+
+
+# One bean per kind of rule: domain, properties, attribute. ``{t}``, ``{p}`` and ``{n}`` are filled per event.
+BEANS = (
+    ("java.lang", "type=Memory", "HeapMemoryUsage", "used"),
+    ("java.lang", "type=Memory", "NonHeapMemoryUsage", "committed"),
+    ("java.lang", "type=MemoryPool, name=G1 {t} Gen", "Usage", "used"),
+    ("java.lang", "type=GarbageCollector, name=G1 {t}", "", "CollectionCount"),
+    ("java.lang", "type=GarbageCollector, name=G1 {t}", "", "CollectionTime"),
+    ("java.lang", "type=Threading", "", "ThreadCount"),
+    ("java.lang", "type=ClassLoading", "", "LoadedClassCount"),
+    ("kafka.server", "type=FetcherLagMetrics, name=ConsumerLag, clientId=replica-{p}, topic={t}, partition={n}", "", "Value"),
+    ("kafka.server", "type=Fetcher, name=MinFetchRate, clientId=replica-{p}, brokerHost=host-{n}, brokerPort=9091", "", "Value"),
+    ("kafka.server", "type=socket-server-metrics, cipher=AES-{n}, protocol=TLSv1.3, listener={t}, networkProcessor={p}", "", "connections"),
+    ("kafka.server", "type=socket-server-metrics, clientSoftwareName={t}, clientSoftwareVersion={n}.0, listener=TLS, networkProcessor={p}", "", "connections"),
+    ("kafka.server", "type=socket-server-metrics, listener={t}, networkProcessor={p}", "", "connection-count"),
+    ("kafka.server", "type=KafkaRequestHandlerPool, name=RequestHandlerAvgIdlePercent", "", "MeanRate"),
+    ("kafka.network", "type=SocketServer, name=NetworkProcessorAvgIdlePercent", "", "Value"),
+    ("kafka.network", "type=Processor, name=IdlePercent, networkProcessor={p}", "", "Value"),
+    ("kafka.network", "type=RequestMetrics, name=RequestsPerSec, request={t}, version={n}", "", "Count"),
+    ("kafka.server", "type=BrokerTopicMetrics, name=BytesInPerSec, topic={t}", "", "Count"),
+    ("kafka.server", "type=BrokerTopicMetrics, name=MessagesInPerSec", "", "Count"),
+    ("kafka.cluster", "type=Partition, name=UnderMinIsr, topic={t}, partition={n}", "", "Value"),
+    ("kafka.server", "type=DelayedOperationPurgatory, name=PurgatorySize, delayedOperation={t}", "", "Value"),
+    ("kafka.server", "type=ReplicaManager, name=LeaderCount", "", "Value"),
+    ("kafka.network", "type=RequestMetrics, name=TotalTimeMs, request={t}, version={n}", "", "Count"),
+    ("kafka.network", "type=RequestMetrics, name=TotalTimeMs, request={t}, version={n}", "", "99thPercentile"),
+    ("kafka.network", "type=RequestMetrics, name=LocalTimeMs, request={t}", "", "Count"),
+    ("kafka.network", "type=RequestMetrics, name=LocalTimeMs, request={t}", "", "95thPercentile"),
+    ("kafka.log", "type=LogFlushStats, name=LogFlushRateAndTimeMs", "", "Count"),
+    ("kafka.log", "type=LogFlushStats, name=LogFlushRateAndTimeMs", "", "999thPercentile"),
+    ("kafka.utils", "type=Throttler", "", "Other"),
+    ("kafka.cruisecontrol", "name=LoadMonitor.{t}", "", "Value"),
+)
+
+
+def beans(events: DataFrame) -> DataFrame:
+    """One raw bean attribute per event: ``event_id, bean, value``."""
+    index = (F.col("event_id") % len(BEANS) + 1).cast("int")
+
+    def part(position: int) -> Column:
+        return F.element_at(F.array(*[F.lit(b[position]) for b in BEANS]), index)
+
+    properties = part(1)
+    for mark, value in (("{t}", F.col("event_type")), ("{p}", (F.col("event_id") % 3).cast("string")), ("{n}", (F.col("user_id") % 7).cast("string"))):
+        properties = F.replace(properties, F.lit(mark), value)
+    text = bean_text(part(0), properties, part(3), F.col("value").cast("string"), part(2))
+    return events.select("event_id", text.alias("bean"), "value")
+
+
+def pod_targets(events: DataFrame) -> DataFrame:
+    """Samples as scraped, with the metadata labels of their pod."""
+    n = (F.col("user_id") % 5).cast("string")
+    labels = {
+        "__meta_kubernetes_namespace": F.lit("kafka"),
+        "__meta_kubernetes_pod_name": F.concat(F.lit("my-cluster-kafka-"), n),
+        "__meta_kubernetes_pod_node_name": F.concat(F.lit("node-"), n),
+        "__meta_kubernetes_pod_host_ip": F.concat(F.lit("10.0.0."), n),
+        "__meta_kubernetes_pod_label_strimzi_io_cluster": F.lit("my-cluster"),
+        "__meta_kubernetes_pod_label_strimzi_io_kind": _pick(RESOURCE_KINDS, F.col("event_id")),
+        "__meta_kubernetes_pod_label_app": F.lit("web"),
+        "namespace": F.col("event_type"),
+    }
+    pairs = [c for k, v in labels.items() for c in (F.lit(k), v)]
+    return events.select("event_id", F.lit("up").alias("metric"), F.create_map(*pairs).alias("labels"), "ts", "value")
+
+
+def _pod_path() -> Column:
+    n = (F.col("user_id") % 7).cast("string")
+    namespace = F.when(F.col("user_id") % 2 == 0, F.lit("kafka")).otherwise(F.lit("shop"))
+    key = F.concat(F.lit("web-"), n, F.lit("_"), namespace)
+    # The container id is 64 hexadecimal digits.
+    return F.concat(F.lit("/var/log/containers/"), key, F.lit("_main-"), F.md5(key), F.md5(key), F.lit(".log"))
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """One log line per event: plain text, JSON, or JSON that is cut off."""
+    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("event")))
+    log = (
+        F.when(F.col("event_id") % 11 == 0, F.lit('{"id":'))
+        .when(F.col("event_id") % 4 == 0, F.concat_ws(" ", F.lit("event"), F.col("event_id"), F.col("event_type")))
+        .otherwise(body)
+    )
+    stream = F.when(F.col("event_id") % 2 == 0, F.lit("stdout")).otherwise(F.lit("stderr"))
+    return events.select("event_id", _pod_path().alias("path"), "ts", stream.alias("stream"), log.alias("log"))
+
+
+def pods(events: DataFrame) -> DataFrame:
+    """Metadata of the pods whose number is not 6."""
+    number = F.col("user_id") % 7
+    namespace = F.when(F.col("user_id") % 2 == 0, F.lit("kafka")).otherwise(F.lit("shop"))
+    return events.where(number != 6).select(
+        namespace.alias("namespace"),
+        F.concat(F.lit("web-"), number.cast("string")).alias("pod_name"),
+        F.concat(F.lit("node-"), (number % 3).cast("string")).alias("node_name"),
+        F.when(number < 3, F.lit("front")).otherwise(F.lit("back")).alias("app"),
+    )
+
+
+def text_pieces(documents: DataFrame, size: int = 120) -> DataFrame:
+    """The lines of all documents as container logs, long lines cut into partial pieces.
+
+    A file per source. ``line_no`` orders the pieces of a file, ``block`` stands
+    for the split of the file they would be read from; a block ends in the
+    middle of a text.
+    """
+
+    def cut(line: Column) -> Column:
+        pieces = F.when(line == "", F.array(F.lit(""))).otherwise(
+            F.regexp_extract_all(line, F.lit("(?s).{1,%d}" % size), F.lit(0))
+        )
+        return F.transform(pieces, lambda p, i: F.struct(p.alias("log"), (i < F.size(pieces) - 1).alias("partial")))
+
+    pieces = documents.select(
+        F.concat(F.lit("/var/log/containers/"), F.col("source"), F.lit(".log")).alias("path"),
+        F.when(F.col("doc_id") % 2 == 0, F.lit("stdout")).otherwise(F.lit("stderr")).alias("stream"),
+        "doc_id",
+        F.timestamp_seconds(F.col("doc_id")).alias("ts"),
+        F.posexplode(F.flatten(F.transform(F.split("text", "\n"), cut))).alias("n", "piece"),
+    )
+    # A text has less than 2^31 pieces.
+    place = F.col("doc_id") * F.lit(2**31) + F.col("n")
+    return pieces.select(
+        "path", "stream", place.alias("line_no"), F.floor((place - 8) / (64 * 2**31)).alias("block"), "ts", "piece.partial", "piece.log"
+    )

@@ -7,24 +7,23 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.containers import parse_line
 
-RAW_COLUMNS = ("path", "block", "line_no", "value")
-
-
 def _located(lines: DataFrame) -> DataFrame:
-    """Where each line stands: its file, the split of the file, and its place in the split."""
+    """The file of each line, and the split of the file it was read from."""
     return lines.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_no"),
-        "value",
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """``path, block, line_no, ts, stream, partial, log``; a line of unknown form keeps its text."""
-    found = raw.withColumn("line", parse_line(F.col("value")))
+    """``path, block, line_no, ts, stream, partial, log``; a line of unknown form keeps its text.
+
+    A split is read in order by one task, so ``line_no`` orders its lines.
+    """
+    found = raw.withColumn("line_no", F.monotonically_increasing_id()).withColumn("line", parse_line(F.col("value")))
     return found.select(
-        *RAW_COLUMNS[:3],
+        "path",
+        "block",
+        "line_no",
         F.col("line.ts").alias("ts"),
         F.coalesce("line.stream", F.lit("stdout")).alias("stream"),
         F.coalesce("line.partial", F.lit(False)).alias("partial"),
@@ -38,7 +37,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tail(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of log lines. The checkpoint of the query remembers the files that were read.
+    """A stream of raw lines; ``parsed`` is for its micro-batches.
 
     A file is read once, when it appears, so logs should arrive as rotated,
     finished files.
@@ -46,7 +45,36 @@ def tail(spark: SparkSession, folder: str, files_per_trigger: int | None = None)
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return parsed(_located(reader.text(folder)))
+    return _located(reader.text(folder))
+
+
+def collect_new(
+    spark: SparkSession, folder: str, target: str, checkpoint: str, files_per_trigger: int | None = None
+) -> None:
+    """Append the lines of all files not read before, then stop.
+
+    The checkpoint remembers the files that were read. Each micro-batch has a
+    partition of its own, so one that runs again replaces what it wrote.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (
+            parsed(batch)
+            .withColumn("batch_id", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(target)
+        )
+
+    (
+        tail(spark, folder, files_per_trigger)
+        .writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+        .awaitTermination()
+    )
 
 
 def write_streams(logs: DataFrame, target: str, prefix: str = "") -> None:
