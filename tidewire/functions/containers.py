@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The two line formats and the file name of a container's log.
-CRI_LINE = r"^([^ ]+) (stdout|stderr) ([^ ]*) ?(.*)$"
+# The JSON line format, and the file name of a container's log.
 DOCKER_FIELDS = "log STRING, stream STRING, time STRING"
-LOG_FILE = r"([^/_]+)_([^_]+)_(.+)-([0-9a-f]{64})\.log$"
+LOG_FILE = r"[^/_]+_[^/_]+_[^/]+-[0-9a-f]{64}\.log$"
+ID_LENGTH = len("-.log") + 64
 
 
 def parse_line(line: Column) -> Column:
@@ -27,16 +27,21 @@ def parse_line(line: Column) -> Column:
         (~whole).alias("partial"),
         text.alias("log"),
     )
+    # Time, stream and flags have no spaces; the rest is the text.
+    words = F.split(line, " ", 4)
+    is_cri = F.get(words, F.lit(1)).isin("stdout", "stderr") & (F.size(words) >= 3)
     from_cri = F.struct(
-        F.try_to_timestamp(F.regexp_extract(line, CRI_LINE, 1)).alias("ts"),
-        F.regexp_extract(line, CRI_LINE, 2).alias("stream"),
-        F.array_contains(F.split(F.regexp_extract(line, CRI_LINE, 3), ":"), "P").alias("partial"),
-        F.regexp_extract(line, CRI_LINE, 4).alias("log"),
+        F.try_to_timestamp(words[0]).alias("ts"),
+        words[1].alias("stream"),
+        F.array_contains(F.split(words[2], ":"), "P").alias("partial"),
+        F.coalesce(F.get(words, F.lit(3)), F.lit("")).alias("log"),
     )
-    return F.when(line.startswith("{") & docker["log"].isNotNull(), from_docker).when(line.rlike(CRI_LINE), from_cri)
+    return F.when(line.startswith("{") & docker["log"].isNotNull(), from_docker).when(is_cri, from_cri)
 
 
 def pod_of(path: Column) -> list[Column]:
     """``namespace, pod_name, container`` from the name of a log file; NULL when it has another form."""
-    parts = {"namespace": 2, "pod_name": 1, "container": 3}
-    return [F.when(path.rlike(LOG_FILE), F.regexp_extract(path, LOG_FILE, i)).alias(n) for n, i in parts.items()]
+    words = F.split(F.substring_index(path, "/", -1), "_", 3)
+    container = F.left(words[2], F.length(words[2]) - ID_LENGTH)
+    parts = {"namespace": words[1], "pod_name": words[0], "container": container}
+    return [F.when(path.rlike(LOG_FILE), part).alias(name) for name, part in parts.items()]

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from tidewire.functions.labels import entries, label
 
 
-def _keys(by: Sequence[str]) -> list[Column]:
-    return [label(name).alias(name) for name in by]
+def _keys(series: DataFrame, by: Sequence[str]) -> list[Column]:
+    return [F.col(name) if name in series.columns else label(name).alias(name) for name in by]
 
 
 def sum_by(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum per evaluation time and label values."""
-    return series.groupBy("ts", *_keys(by)).agg(F.sum("value").alias("value"))
+    return series.groupBy("ts", *_keys(series, by)).agg(F.sum("value").alias("value"))
 
 
 def count_by(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return series.groupBy("ts", *_keys(by)).agg(F.count("value").cast("double").alias("value"))
+    return series.groupBy("ts", *_keys(series, by)).agg(F.count("value").cast("double").alias("value"))
 
 
 def scaled(series: DataFrame, factor: float) -> DataFrame:

@@ -61,11 +61,10 @@ REBALANCER_RULES: tuple[Rule, ...] = (
 )
 
 
-def bean_text(domain: Column, properties: Column, attribute: Column, value: Column, keys: Column | None = None) -> Column:
-    """The text rules are matched against: ``domain<properties><keys>attribute: value``."""
+def bean_text(domain: Column, properties: Column, attribute: Column, keys: Column | None = None) -> Column:
+    """The text rules are matched against, up to the value: ``domain<properties><keys>attribute``."""
     return F.concat(
-        domain, F.lit("<"), properties, F.lit("><"), F.lit("") if keys is None else keys, F.lit(">"),
-        attribute, F.lit(": "), value,
+        domain, F.lit("<"), properties, F.lit("><"), F.lit("") if keys is None else keys, F.lit(">"), attribute
     )
 
 
@@ -92,8 +91,8 @@ def _labels(rule: Rule, text: Column) -> Column:
     return F.map_from_entries(full)
 
 
-def normalize(df: DataFrame, rules: Sequence[Rule] = BROKER_RULES, text: str = "bean") -> DataFrame:
-    """Add ``metric``, ``labels`` and ``kind``; rows that no rule matches are dropped.
+def name_rows(df: DataFrame, rules: Sequence[Rule] = BROKER_RULES, text: str = "bean") -> DataFrame:
+    """Add ``metric``, ``labels`` and ``kind`` row by row; rows that no rule matches are dropped.
 
     The number of the first matching rule is found once. Name and labels then
     evaluate the groups of that rule only. Names are in lower case.
@@ -117,3 +116,17 @@ def normalize(df: DataFrame, rules: Sequence[Rule] = BROKER_RULES, text: str = "
         by_rule(lambda r: _labels(r, column)).alias("labels"),
         by_rule(lambda r: F.lit(r.kind)).alias("kind"),
     )
+
+
+def normalize(df: DataFrame, rules: Sequence[Rule] = BROKER_RULES, bean: str = "bean") -> DataFrame:
+    """``name_rows`` for a table in which the same beans occur again and again.
+
+    Some thirty patterns per row are far dearer than a scan. A name does not
+    depend on the value, so the patterns run once per distinct bean, and a join
+    brings the names back. Adaptive execution sends the names to all tasks when
+    they measure small, and otherwise splits beans that occur very often.
+    ``bean`` is the text without a value.
+    """
+    # The rules see a text that goes on with ": " and the value.
+    beans = df.select(bean).distinct().withColumn("text", F.concat(F.col(bean), F.lit(": ")))
+    return df.join(name_rows(beans, rules, "text").drop("text"), bean)

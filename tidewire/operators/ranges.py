@@ -10,11 +10,16 @@ windows that overlap them, and a series that holds most of the samples is
 spread over its chunks. A store keeps at most one sample per series and
 millisecond, which bounds a chunk.
 
+A series is known by a 128-bit hash of its metric and labels. The labels
+themselves are far larger than a sample, so only those a caller keeps are
+shuffled: none for a plain sum, the ``by`` labels for a grouped one.
+
 Windows are open on the left: ``(t - window, t]``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
@@ -28,6 +33,25 @@ LOOKBACK = timedelta(minutes=5)
 
 _MICROS = 1_000_000
 
+# Columns that name a series.
+SERIES = ("series_a", "series_b")
+
+Keep = Mapping[str, Column] | None
+
+
+def series_id() -> list[Column]:
+    """Hash of the metric and all labels, whatever the order of the map."""
+    pairs = entries("labels")
+    return [
+        F.xxhash64("metric", pairs).alias(SERIES[0]),
+        F.xxhash64(F.lit("series"), pairs, "metric").alias(SERIES[1]),
+    ]
+
+
+def _kept(keep: Keep) -> dict[str, Column]:
+    """What travels with a sample: by default the metric and all labels, in key order."""
+    return {"metric": F.col("metric"), "pairs": entries("labels")} if keep is None else dict(keep)
+
 
 def _micros(span: timedelta) -> int:
     return span // timedelta(microseconds=1)
@@ -64,7 +88,7 @@ class Grid:
         return cls(moment, moment, timedelta(seconds=1))
 
 
-def _chunked(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None) -> DataFrame:
+def _chunked(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None, keep: Keep) -> DataFrame:
     """Samples that some window sees, once per chunk, with the neighbours they have there.
 
     Adds ``at`` (microseconds from the grid start), the index range ``lo..hi``
@@ -80,7 +104,7 @@ def _chunked(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta
         samples.where(F.col("ts") > F.timestamp_micros(F.lit(first)))
         .where(F.col("ts") <= F.timestamp_micros(F.lit(last)))
         .where(F.col("value").isNotNull())
-        .select("metric", entries("labels").alias("series"), at.alias("at"), "value")
+        .select(*series_id(), *[c.alias(n) for n, c in _kept(keep).items()], at.alias("at"), "value")
         .withColumn("lo", _first_index(F.col("at"), step))
         .withColumn("hi", F.least(_last_index(F.col("at") + width, step), F.lit(points - 1)))
         .where("lo <= hi")
@@ -88,7 +112,7 @@ def _chunked(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta
         .withColumn("lo", F.greatest("lo", F.col("chunk") * per_chunk))
         .withColumn("hi", F.least("hi", F.col("chunk") * per_chunk + (per_chunk - 1)))
     )
-    order = Window.partitionBy("metric", "series", "chunk").orderBy("at", "value")
+    order = Window.partitionBy(*SERIES, "chunk").orderBy("at", "value")
     return (
         seen.withColumn("before", F.lag(F.struct("at", "value")).over(order))
         .withColumn("next_at", F.lead("at").over(order))
@@ -123,45 +147,57 @@ def _indexes(lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi))
 
 
-def _result(df: DataFrame, grid: Grid, value: Column) -> DataFrame:
+def _result(df: DataFrame, grid: Grid, value: Column, keep: Keep) -> DataFrame:
     start, step = _epoch_micros(grid.start), _micros(grid.step)
+    if keep is None:
+        names = [F.col("metric"), F.map_from_entries("pairs").alias("labels")]
+    else:
+        names = [F.col(c) for c in (*SERIES, *keep)]
     return df.select(
-        "metric",
-        F.map_from_entries("series").alias("labels"),
-        F.timestamp_micros(F.lit(start) + F.col("i") * F.lit(step)).alias("ts"),
-        value.alias("value"),
+        *names, F.timestamp_micros(F.lit(start) + F.col("i") * F.lit(step)).alias("ts"), value.alias("value")
     )
 
 
-def _newest(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None) -> DataFrame:
+def _newest(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None, keep: Keep) -> DataFrame:
     """One row per series and evaluation time: the newest sample of the window."""
-    rows = _chunked(samples, grid, window, chunk)
+    rows = _chunked(samples, grid, window, chunk, keep)
     return rows.withColumn("i", F.explode(_indexes(F.col("lo"), _newest_until(_micros(grid.step)))))
 
 
 def instant(
-    samples: DataFrame, grid: Grid, lookback: timedelta = LOOKBACK, chunk: timedelta | None = None
+    samples: DataFrame,
+    grid: Grid,
+    lookback: timedelta = LOOKBACK,
+    chunk: timedelta | None = None,
+    keep: Keep = None,
 ) -> DataFrame:
-    """The newest sample of each series within the lookback."""
-    return _result(_newest(samples, grid, lookback, chunk), grid, F.col("value"))
+    """The newest sample of each series within the lookback.
+
+    Like the other range functions it gives ``metric, labels, ts, value``. With
+    ``keep`` it gives the columns that name a series, the kept ones, ``ts`` and
+    ``value``.
+    """
+    return _result(_newest(samples, grid, lookback, chunk, keep), grid, F.col("value"), keep)
 
 
-def irate(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None = None) -> DataFrame:
+def irate(
+    samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None = None, keep: Keep = None
+) -> DataFrame:
     """Per-second rate between the two newest samples of the window."""
     step, width = _micros(grid.step), _micros(window)
     before = F.col("before")
-    pairs = _newest(samples, grid, window, chunk).where(before["at"] > F.col("i") * step - width)
+    pairs = _newest(samples, grid, window, chunk, keep).where(before["at"] > F.col("i") * step - width)
     rise = F.when(F.col("value") < before["value"], F.col("value")).otherwise(F.col("value") - before["value"])
     seconds = (F.col("at") - before["at"]) / F.lit(float(_MICROS))
-    return _result(pairs.where(F.col("at") > before["at"]), grid, rise / seconds)
+    return _result(pairs.where(F.col("at") > before["at"]), grid, rise / seconds, keep)
 
 
 def _extrapolated(
-    samples: DataFrame, grid: Grid, window: timedelta, counter: bool, chunk: timedelta | None
+    samples: DataFrame, grid: Grid, window: timedelta, counter: bool, chunk: timedelta | None, keep: Keep
 ) -> tuple[DataFrame, Column]:
     """Change over each window, stretched towards the window's edges."""
     step, width = _micros(grid.step), _micros(window)
-    rows = _chunked(samples, grid, window, chunk)
+    rows = _chunked(samples, grid, window, chunk, keep)
     oldest_from = F.greatest(
         F.col("lo"), F.coalesce(_first_index(F.col("before.at") + width, step), F.lit(0).cast("bigint"))
     )
@@ -175,14 +211,14 @@ def _extrapolated(
             lambda i: F.struct(i.alias("i"), F.lit(False).alias("newest")),
         ),
     )
-    marked = rows.withColumn("end", F.explode(ends)).select(
-        "metric", "series", "chunk", "at", "value", "place", "falls", F.col("end.i").alias("i"), F.col("end.newest")
-    )
+    # What is kept depends on the series alone; as a key it needs no aggregate.
+    keys = [*SERIES, *_kept(keep), "chunk", "i"]
+    marked = rows.withColumn("end", F.explode(ends)).withColumns({"i": F.col("end.i"), "newest": F.col("end.newest")})
 
     def pick(column: str, newest: bool) -> Column:
         return F.max(F.when(F.col("newest") == F.lit(newest), F.col(column)))
 
-    pairs = marked.groupBy("metric", "series", "chunk", "i").agg(
+    pairs = marked.groupBy(*keys).agg(
         *[pick(c, newest).alias(f"{c}_{end}") for end, newest in (("a", False), ("z", True)) for c in ("at", "value", "place", "falls")]
     )
     pairs = pairs.where(F.col("at_z") > F.col("at_a"))
@@ -207,22 +243,28 @@ def _extrapolated(
     return pairs, F.col("change") * (F.col("covered") + lead_in + lead_out) / F.col("covered")
 
 
-def increase(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None = None) -> DataFrame:
+def increase(
+    samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None = None, keep: Keep = None
+) -> DataFrame:
     """Growth of a counter over each window; a fall counts as a restart from zero."""
-    pairs, value = _extrapolated(samples, grid, window, True, chunk)
-    return _result(pairs, grid, value)
+    pairs, value = _extrapolated(samples, grid, window, True, chunk, keep)
+    return _result(pairs, grid, value, keep)
 
 
-def rate(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None = None) -> DataFrame:
+def rate(
+    samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None = None, keep: Keep = None
+) -> DataFrame:
     """``increase`` per second."""
-    pairs, value = _extrapolated(samples, grid, window, True, chunk)
-    return _result(pairs, grid, value / F.lit(window.total_seconds()))
+    pairs, value = _extrapolated(samples, grid, window, True, chunk, keep)
+    return _result(pairs, grid, value / F.lit(window.total_seconds()), keep)
 
 
-def delta(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None = None) -> DataFrame:
+def delta(
+    samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None = None, keep: Keep = None
+) -> DataFrame:
     """Change of a gauge over each window."""
-    pairs, value = _extrapolated(samples, grid, window, False, chunk)
-    return _result(pairs, grid, value)
+    pairs, value = _extrapolated(samples, grid, window, False, chunk, keep)
+    return _result(pairs, grid, value, keep)
 
 
 # Range functions by name; the instant selector takes its lookback as window.

@@ -18,7 +18,7 @@ from string import Template
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.labels import Matcher, label_text, legend, matches
+from tidewire.functions.labels import Matcher, entries, label, label_text, legend, matches
 from tidewire.operators import aggregates, ranges
 
 
@@ -295,7 +295,8 @@ def evaluate(
     """One panel: the ``by`` labels, ``ts`` and ``value``; all labels when nothing is summed."""
     values = {**ALL_VALUES, **(chosen or {})}
     rows = samples.where(F.col("metric") == panel.metric).where(matches(panel.conditions(values)))
-    series = ranges.FUNCTIONS[panel.over](rows, grid, _window(panel)).withColumn("value", _shown(panel))
+    keep = None if panel.agg == "none" else {name: label(name) for name in panel.by}
+    series = ranges.FUNCTIONS[panel.over](rows, grid, _window(panel), keep=keep).withColumn("value", _shown(panel))
     if panel.agg == "none":
         return series.select("labels", _legend(panel).alias("legend"), "ts", "value")
     return {"sum": aggregates.sum_by, "count": aggregates.count_by}[panel.agg](series, panel.by)
@@ -312,35 +313,50 @@ def evaluate_all(
     ``labels`` is the text of the labels a panel keeps, such as ``topic=a``.
     """
     values = {**ALL_VALUES, **(chosen or {})}
-    calls: dict[tuple[str, int], list[tuple[int, Panel]]] = {}
-    for number, panel in panels:
-        calls.setdefault(panel.call, []).append((number, panel))
-    parts = []
-    for (over, window), members in calls.items():
-        wanted = [((F.col("metric") == p.metric) & matches(p.conditions(values)), n, p) for n, p in members]
-        rows = samples.where(F.col("metric").isin(sorted({p.metric for _, p in members})))
-        rows = rows.where(reduce(lambda a, b: a | b, [w[0] for w in wanted]))
-        series = ranges.FUNCTIONS[over](rows, grid, timedelta(seconds=window))
-        shares = [F.when(hit, _share(n, p)) for hit, n, p in wanted]
-        parts.append(series.select("ts", F.explode(F.array_compact(F.array(*shares))).alias("share")))
-    every = reduce(DataFrame.unionByName, parts).select("ts", "share.*")
+    wanted = [(_selected(p, values), n, p) for n, p in panels]
+    rows = samples.where(F.col("metric").isin(sorted({p.metric for _, p in panels})))
+    calls = sorted({p.call for _, p in panels})
+    points = [
+        ranges.FUNCTIONS[over](
+            rows.where(reduce(lambda a, b: a | b, [hit for hit, _, p in wanted if p.call == (over, window)])),
+            grid, timedelta(seconds=window), keep={},
+        ).withColumn("call", F.lit(calls.index((over, window))))
+        for over, window in calls
+    ]
+    # One row per series and panel that shows it.
+    shares = F.array(*[F.when(hit, _share(n, p, calls.index(p.call))) for hit, n, p in wanted])
+    series = rows.select(*ranges.series_id(), "metric", entries("labels").alias("pairs")).distinct()
+    shown = (
+        series.withColumn("labels", F.map_from_entries("pairs"))
+        .select(*ranges.SERIES, F.explode(F.array_compact(shares)).alias("share"))
+        .select(*ranges.SERIES, "share.*")
+    )
+    every = reduce(DataFrame.unionByName, points).join(shown, [*ranges.SERIES, "call"])
     summed = every.groupBy("panel", "labels", "legend", "ts").agg(
-        F.sum("value").alias("total"), F.count("value").alias("series")
+        F.sum(_by_panel(panels, _shown)).alias("total"), F.count("value").alias("series")
     )
     counting = [n for n, p in panels if p.agg == "count"]
     value = F.when(F.col("panel").isin(counting), F.col("series").cast("double")).otherwise(F.col("total"))
     return summed.select("panel", "labels", "legend", "ts", value.alias("value"))
 
 
-def _share(number: int, panel: Panel) -> Column:
+def _selected(panel: Panel, values: Mapping[str, str]) -> Column:
+    return (F.col("metric") == panel.metric) & matches(panel.conditions(values))
+
+
+def _by_panel(panels: Sequence[tuple[int, Panel]], shown) -> Column:
+    """The shown value of each panel; most show the value as it is."""
+    out = F.col("value")
+    for number, panel in panels:
+        if panel.factor != 1.0 or panel.below is not None:
+            out = F.when(F.col("panel") == number, shown(panel)).otherwise(out)
+    return out
+
+
+def _share(number: int, panel: Panel, call: int) -> Column:
     kept = label_text(None if panel.agg == "none" else panel.by)
-    shown = _legend(panel) if panel.agg == "none" or panel.by else F.lit(panel.legend)
-    return F.struct(
-        F.lit(number).alias("panel"),
-        kept.alias("labels"),
-        shown.alias("legend"),
-        _shown(panel).alias("value"),
-    )
+    text = _legend(panel) if panel.agg == "none" or panel.by else F.lit(panel.legend)
+    return F.struct(F.lit(call).alias("call"), F.lit(number).alias("panel"), kept.alias("labels"), text.alias("legend"))
 
 
 def dashboard(name: str) -> list[tuple[int, Panel]]:

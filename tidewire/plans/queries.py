@@ -420,9 +420,18 @@ def consumer_lag(spark, sf_dir):
 HOURLY = ranges.Grid(datetime(2024, 1, 1, 6), datetime(2024, 1, 31), timedelta(hours=6))
 
 
-def _scraped(spark: SparkSession, sf_dir: str, board: str, *metrics: str) -> DataFrame:
-    names = metrics or sorted({p.metric for _, p in panels.dashboard(board)})
-    return fixtures.scrape_samples(fixtures.events(spark, sf_dir), board, names)
+_stores: dict[tuple, str] = {}
+
+
+def _scraped(spark: SparkSession, sf_dir: str, board: str) -> DataFrame:
+    """All samples of a dashboard's targets, in a table written once per session and test folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, board)
+    if key not in _stores:
+        path = work_dir(spark, f"samples-{board}")
+        names = {p.metric for _, p in panels.dashboard(board)} | {v.metric for v in panels.VARIABLES if v.dashboard == board}
+        samples.write(fixtures.scrape_samples(fixtures.events(spark, sf_dir), board, sorted(names)), path)
+        _stores[key] = path
+    return samples.read(spark, _stores[key])
 
 
 def _scrape_end(spark: SparkSession, sf_dir: str) -> datetime:
@@ -439,7 +448,7 @@ def _scrape_grid(spark: SparkSession, sf_dir: str, step: int = 60) -> ranges.Gri
 def _panel(number: int) -> Query:
     def run(spark, sf_dir):
         panel = panels.PANELS[number - 1]
-        rows = _scraped(spark, sf_dir, panel.dashboard, panel.metric)
+        rows = _scraped(spark, sf_dir, panel.dashboard)
         return rounded(panels.evaluate(rows, panel, _scrape_grid(spark, sf_dir), CHOSEN))
 
     return run
@@ -476,7 +485,7 @@ def metric_rate(spark, sf_dir):
 
 @query
 def metric_range(spark, sf_dir):
-    rows = _scraped(spark, sf_dir, "exporter", "kafka_topic_partition_current_offset")
+    rows = samples.scan(_scraped(spark, sf_dir, "exporter"), "kafka_topic_partition_current_offset")
     grid = ranges.Grid.last_hour(_scrape_end(spark, sf_dir))
     rates = ranges.rate(rows, grid, timedelta(minutes=5))
     named = rates.withColumn("name", legend("{{topic}}:{{partition}}"))
@@ -485,7 +494,7 @@ def metric_range(spark, sf_dir):
 
 @query
 def label_match(spark, sf_dir):
-    rows = _scraped(spark, sf_dir, "exporter", "kafka_consumergroup_lag")
+    rows = samples.scan(_scraped(spark, sf_dir, "exporter"), "kafka_consumergroup_lag")
     chosen = matches(
         [
             Matcher("topic", "=~", "topic-[0-2]"),
@@ -499,8 +508,7 @@ def label_match(spark, sf_dir):
 
 @query
 def label_values(spark, sf_dir):
-    metrics = {v.metric for v in panels.VARIABLES}
-    boards = {b: _scraped(spark, sf_dir, b, *sorted(metrics)) for b in ("exporter", "broker")}
+    boards = {b: _scraped(spark, sf_dir, b) for b in ("exporter", "broker")}
     lists = [
         panels.choices(boards[v.dashboard], v, CHOSEN).select(
             F.lit(v.dashboard).alias("dashboard"), F.lit(v.name).alias("variable"), "value"
@@ -526,7 +534,7 @@ def metric_scan(spark, sf_dir):
 @query
 def offset_table(spark, sf_dir):
     panel = panels.PANELS[11]
-    rows = _scraped(spark, sf_dir, "exporter", panel.metric)
+    rows = _scraped(spark, sf_dir, "exporter")
     current = panels.evaluate(rows, panel, ranges.Grid.at(_scrape_end(spark, sf_dir)), CHOSEN)
     table = current.select("ts", "consumergroup", "partition", "topic", "value")
     return rounded(aggregates.top_rows(table, column=3))

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ from tidewire.sources import paths
 
 log = logging.getLogger("tidewire.ingest")
 
+# What a stream or its store can raise.
+STREAM_ERRORS = (PySparkException, Py4JJavaError)
+
 COORDINATES = ("topic", "partition", "offset", "timestamp")
 
 
@@ -191,7 +195,7 @@ def run(spark: SparkSession, specs: Sequence[StreamSpec], source, settings: Inge
         context.setLocalProperty("spark.scheduler.pool", spec.query_name)
         try:
             running.append((spec, start(spark, spec, source, settings, totals)))
-        except PySparkException as error:
+        except STREAM_ERRORS as error:
             failures[spec.query_name] = str(error).splitlines()[0]
         finally:
             context.setLocalProperty("spark.scheduler.pool", None)
@@ -199,7 +203,7 @@ def run(spark: SparkSession, specs: Sequence[StreamSpec], source, settings: Inge
         try:
             query.awaitTermination()
             log.info("%s finished: %s rows", spec.query_name, totals.rows(spec.query_name))
-        except PySparkException as error:
+        except STREAM_ERRORS as error:
             failures[spec.query_name] = str(error).splitlines()[0]
             log.error("%s failed: %s", spec.query_name, failures[spec.query_name])
     if failures:
