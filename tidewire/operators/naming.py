@@ -127,6 +127,9 @@ def normalize(df: DataFrame, rules: Sequence[Rule] = BROKER_RULES, bean: str = "
     they measure small, and otherwise splits beans that occur very often.
     ``bean`` is the text without a value.
     """
-    # The rules see a text that goes on with ": " and the value.
-    beans = df.select(bean).distinct().withColumn("text", F.concat(F.col(bean), F.lit(": ")))
+    # The rules see a text that goes on with ": " and the value. It depends on the
+    # count, or the test for a matching rule would move below the aggregate and
+    # run on every row.
+    beans = df.groupBy(bean).agg(F.count("*").alias("seen"))
+    beans = beans.withColumn("text", F.when(F.col("seen") > 0, F.concat(F.col(bean), F.lit(": ")))).drop("seen")
     return df.join(name_rows(beans, rules, "text").drop("text"), bean)

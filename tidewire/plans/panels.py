@@ -323,11 +323,12 @@ def evaluate_all(
         ).withColumn("call", F.lit(calls.index((over, window))))
         for over, window in calls
     ]
-    # One row per series and panel that shows it.
+    # One row per series and panel that shows it. The labels depend on the count,
+    # or the test for a panel would move below the aggregate and run on every sample.
     shares = F.array(*[F.when(hit, _share(n, p, calls.index(p.call))) for hit, n, p in wanted])
-    series = rows.select(*ranges.series_id(), "metric", entries("labels").alias("pairs")).distinct()
+    series = rows.groupBy(*ranges.series_id(), "metric", entries("labels").alias("pairs")).agg(F.count("*").alias("seen"))
     shown = (
-        series.withColumn("labels", F.map_from_entries("pairs"))
+        series.withColumn("labels", F.when(F.col("seen") > 0, F.map_from_entries("pairs")))
         .select(*ranges.SERIES, F.explode(F.array_compact(shares)).alias("share"))
         .select(*ranges.SERIES, "share.*")
     )

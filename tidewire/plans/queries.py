@@ -73,7 +73,9 @@ class Job:
         self.root = work_dir(spark, purpose)
         self.specs = sample_registry(f"{self.root}/tables", f"{self.root}/checkpoints", topics)
         self.rejects_at = f"{self.root}/tables/{DLQ_TABLE}"
-        self.settings = ingest.IngestSettings(rejects=self.rejects_at, **{"failed_at": record_time, **settings})
+        # The test records span a month, so each write is a backfill of many days.
+        given = {"failed_at": record_time, "rebalance": True, **settings}
+        self.settings = ingest.IngestSettings(rejects=self.rejects_at, **given)
         self.source = records.FolderRecords(f"{self.root}/records")
 
     def send(self, rows: DataFrame) -> None:
@@ -247,7 +249,7 @@ def one_query_fails(spark, sf_dir):
             fails = F.raise_error(F.lit("no such message")) if spec.schema_name == "Notification" else F.col(value)
             return super().decode(df.withColumn(value, fails.cast("binary")), value, spec, out)
 
-    job.settings = ingest.IngestSettings(job.rejects_at, codec=BrokenPayload(), failed_at=record_time)
+    job.settings = ingest.IngestSettings(job.rejects_at, codec=BrokenPayload(), failed_at=record_time, rebalance=True)
     try:
         totals, failures = job.run(), {}
     except ingest.IngestFailed as failed:
