@@ -154,10 +154,8 @@ def test_generated_protobuf_goes_through_the_job(spark, folder):
         def encode(self, payload, _):
             return wire.encode(payload, spec)
 
-    sent = generator.records(generator.bounded(spark, 25), codec=Named(wire.descriptor)).withColumns(
-        {"partition": F.lit(0), "offset": F.lit(0).cast("bigint"), "timestamp": F.current_timestamp()}
-    )
-    records.write_folder(sent, f"{folder}/r")
+    sent = generator.records(generator.bounded(spark, 25), codec=Named(wire.descriptor))
+    records.write_folder(records.placed(sent, F.col("key").cast("string")), f"{folder}/r")
     ingest.run(spark, [spec], records.FolderRecords(f"{folder}/r"), ingest.IngestSettings(f"{folder}/d", codec=wire))
     assert sorted(r.id for r in tables.read(spark, tables.EVENTS, spec.target).collect()) == list(range(1, 26))
 
@@ -199,3 +197,22 @@ def test_lag_of_the_documented_case(spark):
 def test_first_deliveries_needs_coordinates(spark):
     with pytest.raises(ValueError):
         dedup.first_deliveries(spark.range(1))
+
+
+def test_command_line(spark, folder):
+    from tidewire import __main__ as cli
+
+    cli.produce(spark, cli.parse_args(["produce", "--folder", f"{folder}/r", "--count", "12"]))
+    args = cli.parse_args(["ingest", "--folder", f"{folder}/r", "--tables", f"{folder}/t", "--checkpoints", f"{folder}/c"])
+    assert args.starting_offsets == "earliest"
+    assert dict(cli.consume(spark, args).routes("consumer-Event")) == {"ok": 12}
+    assert cli.consume(spark, args).rows("consumer-Event") == 0
+    for wrong in (["ingest", "--folder", "r", "--tables", "t"], ["produce", "--servers", "s", "--infinite"], ["produce"]):
+        with pytest.raises(SystemExit):
+            cli.parse_args(wrong)
+
+
+def test_sample_registry_of_a_catalog():
+    from tidewire.registry import sample_registry
+
+    assert sample_registry("cat.events", "/c", joint=".")[0].target == "cat.events.sample_events_event"

@@ -155,3 +155,20 @@ def test_broker_options():
     }
     with pytest.raises(ValueError):
         records.BrokerRecords("h", "yesterday")
+
+
+def test_required_columns_are_enforced_at_write(spark, folder):
+    rows = spark.createDataFrame([(1, None, "Event", b"x")], "id bigint, datetime timestamp, schema_name string, rawdata binary")
+    with pytest.raises(Exception, match="datetime is required"):
+        tables.append(rows, f"{folder}/events", tables.EVENTS)
+
+
+def test_field_ids_are_stored(spark, folder):
+    import pyarrow.parquet as pq
+
+    tables.append(event_rows(spark, [(1, datetime(2024, 1, 1), "Event", b"x")]), f"{folder}/events", tables.EVENTS)
+    [path] = tables.read(spark, tables.EVENTS, f"{folder}/events").inputFiles()
+    schema = pq.read_schema(path.removeprefix("file://"))
+    ids = {n: int(schema.field(n).metadata[b"PARQUET:field_id"]) for n in schema.names}
+    # The schema name is a folder name and not in the file.
+    assert ids == {"id": 1, "datetime": 2, "rawdata": 4}

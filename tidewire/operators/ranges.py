@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.labels import entries
+from tidewire.plans.tables import utc_day
 
 # Fixed value: how far back an instant selector looks.
 LOOKBACK = timedelta(minutes=5)
@@ -88,6 +89,16 @@ class Grid:
         return cls(moment, moment, timedelta(seconds=1))
 
 
+def in_reach(samples: DataFrame, grid: Grid, window: timedelta) -> DataFrame:
+    """Samples that some window of the grid can see; a ``day`` column lets the scan skip folders."""
+    first = F.timestamp_micros(F.lit(_epoch_micros(grid.start) - _micros(window)))
+    last = F.timestamp_micros(F.lit(_epoch_micros(grid.start) + (grid.points - 1) * _micros(grid.step)))
+    rows = samples.where((F.col("ts") > first) & (F.col("ts") <= last))
+    if "day" in samples.columns:
+        rows = rows.where(F.col("day").between(utc_day(first), utc_day(last)))
+    return rows
+
+
 def _chunked(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta | None, keep: Keep) -> DataFrame:
     """Samples that some window sees, once per chunk, with the neighbours they have there.
 
@@ -98,11 +109,9 @@ def _chunked(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta
     start, step, width, points = _epoch_micros(grid.start), _micros(grid.step), _micros(window), grid.points
     span = _micros(chunk or max(4 * window, timedelta(hours=1)))
     per_chunk = max(1, span // step)
-    first, last = start - width, start + (points - 1) * step
     at = F.unix_micros("ts") - F.lit(start)
     seen = (
-        samples.where(F.col("ts") > F.timestamp_micros(F.lit(first)))
-        .where(F.col("ts") <= F.timestamp_micros(F.lit(last)))
+        in_reach(samples, grid, window)
         .where(F.col("value").isNotNull())
         .select(*series_id(), *[c.alias(n) for n, c in _kept(keep).items()], at.alias("at"), "value")
         .withColumn("lo", _first_index(F.col("at"), step))

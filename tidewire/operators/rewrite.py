@@ -45,7 +45,7 @@ def _inside(found: list[tuple], keys: list[str]) -> Column:
 
 def _new_rows(rows: DataFrame, layout: Layout, keys: list[str]) -> DataFrame:
     """Rows to add, in partitions that no micro-batch will overwrite."""
-    rows = tables.with_partitions(rows, layout)
+    rows = tables.with_partitions(tables.conform(rows, layout), layout)
     values = dict(zip(tables.BATCH_PARTITIONS, (F.lit("rewrite"), F.lit(0))))
     return rows.select("*", *[values[k].alias(k) for k in keys if k in values])
 

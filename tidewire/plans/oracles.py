@@ -360,7 +360,8 @@ ORACLES: dict[str, str] = {
     "generated_records": """SELECT (event_id + 1)::VARCHAR AS key,
       '{"id":' || (event_id + 1) || ',"datetime":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
         || '+00:00","name":"hello from producer #' || (event_id + 1) || '"}' AS value,
-      'sample-events-event' AS topic, 'Event' AS proto_schema, '1' AS proto_version, 2::INTEGER AS headers FROM events""",
+      'sample-events-event' AS topic, 'Event' AS proto_schema, '1' AS proto_version, 2::INTEGER AS headers,
+      event_id AS "offset" FROM events""",
     "ingest_valid": f"WITH {RECORDS} {_OK}",
     "ingest_dlq": f"WITH {RECORDS} SELECT ts AS failed_at, schema_name, rawdata, route AS reason FROM routed WHERE route <> 'ok'",
     "required_null": f"WITH {RECORDS} SELECT ts AS failed_at, schema_name, rawdata FROM routed WHERE route = 'required_null'",

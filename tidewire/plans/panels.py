@@ -316,6 +316,7 @@ def evaluate_all(
     wanted = [(_selected(p, values), n, p) for n, p in panels]
     rows = samples.where(F.col("metric").isin(sorted({p.metric for _, p in panels})))
     calls = sorted({p.call for _, p in panels})
+    rows = ranges.in_reach(rows, grid, timedelta(seconds=max(window for _, window in calls)))
     points = [
         ranges.FUNCTIONS[over](
             rows.where(reduce(lambda a, b: a | b, [hit for hit, _, p in wanted if p.call == (over, window)])),

@@ -169,11 +169,7 @@ def generated_records(spark, sf_dir):
     indexes = fixtures.events(spark, sf_dir).select((F.col("event_id") + 1).alias("index"), "ts")
     root = work_dir(spark, "generated")
     sent = generator.records(indexes, F.col("ts"))
-    # A broker would add the last three columns.
-    placed = sent.withColumns(
-        {"partition": F.lit(0), "offset": F.lit(0).cast("bigint"), "timestamp": F.lit(AS_OF).cast("timestamp")}
-    )
-    records.write_folder(placed, root)
+    records.write_folder(records.placed(sent, F.col("key").cast("string").cast("bigint") - 1), root)
     spec = StreamSpec("Event", EVENT_TOPIC, "-", "-")
     return records.FolderRecords(root).batch(spark, spec).select(
         text("key"),
@@ -182,6 +178,7 @@ def generated_records(spark, sf_dir):
         header_text("headers", SCHEMA_HEADER).alias("proto_schema"),
         header_text("headers", VERSION_HEADER).alias("proto_version"),
         F.size("headers").alias("headers"),
+        "offset",
     )
 
 

@@ -65,14 +65,22 @@ class Layout:
         return T.StructType([*self.columns.fields, *extra, T.StructField(self.day, T.DateType())])
 
 
-EVENTS = Layout(
-    T.StructType(
+def _columns(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
+    """Columns as ``(name, type, required)``, with field ids from 1."""
+    return T.StructType(
         [
-            T.StructField("id", T.LongType(), False),
-            T.StructField("datetime", T.TimestampType(), False),
-            T.StructField("schema_name", T.StringType(), False),
-            T.StructField("rawdata", T.BinaryType(), False),
+            T.StructField(name, kind, not required, {"parquet.field.id": number})
+            for number, (name, kind, required) in enumerate(fields, start=1)
         ]
+    )
+
+
+EVENTS = Layout(
+    _columns(
+        ("id", T.LongType(), True),
+        ("datetime", T.TimestampType(), True),
+        ("schema_name", T.StringType(), True),
+        ("rawdata", T.BinaryType(), True),
     ),
     identity="schema_name",
     time="datetime",
@@ -84,13 +92,11 @@ EVENTS = Layout(
 # name it could be empty, too long, or differ in every record, so folder tables
 # partition by ``schema_key``: a known name, or one of the two values above.
 REJECTS = Layout(
-    T.StructType(
-        [
-            T.StructField("failed_at", T.TimestampType(), False),
-            T.StructField("schema_name", T.StringType(), True),
-            T.StructField("rawdata", T.BinaryType(), True),
-            T.StructField("reason", T.StringType(), False),
-        ]
+    _columns(
+        ("failed_at", T.TimestampType(), True),
+        ("schema_name", T.StringType(), False),
+        ("rawdata", T.BinaryType(), False),
+        ("reason", T.StringType(), True),
     ),
     identity="schema_name",
     time="failed_at",
@@ -114,12 +120,24 @@ def is_folder(target: str) -> bool:
 
 
 def conform(df: DataFrame, layout: Layout) -> DataFrame:
-    """The declared columns in order; fails at once on a missing or mistyped one."""
+    """The declared columns in order.
+
+    Fails at once on a missing or mistyped column. A NULL in a required column
+    fails the write, as parquet itself would not.
+    """
     have = {f.name: f.dataType for f in df.schema.fields}
     wrong = [f.name for f in layout.columns.fields if have.get(f.name) != f.dataType]
     if wrong:
         raise ValueError(f"columns do not match the table: {', '.join(wrong)}")
-    return df.select(*layout.names)
+
+    def column(field: T.StructField) -> Column:
+        value = F.col(field.name)
+        if not field.nullable:
+            missing = F.raise_error(F.lit(f"{field.name} is required")).cast(field.dataType)
+            value = F.when(value.isNull(), missing).otherwise(value)
+        return value.alias(field.name, metadata=field.metadata)
+
+    return df.select(*[column(f) for f in layout.columns.fields])
 
 
 def with_partitions(df: DataFrame, layout: Layout, known: Sequence[str] = ()) -> DataFrame:

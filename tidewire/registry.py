@@ -93,8 +93,13 @@ def validate(specs: Sequence[StreamSpec]) -> list[StreamSpec]:
     return list(specs)
 
 
-def sample_registry(tables: str, checkpoints: str, topics: Sequence[str] = (EVENT_TOPIC,)) -> list[StreamSpec]:
-    """The sample streams, with folders below ``tables`` and ``checkpoints``."""
+def sample_registry(
+    tables: str, checkpoints: str, topics: Sequence[str] = (EVENT_TOPIC,), joint: str = "/"
+) -> list[StreamSpec]:
+    """The sample streams, with tables and folders below ``tables`` and ``checkpoints``.
+
+    ``joint`` is ``.`` when ``tables`` is a catalog and namespace.
+    """
     known = {
         EVENT_TOPIC: ("Event", EVENT_TABLE),
         NOTIFICATION_TOPIC: ("Notification", NOTIFICATION_TABLE),
@@ -104,7 +109,7 @@ def sample_registry(tables: str, checkpoints: str, topics: Sequence[str] = (EVEN
             StreamSpec(
                 schema_name=known[t][0],
                 topic=t,
-                target=f"{tables}/{known[t][1]}",
+                target=f"{tables}{joint}{known[t][1]}",
                 checkpoint=f"{checkpoints}/{known[t][0].lower()}",
             )
             for t in topics

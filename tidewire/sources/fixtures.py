@@ -12,14 +12,18 @@ from tidewire.operators.naming import bean_text
 from tidewire.registry import EVENT_TOPIC, NOTIFICATION_TOPIC, iso_utc
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events, with ``ts`` read as UTC."""
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Times in the tables have no zone and stand for UTC.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _table(spark, sf_dir, "documents")
 
 
 def _good_headers(name: str | Column = "Event", version: str = "1") -> Column:

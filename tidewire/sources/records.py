@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,13 +38,14 @@ STARTING = ("earliest", "latest")
 class FolderRecords:
     """Records kept as parquet below ``root``.
 
-    ``files_per_trigger`` bounds a micro-batch, so a large backlog is drained
-    in steps that each commit.
+    A micro-batch is bounded, by files or else by bytes, so a large backlog is
+    drained in steps that each commit.
     """
 
     root: str
     starting: str = "earliest"
     files_per_trigger: int | None = None
+    bytes_per_trigger: int = 1 << 40
 
     def __post_init__(self) -> None:
         _check_starting(self.starting)
@@ -56,6 +57,8 @@ class FolderRecords:
         reader = spark.readStream.schema(RECORD_SCHEMA)
         if self.files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.files_per_trigger)
+        else:
+            reader = reader.option("maxBytesPerTrigger", self.bytes_per_trigger)
         return self._with_topic(reader.parquet(self.folder(spec.topic)), spec.topic)
 
     def batch(self, spark: SparkSession, spec: StreamSpec) -> DataFrame:
@@ -81,7 +84,7 @@ class BrokerRecords:
     servers: str
     starting: str = "earliest"
     records_per_task: int | None = None
-    offsets_per_trigger: int | None = None
+    offsets_per_trigger: int | None = 1_000_000_000
     extra: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -110,6 +113,13 @@ class BrokerRecords:
         return False
 
 
+def placed(records: DataFrame, offset: Column) -> DataFrame:
+    """Records as a broker with one partition would store them now."""
+    return records.withColumns(
+        {"partition": F.lit(0), "offset": offset.cast("bigint"), "timestamp": F.current_timestamp()}
+    ).select(*RECORD_SCHEMA.names)
+
+
 def write_folder(records: DataFrame, root: str) -> None:
     """Append records below ``root``, one sub-folder per topic."""
     records.write.mode("append").partitionBy("topic").parquet(root)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import logging
 from collections import Counter, defaultdict
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -187,7 +187,7 @@ def run(spark: SparkSession, specs: Sequence[StreamSpec], source, settings: Inge
     """Start all streams, wait for all of them, then report or raise."""
     specs = validate(specs)
     if not settings.known:
-        settings = IngestSettings(**{**settings.__dict__, "known": tuple(s.schema_name for s in specs)})
+        settings = replace(settings, known=tuple(s.schema_name for s in specs))
     totals, failures, running = Totals(), {}, []
     context = spark.sparkContext
     for spec in specs:
