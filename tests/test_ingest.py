@@ -216,3 +216,29 @@ def test_sample_registry_of_a_catalog():
     from tidewire.registry import sample_registry
 
     assert sample_registry("cat.events", "/c", joint=".")[0].target == "cat.events.sample_events_event"
+
+
+def test_named_sets_of_records_can_run_again(spark, sf):
+    job = Job(spark, idempotent=True, failed_at=None)
+    spec, rows = job.specs[0], faulty(spark, sf)
+    for run_id in ("a", "a", "b"):
+        ingest.ingest_batch(rows, spec, job.settings, run_id)
+    assert (job.events().count(), job.rejects().count()) == (700, 1300)
+    with pytest.raises(ValueError, match="run_id"):
+        ingest.ingest_batch(rows, spec, job.settings)
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_first_deliveries(spark, sf, folder, salts):
+    rows = faulty(spark, sf)
+    source = records.FolderRecords(f"{folder}/r")
+    for _ in range(2):
+        records.write_folder(rows.repartition(2).unionAll(rows), source.root)
+    spec = StreamSpec("Event", EVENT_TOPIC, "/x", "/c")
+    unique = dedup.first_deliveries(source.stream(spark, spec), "60 days", salts).select(*dedup.RECORD_KEY)
+    query = (
+        unique.writeStream.format("parquet").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start(f"{folder}/o")
+    )
+    query.awaitTermination()
+    out = spark.read.parquet(f"{folder}/o")
+    assert out.count() == 1000 and out.distinct().count() == 1000

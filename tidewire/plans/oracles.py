@@ -382,9 +382,9 @@ ORACLES: dict[str, str] = {
       ORDER BY failed_at DESC, schema_name NULLS FIRST, reason, bytes NULLS FIRST LIMIT 100""",
     "counts_by_type": f"""WITH {TYPES} SELECT schema_name, count(*) FILTER (datetime > TIMESTAMP '2024-01-29') AS cnt
       FROM typed GROUP BY schema_name""",
-    "dlq_by_reason": f"""WITH {RECORDS} SELECT schema_name, route AS reason, ts::DATE AS failed_at_day, count(*) AS cnt
+    "dlq_by_reason": f"""WITH {RECORDS} SELECT schema_name, route AS reason, ts::DATE::VARCHAR AS failed_at_day, count(*) AS cnt
       FROM routed WHERE route <> 'ok' GROUP BY ALL""",
-    "all_events_view": f"""WITH {TYPES} SELECT schema_name, datetime::DATE AS datetime_day, count(*) AS cnt,
+    "all_events_view": f"""WITH {TYPES} SELECT schema_name, datetime::DATE::VARCHAR AS datetime_day, count(*) AS cnt,
       min(id) AS first_id, max(id) AS last_id FROM typed GROUP BY ALL""",
     "dedup_events": f"WITH {RECORDS} {_OK}",
     "dlq_replay": f"""WITH {RECORDS} SELECT route AS was, CASE WHEN schema_name IS NULL THEN 'missing_schema'

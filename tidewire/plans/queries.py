@@ -299,7 +299,7 @@ def stream_dedup(spark, sf_dir):
     job = Job(spark)
     rows = fixtures.faulty_records(fixtures.events(spark, sf_dir))
     job.send(rows.unionAll(rows))
-    unique = dedup.first_deliveries(job.source.stream(spark, job.specs[0]), "60 days")
+    unique = dedup.first_deliveries(job.source.stream(spark, job.specs[0]), "60 days", salts=4)
     target = f"{job.root}/unique"
     (
         unique.select("topic", "partition", "offset", text("key"), "timestamp")
@@ -327,14 +327,15 @@ def counts_by_type(spark, sf_dir):
 
 @query
 def dlq_by_reason(spark, sf_dir):
-    return reports.rejects_by_reason(lake(spark, sf_dir, "faulty").rejects())
+    counted = reports.rejects_by_reason(lake(spark, sf_dir, "faulty").rejects())
+    return counted.withColumn("failed_at_day", text("failed_at_day"))
 
 
 @query
 def all_events_view(spark, sf_dir):
     reports.all_events(spark, lake(spark, sf_dir, "types").specs, view="all_events")
     return spark.sql(
-        "SELECT schema_name, datetime_day, count(*) AS cnt, min(id) AS first_id, max(id) AS last_id "
+        "SELECT schema_name, string(datetime_day) AS datetime_day, count(*) AS cnt, min(id) AS first_id, max(id) AS last_id "
         "FROM all_events GROUP BY schema_name, datetime_day"
     )
 

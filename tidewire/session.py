@@ -21,6 +21,10 @@ CLUSTER_CONF = {
     "spark.scheduler.mode": "FAIR",
 }
 
+# Shuffles start with this many partitions and are merged to the advisory size.
+# About the largest shuffle divided by that size; too few would spill.
+SHUFFLE_START = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000"}
+
 _local_roots: dict[str, str] = {}
 
 
@@ -33,7 +37,8 @@ def build_session(app_name: str = "tidewire", master: str | None = None, **conf:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {**CLUSTER_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}
+    start = {} if (master or "").startswith("local") else SHUFFLE_START
+    settings = {**CLUSTER_CONF, **start, **{k.replace("__", "."): v for k, v in conf.items()}}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -86,6 +86,7 @@ def two_topic_records(events: DataFrame) -> DataFrame:
 def hourly_counters(events: DataFrame) -> DataFrame:
     """One counter per event type: the running sum of hourly values, reset every 200 hours seen."""
     hourly = events.groupBy("event_type", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("value").alias("v"))
+    # One row per type and hour is left, so the windows are small.
     by_type = Window.partitionBy("event_type").orderBy("ts")
     numbered = hourly.withColumn("run", F.floor((F.row_number().over(by_type) - 1) / 200))
     running = Window.partitionBy("event_type", "run").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)

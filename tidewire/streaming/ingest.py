@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 from collections import Counter, defaultdict
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
@@ -17,6 +18,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.util import inheritable_thread_target
 
 from tidewire.functions.codec import JsonCodec
 from tidewire.functions.headers import header_int, header_text
@@ -117,6 +119,14 @@ def reject_rows(routed: DataFrame, failed_at: Column) -> DataFrame:
     )
 
 
+def _together(spark: SparkSession, writes: list[Callable[[], None]]) -> None:
+    """Run writes side by side, so that a short one does not wait for the last tasks of a long one."""
+    with ThreadPoolExecutor(len(writes)) as pool:
+        # The threads take over the pool and the job group of the stream.
+        for done in [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]:
+            done.result()
+
+
 def batch_writer(spec: StreamSpec, settings: IngestSettings, totals: Totals, query_id: str | None = None):
     """The function that writes one micro-batch of parsed records of ``spec``."""
     known = settings.known or (spec.schema_name,)
@@ -130,12 +140,17 @@ def batch_writer(spec: StreamSpec, settings: IngestSettings, totals: Totals, que
             if settings.idempotent:
                 context = batch.sparkSession.sparkContext
                 key = (query_id or context.getLocalProperty("sql.streaming.queryId"), batch_id)
-            tables.append(valid_rows(routed), spec.target, tables.EVENTS, batch=key, rebalance=settings.rebalance)
+            writes = [
+                lambda: tables.append(valid_rows(routed), spec.target, tables.EVENTS, batch=key, rebalance=settings.rebalance)
+            ]
             rejected = sum(n for name, n in counts.items() if name != OK)
             if rejected:
                 log.warning("%s batch %s: %s of %s records rejected", spec.query_name, batch_id, rejected, sum(counts.values()))
                 rejects = reject_rows(routed, settings.stamp())
-                tables.append(rejects, settings.rejects, tables.REJECTS, known, key, settings.rebalance)
+                writes.append(
+                    lambda: tables.append(rejects, settings.rejects, tables.REJECTS, known, key, settings.rebalance)
+                )
+            _together(batch.sparkSession, writes)
             totals.add(spec.query_name, batch_id, counts)
         finally:
             routed.unpersist()
@@ -143,13 +158,21 @@ def batch_writer(spec: StreamSpec, settings: IngestSettings, totals: Totals, que
     return write
 
 
-def ingest_batch(records: DataFrame, spec: StreamSpec, settings: IngestSettings) -> Totals:
-    """Route and write a bounded set of records without a stream."""
+def ingest_batch(
+    records: DataFrame, spec: StreamSpec, settings: IngestSettings, run_id: str | None = None
+) -> Totals:
+    """Route and write a bounded set of records without a stream.
+
+    In idempotent mode ``run_id`` names the set: running it again replaces what
+    it wrote before, so different sets need different names.
+    """
+    if settings.idempotent and not run_id:
+        raise ValueError("idempotent mode needs a run_id")
     totals = Totals()
     spark = records.sparkSession
     tables.open_table(spark, spec.target)
     tables.open_table(spark, settings.rejects)
-    batch_writer(spec, settings, totals, query_id="batch")(parse(records, spec, settings.codec), 0)
+    batch_writer(spec, settings, totals, query_id=run_id)(parse(records, spec, settings.codec), 0)
     return totals
 
 
