@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -68,10 +69,36 @@ def bean_text(domain: Column, properties: Column, attribute: Column, keys: Colum
     )
 
 
-def _fill(template: str, text: Column, pattern: str) -> Column:
+_PIECES = "ARRAY<STRUCT<text: STRING, group: INT>>"
+_RULE_TYPE = (
+    f"STRUCT<pattern: STRING, groups: INT, kind: STRING, name: {_PIECES}, "
+    f"labels: ARRAY<STRUCT<key: {_PIECES}, value: {_PIECES}>>>"
+)
+
+
+def _pieces(template: str) -> list[dict]:
+    """A template as texts and numbers of groups, in order."""
     parts = re.split(r"\$(\d+)", template)
-    pieces = [F.lit(p) if i % 2 == 0 else F.regexp_extract(text, pattern, int(p)) for i, p in enumerate(parts)]
-    return F.concat(*pieces) if len(pieces) > 1 else F.lit(template)
+    return [{"text": p, "group": 0} if i % 2 == 0 else {"text": "", "group": int(p)} for i, p in enumerate(parts)]
+
+
+def _rule_table(rules: Sequence[Rule]) -> Column:
+    """The rules as one constant, so that the plan does not hold an expression for each of them."""
+    rows = [
+        {
+            "pattern": r.pattern,
+            "groups": re.compile(r.pattern).groups,
+            "kind": r.kind,
+            "name": _pieces(r.name),
+            "labels": [{"key": _pieces(k), "value": _pieces(v)} for k, v in r.labels.items()],
+        }
+        for r in rules
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), f"ARRAY<{_RULE_TYPE}>")
+
+
+def _fill(pieces: Column, groups: Column) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.get(groups, p["group"] - 1), p["text"])), "")
 
 
 def _safe(name: Column) -> Column:
@@ -79,42 +106,39 @@ def _safe(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9:_]", "_"), "__+", "_")
 
 
-def _labels(rule: Rule, text: Column) -> Column:
-    if not rule.labels:
-        return F.create_map().cast("map<string,string>")
-    pairs = [
-        F.struct(_safe(_fill(k, text, rule.pattern)).alias("key"), _fill(v, text, rule.pattern).alias("value"))
-        for k, v in rule.labels.items()
-    ]
-    # A label without a name or a value is left out.
-    full = F.filter(F.array(*pairs), lambda p: (p["key"] != "") & (p["value"] != ""))
-    return F.map_from_entries(full)
-
-
 def name_rows(df: DataFrame, rules: Sequence[Rule] = BROKER_RULES, text: str = "bean") -> DataFrame:
     """Add ``metric``, ``labels`` and ``kind`` row by row; rows that no rule matches are dropped.
 
-    The number of the first matching rule is found once. Name and labels then
-    evaluate the groups of that rule only. Names are in lower case.
+    The first matching rule is found once. Its groups then fill the templates of
+    the name and the labels. Names are in lower case; a label without a name or
+    a value is left out.
     """
-    column = F.col(text)
-    chosen = F.lit(None).cast("int")
-    for number in reversed(range(len(rules))):
-        chosen = F.when(column.rlike(rules[number].pattern), F.lit(number)).otherwise(chosen)
-
-    def by_rule(build) -> Column:
-        out = None
-        for number, rule in enumerate(rules):
-            hit = F.col("rule") == number
-            out = F.when(hit, build(rule)) if out is None else out.when(hit, build(rule))
-        return out
-
-    ruled = df.withColumn("rule", chosen).where(F.col("rule").isNotNull())
+    column, groups, rule = F.col(text), F.col("groups"), F.col("rule")
+    number = F.lit(None).cast("int")
+    for place in range(len(rules), 0, -1):
+        number = F.when(column.rlike(rules[place - 1].pattern), F.lit(place)).otherwise(number)
+    most = max(re.compile(r.pattern).groups for r in rules)
+    found = [
+        F.when(rule["groups"] >= i, F.call_function("regexp_extract", column, rule["pattern"], F.lit(i)))
+        for i in range(1, most + 1)
+    ]
+    filled = F.transform(
+        rule["labels"],
+        lambda pair: F.struct(
+            _safe(_fill(pair["key"], groups)).alias("key"), _fill(pair["value"], groups).alias("value")
+        ),
+    )
+    ruled = (
+        df.withColumn("number", number)
+        .where(F.col("number").isNotNull())
+        .withColumn("rule", F.element_at(_rule_table(rules), F.col("number")))
+        .withColumn("groups", F.array(*found) if found else F.array().cast("array<string>"))
+    )
     return ruled.select(
         *df.columns,
-        F.lower(_safe(by_rule(lambda r: _fill(r.name, column, r.pattern)))).alias("metric"),
-        by_rule(lambda r: _labels(r, column)).alias("labels"),
-        by_rule(lambda r: F.lit(r.kind)).alias("kind"),
+        F.lower(_safe(_fill(rule["name"], groups))).alias("metric"),
+        F.map_from_entries(F.filter(filled, lambda pair: (pair["key"] != "") & (pair["value"] != ""))).alias("labels"),
+        rule["kind"].alias("kind"),
     )
 
 
