@@ -313,23 +313,41 @@ def evaluate_all(
     ``labels`` is the text of the labels a panel keeps, such as ``topic=a``.
     """
     values = {**ALL_VALUES, **(chosen or {})}
-    wanted = [(_selected(p, values), n, p) for n, p in panels]
+    # Many panels have the same conditions: each distinct set is evaluated once.
+    sets = list(dict.fromkeys(tuple(p.conditions(values)) for _, p in panels))
+    set_of = {n: f"match_{sets.index(tuple(p.conditions(values)))}" for n, p in panels}
     rows = samples.where(F.col("metric").isin(sorted({p.metric for _, p in panels})))
     calls = sorted({p.call for _, p in panels})
     rows = ranges.in_reach(rows, grid, timedelta(seconds=max(window for _, window in calls)))
-    points = [
-        ranges.FUNCTIONS[over](
-            rows.where(reduce(lambda a, b: a | b, [hit for hit, _, p in wanted if p.call == (over, window)])),
-            grid, timedelta(seconds=window), keep={},
-        ).withColumn("call", F.lit(calls.index((over, window))))
-        for over, window in calls
-    ]
+
+    def points_of(call: tuple[str, int]) -> DataFrame:
+        wanted: dict[str, set[str]] = {}
+        for n, p in panels:
+            if p.call == call:
+                wanted.setdefault(set_of[n], set()).add(p.metric)
+        hits = [
+            F.col("metric").isin(sorted(wanted[name])) & matches(conditions)
+            for name, conditions in ((f"match_{k}", c) for k, c in enumerate(sets))
+            if name in wanted
+        ]
+        over, window = call
+        chosen_rows = rows.where(reduce(lambda a, b: a | b, hits))
+        found = ranges.FUNCTIONS[over](chosen_rows, grid, timedelta(seconds=window), keep={})
+        return found.withColumn("call", F.lit(calls.index(call)))
+
+    points = [points_of(call) for call in calls]
     # One row per series and panel that shows it. The labels depend on the count,
     # or the test for a panel would move below the aggregate and run on every sample.
-    shares = F.array(*[F.when(hit, _share(n, p, calls.index(p.call))) for hit, n, p in wanted])
+    shares = F.array(
+        *[
+            F.when((F.col("metric") == p.metric) & F.col(set_of[n]), _share(n, p, calls.index(p.call)))
+            for n, p in panels
+        ]
+    )
     series = rows.groupBy(*ranges.series_id(), "metric", entries("labels").alias("pairs")).agg(F.count("*").alias("seen"))
     shown = (
         series.withColumn("labels", F.when(F.col("seen") > 0, F.map_from_entries("pairs")))
+        .withColumns({f"match_{k}": matches(conditions) for k, conditions in enumerate(sets)})
         .select(*ranges.SERIES, F.explode(F.array_compact(shares)).alias("share"))
         .select(*ranges.SERIES, "share.*")
     )
@@ -342,10 +360,6 @@ def evaluate_all(
     return summed.select("panel", "labels", "legend", "ts", value.alias("value"))
 
 
-def _selected(panel: Panel, values: Mapping[str, str]) -> Column:
-    return (F.col("metric") == panel.metric) & matches(panel.conditions(values))
-
-
 def _by_panel(panels: Sequence[tuple[int, Panel]], shown) -> Column:
     """The shown value of each panel; most show the value as it is."""
     out = F.col("value")
