@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tidewire.plans.oracles import ORACLES
+from tidewire.plans.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -26,7 +28,7 @@ def rows_of(columns, data):
     return sorted(tuple(text(row[i]) for i in order) for row in data)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, sf, engine, name):
     df = queries()[name](spark, sf)
     result = engine.execute(oracle_sql()[name])
@@ -38,7 +40,8 @@ def test_query_equals_its_sql(spark, sf, engine, name):
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
 
 
 def test_entry(spark):
