@@ -7,15 +7,17 @@ prefix and size are a group; groups meet in the lists of their prefix shingles,
 filtered by size and by how much of the shorter prefix they share, and are then
 expanded; their members' whole sets are verified.
 
-Only components are asked for. So the groups of a list are first held against the
-list's smallest group alone, and what that links becomes one component. Then only
-groups of different components in a list are held against each other, so a large
-family of copies costs one comparison each, and no link between components is lost.
+Only components are asked for. So the groups of a list are first held against two of
+them alone, the smallest and the smallest of another component, and what that links
+becomes one component; this is done again while it links much. Then only groups of
+different components in a list are held against each other, so a large family of
+copies costs a few comparisons each, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from tidewire.llm.words import U, mix, pieces, scan, signed
 WORDS = 5
 #: Similarity as a share of 100.
 LEAST = 80
-_SETS = "doc long, size int, body long, group long, last long, prefix array<long>"
+_SETS = "doc long, size int, body long, group long, last long, bits array<long>, prefix array<long>"
+#: Bits that a group's prefix is summed up in.
+BITS = 256
 _ORDER_HIGH = U(1) << U(62)
 _PLACES = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) * U(2) + U(1)
 
@@ -104,6 +108,11 @@ def prefix_size(size: np.ndarray | int) -> np.ndarray | int:
     return size - (size * LEAST + 99) // 100 + 1
 
 
+def _listed(arrays: tuple[np.ndarray, ...]) -> pa.Array:
+    edges = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(signed(np.concatenate(arrays))))
+
+
 def _set_rows(common: np.ndarray):
     by_hash = np.argsort(common, kind="stable")
     sorted_common = common[by_hash]
@@ -113,7 +122,7 @@ def _set_rows(common: np.ndarray):
             out: list[tuple] = []
             for doc, hashes in zip(batch.column("doc").to_pylist(), _text_sets(batch.column("text")), strict=True):
                 if not len(hashes):
-                    out.append((doc, 0, U(0), U(0), U(0), hashes))
+                    out.append((doc, 0, U(0), U(0), U(0), hashes, hashes))
                     continue
                 token = hashes >> U(2)
                 if len(common):
@@ -125,11 +134,11 @@ def _set_rows(common: np.ndarray):
                 with np.errstate(over="ignore"):
                     body = mix(hashes + U(11)).sum(dtype=U) ^ mix(np.array([len(hashes)], U))[0]
                     group = mix(first + U(len(hashes)) * U(0x9E3779B97F4A7C15)).sum(dtype=U)
-                out.append((doc, len(hashes), body, group, first[-1], first))
+                bits = np.zeros(BITS, bool)
+                bits[mix(first) % U(BITS)] = True
+                out.append((doc, len(hashes), body, group, first[-1], np.packbits(bits).view(U), first))
             if out:
-                doc, size, body, group, last, first = zip(*out, strict=True)
-                values = np.concatenate(first)
-                edges = np.cumsum([0, *map(len, first)])
+                doc, size, body, group, last, *lists = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc, pa.int64()),
@@ -137,32 +146,58 @@ def _set_rows(common: np.ndarray):
                         pa.array(signed(np.array(body, U))),
                         pa.array(signed(np.array(group, U))),
                         pa.array(signed(np.array(last, U))),
-                        pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(signed(values))),
+                        *map(_listed, lists),
                     ],
-                    names=["doc", "size", "body", "group", "last", "prefix"],
+                    names=["doc", "size", "body", "group", "last", "bits", "prefix"],
                 )
 
     return rows
 
 
-def _plausible(met: DataFrame, about: DataFrame) -> DataFrame:
-    """Pairs of groups (x, y) that their sizes and ``shared`` prefix shingles let be similar.
+def _possible(absent_x: Column, absent_y: Column) -> Column:
+    """Whether groups x and y can be similar, by their sizes and shingles of one that the other lacks.
 
-    The shingles of the prefix that ends first, other than the shared ones, are not in
-    the other set at all; with both sizes the overlap needed is known.
+    The shingles of the prefix that ends first, other than shared ones, are not in the
+    other set at all; with both sizes the overlap needed is known.
     """
-    for side in ("x", "y"):
-        met = met.join(about.withColumnsRenamed({"head": side, "size": f"{side}_size", "last": f"{side}_last"}), side)
     x, y = F.col("x_size").cast("long"), F.col("y_size").cast("long")
     need = F.ceil(LEAST * (x + y) / (100 + LEAST))
-
-    def enough(size: Column) -> Column:
-        prefix = size - F.floor((size * LEAST + 99) / 100) + 1
-        return size - (prefix - F.col("shared")) >= need
-
     x_first, y_first = F.col("x_last") <= F.col("y_last"), F.col("y_last") <= F.col("x_last")
     sizes = 100 * F.least(x, y) >= LEAST * F.greatest(x, y)
-    return met.where(sizes & (~x_first | enough(x)) & (~y_first | enough(y))).select("x", "y")
+    return sizes & (~x_first | (x - absent_x >= need)) & (~y_first | (y - absent_y >= need))
+
+
+def _plausible(met: DataFrame, about: DataFrame) -> DataFrame:
+    """Pairs of groups (x, y) that the number of their ``shared`` prefix shingles lets be similar."""
+    for side in ("x", "y"):
+        names = {"head": side, "size": f"{side}_size", "last": f"{side}_last"}
+        met = met.join(about.drop("bits").withColumnsRenamed(names), side)
+
+    def absent(size: Column) -> Column:
+        return size - F.floor((size.cast("long") * LEAST + 99) / 100) + 1 - F.col("shared")
+
+    return met.where(_possible(absent(F.col("x_size")), absent(F.col("y_size")))).select("x", "y")
+
+
+def _bits_lacking(x: str, y: str) -> Column:
+    """At least so many shingles of prefix ``x`` are not in prefix ``y``."""
+    return reduce(
+        Column.__add__, [F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(BITS // 64)]
+    )
+
+
+def _hubs(lists: DataFrame) -> DataFrame:
+    """(x, y, shared): groups y that share lists with a hub x of another component.
+
+    A list's hubs are its smallest group and the smallest one of another component.
+    """
+    firsts = lists.groupBy("shingle", "tag").agg(F.min("head").alias("hub"))
+    smallest = firsts.groupBy("shingle").agg(F.min(F.struct("hub", "tag")).alias("one"))
+    others = firsts.join(smallest, "shingle").where(F.col("tag") != F.col("one.tag"))
+    hubs = others.groupBy("shingle").agg(F.first("one").alias("one"), F.min(F.struct("hub", "tag")).alias("two"))
+    hubs = hubs.select("shingle", F.explode(F.array("one", "two")).alias("of"))
+    met = lists.join(hubs, "shingle").where(F.col("tag") != F.col("of.tag"))
+    return met.groupBy(F.col("of.hub").alias("x"), F.col("head").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -171,7 +206,6 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of documents whose whole sets are as similar as asked."""
-    pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct()
     wanted = written(only(texts, ids, "doc"), "pair-texts")
     left = wanted.select(F.col("doc").alias("a"), F.col("text").alias("a_text"))
@@ -198,7 +232,7 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def link_components(docs: DataFrame, common: int = 24) -> DataFrame:
+def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
     Two documents link when 100 times the shared shingles is at least 80 times all of
@@ -215,50 +249,70 @@ def link_components(docs: DataFrame, common: int = 24) -> DataFrame:
     # Equal sets are one node, named by its smallest document.
     nodes = written(
         named.groupBy("body", "size").agg(
-            F.min("doc").alias("node"), F.first("group").alias("group"), F.first("last").alias("last")
+            F.min("doc").alias("node"), *[F.first(c).alias(c) for c in ("group", "last", "bits")]
         ),
         "nodes",
     )
     # Equal prefixes and sizes are one group, named by its smallest document too.
-    groups = nodes.groupBy("group", "size").agg(F.min("node").alias("head"), F.first("last").alias("last"))
+    groups = nodes.groupBy("group", "size").agg(
+        F.min("node").alias("head"), F.first("last").alias("last"), F.first("bits").alias("bits")
+    )
     groups = written(groups, "groups")
-    about = groups.select("head", "size", "last")
+    about = groups.select("head", "size", "last", "bits")
     heads = groups.select(F.col("head").alias("doc"), "size", "group")
     prefixes = named.select("doc", "size", "group", "prefix").join(heads, ["doc", "size", "group"], "left_semi")
     lists = prefixes.select(F.explode("prefix").alias("shingle"), F.col("doc").alias("head"))
-    # Lists of one group are of no use; the smallest group is held against the others.
-    ends = lists.groupBy("shingle").agg(F.min("head").alias("hub"), F.max("head").alias("top"))
-    shared = lists.join(ends.where(F.col("hub") < F.col("top")).drop("top"), "shingle")
-    shared = written(shared.select("shingle", "head", "hub").distinct(), "lists")
+    # Lists of one group are of no use.
+    ends = lists.groupBy("shingle").agg(F.min("head").alias("low"), F.max("head").alias("high"))
+    shared = lists.join(ends.where(F.col("low") < F.col("high")).select("shingle"), "shingle", "left_semi")
+    shared = written(shared.distinct(), "lists")
 
     members = nodes.join(groups.select("group", "size", "head"), ["group", "size"]).select("node", "head")
-    met = shared.where(F.col("head") != F.col("hub")).groupBy(F.col("hub").alias("x"), F.col("head").alias("y"))
-    stars = _plausible(met.agg(F.count(F.lit(1)).alias("shared")), about)
-    # The members of a group, too, are held against its head.
-    expanded = stars.join(members.withColumnsRenamed({"head": "y", "node": "b"}), "y").select(F.col("x").alias("a"), "b")
-    own = members.select(F.col("head").alias("a"), F.col("node").alias("b"))
     texts = keyed.where(F.col("doc").isNotNull())
-    first = _ordered(expanded.unionAll(own))
-    links = _verified(first, texts)
-    labelled = written(_labelled(nodes, links), "nodes-labelled")
+    own = members.select(F.col("head").alias("a"), F.col("node").alias("b"))
+    alone = F.struct(F.col("head").alias("low"), F.col("head").alias("high"), F.lit(None).cast("long").alias("head"))
+    open_lists = shared.select("shingle", "head", alone.alias("tag"))
+    tried = links = None
+    for turn in range(rounds):
+        # A group and the members of the other are held against the hub; in the first turn the members of a group, too.
+        stars = _plausible(_hubs(open_lists), about)
+        pairs = stars.join(members.withColumnsRenamed({"head": "y", "node": "b"}), "y").select(F.col("x").alias("a"), "b")
+        pairs = _ordered(pairs.unionAll(own) if turn == 0 else pairs)
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        found = _verified(pairs, texts)
+        tried, links = (tried.unionAll(pairs), links.unionAll(found)) if turn else (pairs, found)
+        labelled = written(_labelled(nodes, links), "nodes-labelled")
+        by_group = labelled.join(groups.select("group", "size", "head"), ["group", "size"]).select(
+            "head", "node", "component"
+        )
+        kinds = by_group.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        # Groups of one component share a tag; a group that spans several has its own.
+        tag = F.struct("low", "high", F.when(F.col("low") < F.col("high"), F.col("head")).alias("head"))
+        tagged = open_lists.select("shingle", "head").join(kinds.select("head", tag.alias("tag")), "head")
+        several = tagged.groupBy("shingle").agg(F.min("tag").alias("x"), F.max("tag").alias("y"))
+        several = several.where(F.col("x") < F.col("y")).select("shingle")
+        open_lists = written(tagged.join(several, "shingle", "left_semi"), "lists-open")
+        if found.count() < 0.2 * pairs.count():
+            break
 
     # What is left: groups of a list, or members of a group, in different components.
-    by_group = labelled.join(groups.select("group", "size", "head"), ["group", "size"]).select("head", "node", "component")
-    low, high = F.min("component").alias("low"), F.max("component").alias("high")
-    kinds = by_group.groupBy("head").agg(low, high)
-    # Groups of one component share a tag; a group that spans several has its own.
-    tag = F.struct("low", "high", F.when(F.col("low") < F.col("high"), F.col("head")).alias("head"))
-    entries = shared.select("shingle", "head").join(kinds.select("head", tag.alias("tag")), "head")
-    several = entries.groupBy("shingle").agg(F.min("tag").alias("x"), F.max("tag").alias("y"))
-    several = several.where(F.col("x") < F.col("y")).select("shingle")
-    open_lists = written(entries.join(several, "shingle", "left_semi"), "lists-open")
-    tags = open_lists.select("shingle", "tag").distinct()
-    crossing = tags.withColumnRenamed("tag", "x_tag").join(tags.withColumnRenamed("tag", "y_tag"), "shingle")
-    crossing = crossing.where(F.col("x_tag") < F.col("y_tag"))
+    # Each pair of components in a list is joined to its smaller side first; pairs of groups
+    # whose summed-up prefixes differ too much are no rows at all.
+    tags = open_lists.groupBy("shingle", "tag").agg(F.struct(F.count(F.lit(1)).alias("n"), "tag").alias("of"))
+    crossing = tags.select("shingle", F.col("of").alias("x_of")).join(tags.select("shingle", F.col("of").alias("y_of")), "shingle")
+    crossing = crossing.where(F.col("x_of") < F.col("y_of")).select(
+        "shingle", F.col("x_of.tag").alias("x_tag"), F.col("y_of.tag").alias("y_tag")
+    )
+    told = open_lists.join(about, "head")
+    x, y = (
+        told.withColumnsRenamed({"head": s, **{c: f"{s}_{c}" for c in ("tag", "size", "last", "bits")}}) for s in ("x", "y")
+    )
     met = (
-        crossing.join(open_lists.withColumnsRenamed({"tag": "x_tag", "head": "x"}), ["shingle", "x_tag"])
-        .join(open_lists.withColumnsRenamed({"tag": "y_tag", "head": "y"}), ["shingle", "y_tag"])
-        .groupBy("x", "y")
+        crossing.join(x, ["shingle", "x_tag"])
+        .join(y, ["shingle", "y_tag"])
+        .where(_possible(_bits_lacking("x_bits", "y_bits"), _bits_lacking("y_bits", "x_bits")))
+        # Which side is the smaller differs from list to list.
+        .groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .agg(F.count(F.lit(1)).alias("shared"))
     )
     split = kinds.where(F.col("low") < F.col("high")).select(F.col("head").alias("x"), F.col("head").alias("y"))
@@ -270,7 +324,7 @@ def link_components(docs: DataFrame, common: int = 24) -> DataFrame:
         .where(F.col("a_in") != F.col("b_in"))
         .select("a", "b")
     )
-    more = _verified(_ordered(pairs).join(first, ["a", "b"], "left_anti"), texts)
+    more = _verified(written(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "pairs"), texts)
     # Rows of one doc_id with different sets tie these sets together.
     where = named.select("doc", "body", "size").join(nodes.select("body", "size", "node"), ["body", "size"])
     ends = where.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b"))
