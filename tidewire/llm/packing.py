@@ -11,13 +11,16 @@ the pieces of their length.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +30,78 @@ from tidewire.llm.words import pieces as sliced
 END = (0).to_bytes(4, "little")
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
+# Fixed value: how the vocabulary's tokenizer splits words before it merges.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same for words of lower-case Latin-1 letters and printable ASCII, and which words are such.
+_LATIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable bytes for themselves, the others from 256 up."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
 
 class WordIds:
     """Token ids of words as little-endian bytes, kept for words that were seen.
 
     The tokenizer drops white space and merges only within words, so a text's ids
-    are those of its parts between blanks and line feeds.
+    are those of its parts between blanks and line feeds. Plain Latin words are split
+    here and merged by the tokenizer's model alone; all others go through the whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.seen = Tokenizer.from_file(path), most, {"": b""}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(parts)).difference(self.seen))
-        if len(self.seen) + len(new) > self.most:
-            self.seen = {"": b""}
-            new = [w for w in set(chain.from_iterable(parts)) if w]
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.seen[word] = np.array(found.ids, "<u4").tobytes()
-        for words in parts:
-            yield b"".join(map(self.seen.__getitem__, words)) + END
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.seen: dict[str, bytes] = {"": b""}
+        self.merged: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)["pre_tokenizer"].get("pretokenizers", [{}])
+        self.known = steps[0].get("pattern") == {"Regex": SPLIT}
+
+    def _of(self, words: list[str]) -> list[bytes]:
+        if len(self.seen) + len(words) > self.most:
+            self.seen, self.merged = {"": b""}, {}
+        seen, merged, rest = self.seen, self.merged, []
+        new = set(words).difference(seen)
+        for word in new:
+            if self.known and _LATIN.fullmatch(word) and "<|" not in word:
+                parts = _LATIN_SPLIT.findall(word.lower())
+                for part in parts:
+                    if part not in merged:
+                        letters = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+                        merged[part] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                seen[word] = merged[parts[0]] if len(parts) == 1 else b"".join([merged[p] for p in parts])
+            else:
+                rest.append(word)
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            seen[word] = array("I", found.ids).tobytes()
+        return [seen[word] for word in words]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """For each text the ids and the end id; null is empty."""
+        plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        if self.known and not pc.any(pc.match_substring(plain, "<|")).as_py():
+            # The tokenizer lowers letters itself, behind its special tokens; so there are fewer words to keep.
+            plain = pc.ascii_lower(plain)
+        lists = pc.split_pattern(plain, " ")
+        coded = lists.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        ids = self._of(coded.dictionary.to_pylist())
+        sizes = np.array([len(b) // 4 for b in ids], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        taken = sizes[which]
+        ends = np.cumsum(taken)
+        places = np.repeat(begins[which] - (ends - taken), taken) + np.arange(taken.sum())
+        tokens = np.frombuffer(b"".join(ids), "<u4")[places]
+        edges = np.append(0, ends)[lists.offsets.to_numpy()]
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield tokens[low:high].tobytes() + END
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -61,10 +112,10 @@ def _tokenized(path: str, size: int, with_ids: bool):
         if path not in _tokenizers:
             _tokenizers[path] = WordIds(path)
         words, step = _tokenizers[path], 4 * size
-        for batch in sliced(batches):
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+        for batch in sliced(batches, 4 << 20):
             out: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts), strict=True):
+            encoded = words.encode(batch.column("text"))
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 for n, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     out.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
