@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import executed
+from tidewire.operators import rewrite
 from tidewire.plans import reports, tables
 from tidewire.streaming import ingest
 from tidewire.sources import fixtures, records
@@ -137,11 +138,21 @@ def test_replayed_events_fit_the_event_table(spark, sf, folder):
     spec = sample_registry(folder, f"{folder}/c")[0]
     settings = ingest.IngestSettings(f"{folder}/rejects")
     ingest.ingest_batch(fixtures.faulty_records(fixtures.events(spark, sf)), spec, settings)
-    again = reports.replay(tables.read(spark, tables.REJECTS, settings.rejects), spec, reasons=["unsupported_version"])
+    rejects, only = tables.read(spark, tables.REJECTS, settings.rejects), ["unsupported_version"]
+    assert reports.replayed_events(reports.replay(rejects, spec, reasons=only)).count() == 0
+    again = reports.replay(rejects, spec, reasons=only, accepted=only)
     tables.append(reports.replayed_events(again), spec.target, tables.EVENTS)
     assert tables.read(spark, tables.EVENTS, spec.target).count() == 350 + 50
 
 
+def test_catalog_targets_are_refused_where_only_folders_work(spark, sf, folder):
+    rows = spark.createDataFrame([], tables.EVENTS.columns)
+    with pytest.raises(ValueError):
+        tables.append(rows, "cat.db.t", tables.EVENTS, batch=("q", 0))
+    with pytest.raises(ValueError):
+        rewrite.delete_where(spark, "cat.db.t", tables.EVENTS, F.lit(True))
+
+
 def test_broker_options():
     spec = sample_registry("/t", "/c")[0]
     source = records.BrokerRecords("host:9092", "latest", records_per_task=1000, offsets_per_trigger=10**6)

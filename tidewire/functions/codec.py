@@ -33,9 +33,14 @@ class JsonCodec:
         wire = T.StructType([*fields.fields, T.StructField(_CORRUPT, T.StringType())])
         options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
         # Two steps, so that the text is parsed once per row: the second only reads fields.
-        parsed = df.withColumn(out, F.from_json(F.col(value).cast("string"), wire, options))
-        whole = F.col(out).isNotNull() & F.col(out)[_CORRUPT].isNull()
-        return parsed.withColumn(out, F.when(whole, F.struct(*[F.col(out)[f].alias(f) for f in fields.names])))
+        kept = df.withColumn(f"_text_{value}", F.col(value).cast("string"))
+        parsed = kept.withColumn(out, F.from_json(F.col(f"_text_{value}"), wire, options))
+        # One object and nothing behind it: text after it makes the list unreadable or longer.
+        alone = F.json_array_length(F.concat(F.lit("["), F.col(f"_text_{value}"), F.lit("]"))) == 1
+        whole = F.col(out).isNotNull() & F.col(out)[_CORRUPT].isNull() & F.coalesce(alone, F.lit(False))
+        return parsed.withColumn(out, F.when(whole, F.struct(*[F.col(out)[f].alias(f) for f in fields.names]))).drop(
+            f"_text_{value}"
+        )
 
     def encode(self, payload: Column, spec: StreamSpec) -> Column:
         return F.to_json(payload).cast("binary")

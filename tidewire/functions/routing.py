@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,13 +60,23 @@ def record_route(expected: str, max_version: int) -> Column:
     )
 
 
-def replay_route(expected: str) -> Column:
-    """Route of a stored reject: headers other than the schema name are gone."""
-    schema = F.col("schema_name")
+def replay_route(expected: str, accepted: Sequence[str] = ()) -> Column:
+    """Route of a stored reject whose stored reason is ``was``.
+
+    Headers other than the schema name are gone, so a version that was refused stays
+    refused unless ``accepted`` names the reason.
+    """
+    schema, was = F.col("schema_name"), F.col("was")
+
+    def still(reason: str) -> tuple[Column, str]:
+        return (F.lit(False) if reason in accepted else was == reason), reason
+
     return first_failure(
         [
             (schema.isNull(), MISSING_SCHEMA),
+            still(MISSING_VERSION),
             (schema != F.lit(expected), SCHEMA_MISMATCH),
+            still(UNSUPPORTED_VERSION),
             *content_rules(),
         ]
     )

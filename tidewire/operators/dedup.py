@@ -30,15 +30,16 @@ def first_copies(df: DataFrame, key: Sequence[str] = EVENT_KEY, order: Sequence[
 def first_deliveries(stream: DataFrame, lateness: str = "1 hour", salts: int = 1) -> DataFrame:
     """Records of a stream without repeats of the same coordinates.
 
-    State is kept for ``lateness`` only, so it does not grow without end. All
-    copies of a record meet in one task; where single records may come very
+    A record's coordinates are kept for ``lateness`` from when it arrives, whatever
+    its own time, so a first delivery is never late and never dropped; a repeat that
+    comes after that passes. State does not grow without end. All copies of a record meet in one task; where single records may come very
     often, ``salts`` first drops copies in that many groups by input partition,
     at the price of a second state.
     """
     if not set(RECORD_KEY) <= set(stream.columns):
         raise ValueError(f"the stream needs {RECORD_KEY} as in {RECORD_SCHEMA.names}")
-    rows = stream.withWatermark("timestamp", lateness)
+    rows = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", lateness)
     if salts > 1:
         salted = rows.withColumn("salt", F.spark_partition_id() % salts)
         rows = salted.dropDuplicatesWithinWatermark([*RECORD_KEY, "salt"]).drop("salt")
-    return rows.dropDuplicatesWithinWatermark(list(RECORD_KEY))
+    return rows.dropDuplicatesWithinWatermark(list(RECORD_KEY)).drop("_arrived")

@@ -122,8 +122,11 @@ def _chunked(samples: DataFrame, grid: Grid, window: timedelta, chunk: timedelta
         .withColumn("hi", F.least("hi", F.col("chunk") * per_chunk + (per_chunk - 1)))
     )
     order = Window.partitionBy(*SERIES, "chunk").orderBy("at", "value")
+    # A sample that was delivered again is no sample of its own; of one instant the first in order stays.
+    once = seen.withColumn("last_at", F.lag("at").over(order)).where(~F.col("at").eqNullSafe(F.col("last_at")))
     return (
-        seen.withColumn("before", F.lag(F.struct("at", "value")).over(order))
+        once.drop("last_at")
+        .withColumn("before", F.lag(F.struct("at", "value")).over(order))
         .withColumn("next_at", F.lead("at").over(order))
         .withColumn("place", F.row_number().over(order))
         .withColumn("fall", F.when(F.col("value") < F.col("before.value"), F.col("before.value")).otherwise(0.0))

@@ -3,7 +3,7 @@
 The new content of the touched partitions is first written beside the table and
 then read back to replace them, since a plan must not overwrite what it reads.
 The staged copy survives a failure in between, and the second step can simply
-run again. On a v2 catalog use MERGE, UPDATE and DELETE instead.
+run again. On a v2 catalog use MERGE, UPDATE and DELETE instead; its tables are refused here.
 """
 
 from __future__ import annotations
@@ -25,6 +25,12 @@ def _keys(table: DataFrame, layout: Layout) -> list[str]:
     return layout.folder_partitions + [c for c in tables.BATCH_PARTITIONS if c in table.columns]
 
 
+def _folder(target: str) -> str:
+    if not tables.is_folder(target):
+        raise ValueError(f"{target} is no folder: change tables of a catalog with MERGE, UPDATE and DELETE")
+    return target
+
+
 def _partitions(df: DataFrame, keys: list[str]) -> list[tuple]:
     """Distinct partition values: as many as the table has folders at most,
     which is what the driver holds anyway to plan a scan."""
@@ -68,7 +74,7 @@ def _replace(spark: SparkSession, target: str, touched: list[tuple], content: Da
 
 def delete_where(spark: SparkSession, target: str, layout: Layout, condition: Column) -> None:
     """Delete the rows for which the condition is true."""
-    table = tables.read(spark, layout, target)
+    table = tables.read(spark, layout, _folder(target))
     keys = _keys(table, layout)
     touched = _partitions(table.where(condition), keys)
     if touched:
@@ -90,7 +96,7 @@ def upsert(
     twice = changes.groupBy(*key).count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"more than one change for {tuple(twice[0][k] for k in key)}")
-    table = tables.read(spark, layout, target)
+    table = tables.read(spark, layout, _folder(target))
     keys = _keys(table, layout)
     new = _new_rows(changes, layout, keys)
     changed = changes.select(*key)
@@ -105,7 +111,7 @@ def update_where(
     spark: SparkSession, target: str, layout: Layout, condition: Column, values: dict[str, Column]
 ) -> None:
     """Set columns of the rows for which the condition is true."""
-    table = tables.read(spark, layout, target)
+    table = tables.read(spark, layout, _folder(target))
     keys = _keys(table, layout)
     old = _partitions(table.where(condition), keys)
     if not old:

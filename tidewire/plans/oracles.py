@@ -6,7 +6,6 @@ joined with every sample of their window, routes follow from the kind of fault.
 
 from __future__ import annotations
 
-from tidewire.functions.codec import protobuf_runtime
 from tidewire.operators.naming import BROKER_RULES, REBALANCER_RULES
 from tidewire.plans import panels
 from tidewire.sources import fixtures
@@ -59,9 +58,6 @@ s AS (
   FROM runs
 )"""
 
-# See the queries: settles values that end in half a millionth.
-SHIFT = 1.234567e-08
-
 _OK = "SELECT event_id AS id, ts AS datetime, schema_name, rawdata FROM routed WHERE route = 'ok'"
 
 
@@ -202,7 +198,7 @@ def _legend(panel: panels.Panel) -> str:
 
 
 def _round(value: str) -> str:
-    return f"round({value} + {SHIFT!r}, 6)"
+    return f"CAST(CAST({value} AS FLOAT) AS DOUBLE)"
 
 
 def _panel(number: int, step: int = 60) -> str:
@@ -388,7 +384,7 @@ ORACLES: dict[str, str] = {
       min(id) AS first_id, max(id) AS last_id FROM typed GROUP BY ALL""",
     "dedup_events": f"WITH {RECORDS} {_OK}",
     "dlq_replay": f"""WITH {RECORDS} SELECT route AS was, CASE WHEN schema_name IS NULL THEN 'missing_schema'
-      WHEN schema_name <> 'Event' THEN 'schema_mismatch' WHEN m IN (6, 7, 8) THEN 'deserialize_error'
+      WHEN route IN ('missing_version', 'unsupported_version') THEN route WHEN schema_name <> 'Event' THEN 'schema_mismatch' WHEN m IN (6, 7, 8) THEN 'deserialize_error'
       WHEN m = 9 THEN 'required_null' ELSE 'ok' END AS reason, schema_name, rawdata,
       CASE WHEN m NOT IN (6, 7, 8) THEN event_id END AS id, CASE WHEN m NOT IN (6, 7, 8, 9) THEN ts END AS datetime
       FROM routed WHERE route <> 'ok'""",
@@ -456,8 +452,3 @@ ORACLES: dict[str, str] = {
     "log_recent": f"""WITH {LOGS} SELECT ts, path, log FROM logs WHERE ts >= TIMESTAMP '2024-01-19 23:55:00'
       ORDER BY ts, path, log LIMIT 5""",
 }
-
-if protobuf_runtime():
-    ORACLES["decode_protobuf"] = """SELECT event_id, CASE WHEN event_id % 10 <> 9 THEN event_id END AS id,
-      CASE WHEN event_id % 10 <> 9 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END AS datetime,
-      CASE WHEN event_id % 10 <> 9 THEN 'hello from producer #' || event_id END AS name FROM events"""

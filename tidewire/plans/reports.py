@@ -51,16 +51,23 @@ def all_events(spark: SparkSession, specs: Sequence[StreamSpec], view: str | Non
     return rows
 
 
-def replay(rejects: DataFrame, spec: StreamSpec, codec=JsonCodec(), reasons: Sequence[str] | None = None) -> DataFrame:
+def replay(
+    rejects: DataFrame,
+    spec: StreamSpec,
+    codec=JsonCodec(),
+    reasons: Sequence[str] | None = None,
+    accepted: Sequence[str] = (),
+) -> DataFrame:
     """Decode stored rejects again.
 
     ``reason`` becomes what is wrong with a row now, ``ok`` when nothing is, and
-    ``was`` keeps the stored reason.
+    ``was`` keeps the stored reason. A missing or unsupported version stays a fault
+    unless ``accepted`` names it.
     """
     rows = rejects.where(F.col("reason").isin(*reasons)) if reasons else rejects
     rows = rows.withColumnRenamed("reason", "was").withColumn("payload", F.col("rawdata"))
     decoded = codec.decode(rows, "payload", spec).withColumn("event_time", event_time())
-    return decoded.withColumn("reason", replay_route(spec.schema_name))
+    return decoded.withColumn("reason", replay_route(spec.schema_name, accepted))
 
 
 def replayed_events(replayed: DataFrame) -> DataFrame:

@@ -164,6 +164,8 @@ def append(
     """
     rows = conform(df, layout)
     if not is_folder(target):
+        if batch is not None:
+            raise ValueError(f"{target}: single micro-batches can be replaced in folder tables only")
         rows.writeTo(target).append()
         return
     rows = with_partitions(rows, layout, known)

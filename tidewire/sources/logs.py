@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.containers import parse_line
+from tidewire.sources.paths import ANY_AGE
+
 
 def _located(lines: DataFrame) -> DataFrame:
     """The file of each line, and the split of the file it was read from."""
@@ -42,7 +44,7 @@ def tail(spark: SparkSession, folder: str, files_per_trigger: int | None = None)
     A file is read once, when it appears, so logs should arrive as rotated,
     finished files.
     """
-    reader = spark.readStream.option("recursiveFileLookup", "true")
+    reader = spark.readStream.option("recursiveFileLookup", "true").options(**ANY_AGE)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return _located(reader.text(folder))

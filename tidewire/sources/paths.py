@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+# A file source passes over files dated so much before the newest one; no file may be.
+ANY_AGE = {"maxFileAge": "36500d"}
+
+
 def _store(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

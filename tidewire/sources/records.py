@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.registry import StreamSpec
+from tidewire.sources.paths import ANY_AGE
 from tidewire.sources import paths
 
 HEADERS_TYPE = T.ArrayType(
@@ -54,7 +55,7 @@ class FolderRecords:
         return f"{self.root}/topic={topic}"
 
     def stream(self, spark: SparkSession, spec: StreamSpec) -> DataFrame:
-        reader = spark.readStream.schema(RECORD_SCHEMA)
+        reader = spark.readStream.schema(RECORD_SCHEMA).options(**ANY_AGE)
         if self.files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.files_per_trigger)
         else:
