@@ -52,7 +52,7 @@ class WordIds:
     here and merged by the tokenizer's model alone; all others go through the whole.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -112,7 +112,7 @@ def _tokenized(path: str, size: int, with_ids: bool):
         if path not in _tokenizers:
             _tokenizers[path] = WordIds(path)
         words, step = _tokenizers[path], 4 * size
-        for batch in sliced(batches, 4 << 20):
+        for batch in sliced(batches, 2 << 20):
             out: list[tuple] = []
             encoded = words.encode(batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):

@@ -105,7 +105,7 @@ def scan(texts: pa.Array, lower: bool = False) -> Scan:
     return Scan(data, offsets, begin, end, hashes, np.searchsorted(begin, offsets))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Batches cut into slices with about ``limit`` bytes of ``text``, one row at least.
 
     Bounds the arrays of a task; only a single longer text goes beyond.
