@@ -212,6 +212,33 @@ def test_command_line(spark, folder):
             cli.parse_args(wrong)
 
 
+def test_command_line_with_protobuf_and_replayable_writes(spark, folder):
+    from tidewire import __main__ as cli
+    from tidewire.functions.codec import JsonCodec, ProtobufCodec
+
+    with open(f"{folder}/events.desc", "wb") as file:
+        file.write(b"\x0a\x03abc")
+    ingest_args = ["ingest", "--folder", f"{folder}/r", "--tables", f"{folder}/t", "--checkpoints", f"{folder}/c"]
+    plain = cli.parse_args(ingest_args)
+    coded = cli.parse_args([*ingest_args, "--descriptor", f"{folder}/events.desc", "--package", "a.b"])
+    assert isinstance(cli.codec(spark, plain), JsonCodec)
+    assert cli.codec(spark, coded) == ProtobufCodec(b"\x0a\x03abc")
+    cli.produce(spark, cli.parse_args(["produce", "--folder", f"{folder}/r", "--count", "5"]))
+    again = cli.parse_args([*ingest_args, "--idempotent", "--rebalance"])
+    assert dict(cli.consume(spark, again).routes("consumer-Event")) == {"ok": 5}
+    catalog = ["ingest", "--folder", "r", "--tables", "cat.events", "--checkpoints", "/c"]
+    for wrong in ([*ingest_args, "--descriptor", "d"], [*ingest_args, "--package", "a"], [*catalog, "--idempotent"]):
+        with pytest.raises(SystemExit):
+            cli.parse_args(wrong)
+
+
+def test_message_names_come_from_the_package():
+    from tidewire.registry import sample_registry
+
+    assert sample_registry("/t", "/c", package="a.b")[0].message == "a.b.Event"
+    assert sample_registry("/t", "/c")[0].message == ""
+
+
 def test_sample_registry_of_a_catalog():
     from tidewire.registry import sample_registry
 

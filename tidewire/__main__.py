@@ -2,18 +2,22 @@
 
     spark-submit ... -m tidewire produce --folder DIR --count 100
     spark-submit ... -m tidewire ingest --folder DIR --tables DIR --checkpoints DIR
+
+Payloads are JSON, or Protobuf with ``--descriptor FILE --package NAME``.
 """
 
 from __future__ import annotations
 
 import argparse
 import logging
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.codec import JsonCodec, ProtobufCodec
 from tidewire.plans.tables import is_folder
-from tidewire.registry import DLQ_TABLE, sample_registry
+from tidewire.registry import DLQ_TABLE, EVENT_PRODUCER, message_name, sample_registry
 from tidewire.session import build_session
 from tidewire.sources import generator, records
 from tidewire.streaming import ingest
@@ -30,18 +34,36 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
         place.add_argument("--folder", help="folder of records")
         place.add_argument("--servers", help="broker addresses")
         command.add_argument("--checkpoints", help="folder for checkpoints")
+        command.add_argument("--descriptor", help="descriptor set of Protobuf payloads; JSON without it")
+        command.add_argument("--package", default="", help="the messages' package in the descriptor set")
     produce, consume = commands.choices["produce"], commands.choices["ingest"]
     produce.add_argument("--count", type=int, default=generator.DEFAULT_COUNT, help="records per topic")
     produce.add_argument("--interval", type=float, default=generator.DEFAULT_INTERVAL_SECONDS, help="seconds between records when infinite")
     produce.add_argument("--infinite", action="store_true", help="go on until stopped; needs --checkpoints")
     consume.add_argument("--tables", required=True, help="folder for tables, or catalog and namespace")
     consume.add_argument("--starting-offsets", choices=records.STARTING, default="earliest", help="used on the first run only")
+    consume.add_argument("--idempotent", action="store_true", help="a replayed micro-batch replaces its rows; folder tables only")
+    consume.add_argument("--rebalance", action="store_true", help="gather rows by day before writing, for backlogs of many days")
     args = parser.parse_args(argv)
     if not args.checkpoints and (args.command == "ingest" or args.infinite):
         parser.error("--checkpoints is required")
+    if bool(args.descriptor) != bool(args.package):
+        parser.error("--descriptor and --package go together")
+    if args.command == "ingest" and args.idempotent and not is_folder(args.tables):
+        parser.error("--idempotent needs folder tables")
     return args
 
 
+def codec(spark: SparkSession, args: argparse.Namespace) -> JsonCodec | ProtobufCodec:
+    """The payload codec; the descriptor set, one small file, is read through Spark from any store."""
+    if not args.descriptor:
+        return JsonCodec()
+    file = spark.read.format("binaryFile").load(args.descriptor).select("content").first()
+    if file is None:
+        raise FileNotFoundError(args.descriptor)
+    return ProtobufCodec(bytes(file["content"]))
+
+
 def _send(args: argparse.Namespace, rows: DataFrame) -> None:
     if args.servers:
         records.write_broker(rows, args.servers)
@@ -50,11 +72,13 @@ def _send(args: argparse.Namespace, rows: DataFrame) -> None:
 
 
 def produce(spark: SparkSession, args: argparse.Namespace) -> None:
+    producer = replace(EVENT_PRODUCER, message=message_name(args.package, EVENT_PRODUCER.schema_name))
+    wire = {"producers": [producer], "codec": codec(spark, args)}
     if not args.infinite:
-        _send(args, generator.records(generator.bounded(spark, args.count)))
+        _send(args, generator.records(generator.bounded(spark, args.count), **wire))
         return
     (
-        generator.records(generator.unbounded(spark, args.interval))
+        generator.records(generator.unbounded(spark, args.interval), **wire)
         .writeStream.option("checkpointLocation", f"{args.checkpoints}/producer")
         .trigger(processingTime=f"{args.interval} seconds")
         .foreachBatch(lambda batch, batch_id: _send(args, batch))
@@ -65,12 +89,15 @@ def produce(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def consume(spark: SparkSession, args: argparse.Namespace) -> ingest.Totals:
     joint = "/" if is_folder(args.tables) else "."
-    specs = sample_registry(args.tables, args.checkpoints, joint=joint)
+    specs = sample_registry(args.tables, args.checkpoints, joint=joint, package=args.package)
     if args.servers:
         source = records.BrokerRecords(args.servers, args.starting_offsets)
     else:
         source = records.FolderRecords(args.folder, args.starting_offsets)
-    totals = ingest.run(spark, specs, source, ingest.IngestSettings(f"{args.tables}{joint}{DLQ_TABLE}"))
+    settings = ingest.IngestSettings(
+        f"{args.tables}{joint}{DLQ_TABLE}", codec(spark, args), idempotent=args.idempotent, rebalance=args.rebalance
+    )
+    totals = ingest.run(spark, specs, source, settings)
     for spec in specs:
         log.info("%s: %s", spec.query_name, dict(totals.routes(spec.query_name)))
     return totals

@@ -47,12 +47,14 @@ class ProducerSpec:
     """One destination topic and the payload it receives.
 
     ``payload`` maps the index column and the stamp column to a struct column.
+    ``message`` is its full name in the descriptor set, as in ``StreamSpec``.
     """
 
     topic: str
     payload: Callable[[Column, Column], Column]
     schema_name: str
     version: int = 1
+    message: str = ""
 
 
 def event_payload(index: Column, stamp: Column) -> Column:
@@ -93,12 +95,18 @@ def validate(specs: Sequence[StreamSpec]) -> list[StreamSpec]:
     return list(specs)
 
 
+def message_name(package: str, schema_name: str) -> str:
+    """Full name of a message; without a package there is no descriptor to look it up in."""
+    return f"{package}.{schema_name}" if package else ""
+
+
 def sample_registry(
-    tables: str, checkpoints: str, topics: Sequence[str] = (EVENT_TOPIC,), joint: str = "/"
+    tables: str, checkpoints: str, topics: Sequence[str] = (EVENT_TOPIC,), joint: str = "/", package: str = ""
 ) -> list[StreamSpec]:
     """The sample streams, with tables and folders below ``tables`` and ``checkpoints``.
 
-    ``joint`` is ``.`` when ``tables`` is a catalog and namespace.
+    ``joint`` is ``.`` when ``tables`` is a catalog and namespace; ``package`` is
+    the messages' package in the descriptor set.
     """
     known = {
         EVENT_TOPIC: ("Event", EVENT_TABLE),
@@ -111,6 +119,7 @@ def sample_registry(
                 topic=t,
                 target=f"{tables}{joint}{known[t][1]}",
                 checkpoint=f"{checkpoints}/{known[t][0].lower()}",
+                message=message_name(package, known[t][0]),
             )
             for t in topics
         ]

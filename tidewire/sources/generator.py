@@ -47,7 +47,7 @@ def records(
     now = F.current_timestamp() if stamp is None else stamp
 
     def one(producer: ProducerSpec) -> DataFrame:
-        spec = StreamSpec(producer.schema_name, producer.topic, "-", "-", producer.version)
+        spec = StreamSpec(producer.schema_name, producer.topic, "-", "-", producer.version, producer.message)
         return indexes.select(
             F.col(index).cast("string").cast("binary").alias("key"),
             codec.encode(producer.payload(F.col(index), now), spec).alias("value"),
