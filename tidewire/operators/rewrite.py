@@ -56,6 +56,13 @@ def _new_rows(rows: DataFrame, layout: Layout, keys: list[str]) -> DataFrame:
     return rows.select("*", *[values[k].alias(k) for k in keys if k in values])
 
 
+def _staged(spark: SparkSession, rows: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """``rows`` written below the shared folder and read back, and where."""
+    path = work_dir(spark, purpose)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path
+
+
 def _replace(spark: SparkSession, target: str, touched: list[tuple], content: DataFrame, keys: list[str]) -> None:
     staged_path = work_dir(spark, "staged")
     content.hint("rebalance", *[F.col(k) for k in keys]).write.partitionBy(*keys).parquet(staged_path)
@@ -89,12 +96,13 @@ def upsert(
 
     A changed row may move to another day, so the partitions that hold old
     versions are found by key, reading only the key columns. The key must be
-    unique within the changes.
+    unique within the changes, which are written once, as they are read several times.
     """
     key = list(key)
-    changes = changes.select(*layout.names)
+    changes, given = _staged(spark, changes.select(*layout.names), "changes")
     twice = changes.groupBy(*key).count().where("count > 1").limit(1).collect()
     if twice:
+        paths.drop_dir(spark, given)
         raise ValueError(f"more than one change for {tuple(twice[0][k] for k in key)}")
     table = tables.read(spark, layout, _folder(target))
     keys = _keys(table, layout)
@@ -105,6 +113,7 @@ def upsert(
     if touched:
         kept = table.where(_inside(touched, keys)).join(changed, key, "left_anti")
         _replace(spark, target, touched, kept.unionByName(new), keys)
+    paths.drop_dir(spark, given)
 
 
 def update_where(

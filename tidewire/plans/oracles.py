@@ -390,15 +390,15 @@ ORACLES: dict[str, str] = {
       FROM routed WHERE route <> 'ok'""",
     "partition_prune": f"""WITH {TYPES} SELECT id, datetime, schema_name, rawdata FROM typed
       WHERE schema_name = 'Event' AND datetime > TIMESTAMP '2024-01-20'""",
-    "cow_upsert": f"""WITH {TYPES} SELECT id, datetime, schema_name, rawdata FROM typed WHERE event_type = 'signup'
+    "cow_upsert": f"""WITH {TYPES} SELECT id, datetime, schema_name, rawdata FROM typed WHERE event_type <> 'purchase'
       UNION ALL SELECT id, datetime + INTERVAL 1 DAY, 'Notification', 'changed' FROM typed
       WHERE event_type IN ('purchase', 'error')""",
-    "cow_delete": f"""WITH {TYPES} SELECT id, datetime, schema_name, rawdata FROM typed WHERE schema_name = 'Notification'
-      AND NOT (datetime < TIMESTAMP '2024-01-03' OR hour(datetime) = 5)""",
+    "cow_delete": f"""WITH {TYPES} SELECT id, datetime, schema_name, rawdata FROM typed
+      WHERE NOT (datetime < TIMESTAMP '2024-01-03' OR hour(datetime) = 5)""",
     "cow_update": f"""WITH {TYPES} SELECT id,
       CASE WHEN hour(datetime) >= 18 THEN datetime + INTERVAL 12 HOUR ELSE datetime END AS datetime, schema_name,
       CASE WHEN hour(datetime) >= 18 THEN 'late' ELSE rawdata END AS rawdata
-      FROM typed WHERE schema_name = 'Notification'""",
+      FROM typed""",
     "consumer_lag": """WITH ends AS (SELECT (event_id % 3)::INTEGER AS partition, max(event_id // 3) + 1 AS log_end FROM events GROUP BY 1),
       done AS (SELECT (event_id % 3)::INTEGER AS partition, max(event_id // 3) + 1 AS committed FROM events
         WHERE event_id < (SELECT count(*) FROM events) / 2 GROUP BY 1)

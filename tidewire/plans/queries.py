@@ -7,6 +7,7 @@ read back, so a query takes the way a job would take.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -340,17 +341,19 @@ def partition_prune(spark, sf_dir):
 
 
 def _own_table(spark: SparkSession, sf_dir: str) -> str:
-    """A table that a query may change: purchases and signups as one type."""
-    job = Job(spark, (NOTIFICATION_TOPIC,), "changed")
+    """A table that a query may change: all events, of both types."""
+    job = Job(spark, (EVENT_TOPIC, NOTIFICATION_TOPIC), "changed")
     rows = fixtures.two_topic_records(fixtures.events(spark, sf_dir))
-    ingest.ingest_batch(rows.where(F.col("topic") == NOTIFICATION_TOPIC), job.specs[0], job.settings)
-    return job.specs[0].target
+    target = job.specs[0].target
+    for spec in job.specs:
+        ingest.ingest_batch(rows.where(F.col("topic") == spec.topic), replace(spec, target=target), job.settings)
+    return target
 
 
 @query
 def cow_upsert(spark, sf_dir):
     target = _own_table(spark, sf_dir)
-    # Purchases move by a day, errors are new.
+    # Purchases move by a day; errors are new as notifications, beside the events of their id.
     events = fixtures.events(spark, sf_dir).where(F.col("event_type").isin("purchase", "error"))
     changes = events.select(
         F.col("event_id").alias("id"),
