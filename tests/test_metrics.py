@@ -193,3 +193,12 @@ def test_table_page(spark):
 def test_last_offsets_feed_the_lag_panel(spark, sf):
     rows = QUERIES["consumer_lag"](spark, "/root/testdata/sf0.01").orderBy("partition").collect()
     assert [(r.log_end, r.committed, r.lag) for r in rows] == [(3334, 1667, 1667), (3333, 1667, 1666), (3333, 1666, 1667)]
+
+
+def test_all_choices_are_those_of_each_variable(spark, sf):
+    for board in ("exporter", "broker"):
+        rows = _scraped(spark, sf, board)
+        got = {tuple(r) for r in panels.all_choices(rows, board, CHOSEN).collect()}
+        single = [(v.name, panels.choices(rows, v, CHOSEN)) for v in panels.VARIABLES if v.dashboard == board]
+        assert got == {(name, r.value) for name, found in single for r in found.collect()}
+        assert executed(panels.all_choices(rows, board, CHOSEN)).count("Scan parquet") == 1

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -6,6 +7,8 @@ from pyspark.sql import functions as F
 from tidewire.operators import logs, naming
 from tidewire.sources import fixtures
 from tidewire.sources import logs as log_source
+from tidewire.streaming import logs as log_job
+from tidewire.streaming import metrics as metric_job
 
 LINES = "path string, stream string, line_no bigint, block bigint, ts timestamp, partial boolean, log string"
 
@@ -74,8 +77,6 @@ def test_new_log_files_are_read_once(spark, folder):
         with open(f"{folder}/in/{name}", "w") as f:
             f.write("".join(f"2024-01-01T00:00:00Z stdout {flag} {text}\n" for flag, text in lines))
 
-    import os
-
     os.makedirs(f"{folder}/in")
     args = (spark, f"{folder}/in", f"{folder}/out", f"{folder}/cp")
     put("a.log", ("P", "1"), ("P", "2"), ("F", "3"), ("F", "4"))
@@ -89,6 +90,90 @@ def test_new_log_files_are_read_once(spark, folder):
     assert sorted(r.log for r in logs.join_partials(log_source.read(spark, f"{folder}/in")).collect()) == ["123", "4", "5"]
 
 
+def _log_run(spark, folder):
+    pods = spark.createDataFrame([("ns", "p", "n1")], "namespace string, pod_name string, node_name string")
+    return log_job.collect(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", pods)
+
+
+def _log_texts(spark, folder):
+    return sorted((r.log, r.node_name, r.complete) for r in spark.read.parquet(f"{folder}/out").collect())
+
+
+def test_growing_log_files_give_each_message_once(spark, folder):
+    name = f"p_ns_main-{'0' * 64}.log"
+    os.makedirs(f"{folder}/in")
+
+    def put(mode, text, file=name, date=None):
+        with open(f"{folder}/in/{file}", mode) as f:
+            f.write(text)
+        if date:
+            os.utime(f"{folder}/in/{file}", (date, date))
+
+    line = "2024-01-01T00:00:0{}Z stdout {} {}\n".format
+    put("w", line(1, "F", "é one") + line(2, "P", "tw") + "2024-01-01T00:00:02Z std")
+    assert _log_run(spark, folder) == 0
+    assert _log_texts(spark, folder) == [("é one", "n1", True)]
+    # The unfinished line and the open message go on; an old-dated file appears; another has no known form.
+    put("a", "out F o\n\n" + line(4, "P", "th"))
+    put("w", line(5, "F", "old"), "other.log", date=1)
+    assert _log_run(spark, folder) == 1
+    assert _log_texts(spark, folder) == [("", "n1", True), ("old", None, True), ("two", "n1", True), ("é one", "n1", True)]
+    assert _log_run(spark, folder) is None
+    # The file begins anew: what was open ends there.
+    put("w", line(6, "F", "new"))
+    assert _log_run(spark, folder) == 2
+    assert [t for t in _log_texts(spark, folder) if t[0] in ("th", "new")] == [("new", "n1", True), ("th", "n1", False)]
+
+
+def test_broken_off_log_run_is_done_again(spark, folder, monkeypatch):
+    os.makedirs(f"{folder}/in")
+    with open(f"{folder}/in/a.log", "w") as f:
+        f.write("2024-01-01T00:00:00Z stdout F one\n")
+    _log_run(spark, folder)
+    with open(f"{folder}/in/a.log", "a") as f:
+        f.write("2024-01-01T00:00:00Z stdout F two\n")
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(log_job.paths, "make_dir", fail)
+        with pytest.raises(RuntimeError):
+            _log_run(spark, folder)
+    assert log_job.last_run(spark, f"{folder}/state") == 0
+    assert _log_run(spark, folder) == 1
+    assert [t[0] for t in _log_texts(spark, folder)] == ["one", "two"]
+
+
+def test_places_of_lines_in_files_of_many_splits(spark, folder):
+    rng = random.Random(3)
+    lines = [str(i) + "x" * rng.randrange(300) for i in range(2000)]
+    os.makedirs(f"{folder}/in")
+    with open(f"{folder}/in/a.log", "w") as f:
+        f.write("\n".join(lines))
+    before = spark.createDataFrame([], "path string, position long")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        found, positions = log_source.appended(spark, f"{folder}/in", before)
+        got = [r.value for r in found.orderBy("line_no").collect()]
+        assert positions.collect()[0].position == sum(len(t) + 1 for t in lines[:-1])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == lines[:-1]
+
+
+def test_target_labels_come_before_those_of_beans(spark):
+    labels = {"__meta_kubernetes_pod_label_strimzi_io_kind": "Kafka", "topic": "t"}
+    bean = "kafka.server<type=BrokerTopicMetrics, name=BytesInPerSec, topic=a><>Count"
+    df = spark.sql("SELECT timestamp'2024-01-01' AS ts, 1.0D AS value").withColumns(
+        {"bean": F.lit(bean), "labels": F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])}
+    )
+    assert metric_job.sampled(df).collect()[0].labels == {"exported_topic": "a", "topic": "t", "strimzi_io_kind": "Kafka"}
+    other = df.withColumn("labels", F.create_map(F.lit("__meta_kubernetes_pod_label_strimzi_io_kind"), F.lit("Pod")))
+    assert metric_job.sampled(other).count() == 0
+
+
 BEANS = [
     ("java.lang<type=Memory><HeapMemoryUsage>used", "jvm_memory_bytes_used", {"area": "heap"}, "GAUGE"),
     ("java.lang<type=Memory><NonHeapMemoryUsage>max", "jvm_memory_bytes_max", {"area": "nonheap"}, "GAUGE"),

@@ -38,14 +38,18 @@ def label_values(samples: DataFrame, name: str) -> DataFrame:
     return samples.select(value).where(F.col("value") != "").distinct().orderBy("value")
 
 
+def series_text() -> Column:
+    """``metric{a="x",b="y"}`` of a series with its labels as ``pairs``."""
+    pairs = F.transform("pairs", lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))
+    return F.concat(F.col("metric"), F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
 def captured_values(samples: DataFrame, pattern: str) -> DataFrame:
     """Distinct first captures of a pattern over ``metric{a="x",b="y"}``, sorted."""
     # Samples are reduced to series first. The text depends on the count, or the
     # match would move below the aggregate and run on every sample.
     series = samples.groupBy("metric", entries("labels").alias("pairs")).agg(F.count("*").alias("seen"))
-    pairs = F.transform("pairs", lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"')))
-    text = F.concat(F.col("metric"), F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-    named = series.select(F.when(F.col("seen") > 0, text).alias("text"))
+    named = series.select(F.when(F.col("seen") > 0, series_text()).alias("text"))
     found = named.where(F.col("text").rlike(pattern)).select(F.regexp_extract("text", pattern, 1).alias("value"))
     return found.distinct().orderBy("value")
 

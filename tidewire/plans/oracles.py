@@ -289,6 +289,18 @@ def _beans() -> str:
     )
 
 
+def _idle_beans() -> str:
+    """One panel over the beans of the network processors; series differ in pod and kind."""
+    panel, kind = panels.PANELS[43], _choice(fixtures.RESOURCE_KINDS, "event_id")
+    bean = next(n for n, b in enumerate(fixtures.BEANS) if "name=NetworkProcessorAvgIdlePercent" in b[1])
+    return f"""WITH s AS (
+  SELECT '{panel.metric}' AS metric, user_id % 5 || {kind} AS series, {_CLOCK} AS t, value AS v FROM events
+  WHERE event_id % {len(fixtures.BEANS)} = {bean} AND {kind} IN ('Kafka', 'KafkaConnect', 'KafkaMirrorMaker', 'KafkaMirrorMaker2')
+),{_range('r', panel.over, panel.window, 60, _LAST)}
+SELECT 'my-cluster-kafka-' || series[1] AS kubernetes_pod_name, {_TS} AS ts, {_round(f"sum({_shown(panel)})")} AS value
+FROM r GROUP BY ALL"""
+
+
 def _relabel() -> str:
     pod, kind = "(user_id % 5)", _choice(fixtures.RESOURCE_KINDS, "event_id")
     labels = {
@@ -434,6 +446,7 @@ ORACLES: dict[str, str] = {
     "dashboard_exporter": _dashboard("exporter"),
     "dashboard_broker": _dashboard("broker"),
     "dashboard_operators": _dashboard("operators"),
+    "metric_pipeline": _idle_beans(),
     "jmx_normalize": _normalize(),
     "relabel": _relabel(),
     "log_lines": f"WITH {LOGS} SELECT ts, stream, FALSE AS partial, log FROM logs",
@@ -447,6 +460,11 @@ ORACLES: dict[str, str] = {
       CASE WHEN user_id % 7 < 3 THEN 'front' WHEN user_id % 7 <> 6 THEN 'back' END AS app FROM events""",
     "log_streams": f"""SELECT {_NAMESPACE} AS namespace, 'web-' || user_id % 7 AS pod_name, 'logs-' || {_STREAM} AS log_stream,
       count(*) AS cnt FROM events GROUP BY ALL""",
+    "log_pipeline": f"""WITH {LOGS} SELECT ts, stream, {_NAMESPACE} AS namespace, 'web-' || user_id % 7 AS pod_name,
+      'logs-' || {_STREAM} AS log_stream, CASE WHEN user_id % 7 <> 6 THEN 'node-' || (user_id % 7) % 3 END AS node_name,
+      CASE WHEN user_id % 7 < 3 THEN 'front' WHEN user_id % 7 <> 6 THEN 'back' END AS app,
+      CASE WHEN NOT is_json THEN log END AS log, CASE WHEN is_json THEN event_id::VARCHAR END AS id,
+      CASE WHEN is_json THEN event_type END AS event, TRUE AS complete FROM logs""",
     "log_latest_streams": f"""WITH {LOGS} SELECT path, max(ts) AS last_event FROM logs GROUP BY path
       ORDER BY last_event DESC, path LIMIT 5""",
     "log_recent": f"""WITH {LOGS} SELECT ts, path, log FROM logs WHERE ts >= TIMESTAMP '2024-01-19 23:55:00'

@@ -274,6 +274,37 @@ def choices(samples: DataFrame, variable: Variable, chosen: Mapping[str, str] |
     return aggregates.captured_values(rows, Template(variable.pattern).safe_substitute(values))
 
 
+def all_choices(samples: DataFrame, dashboard: str, chosen: Mapping[str, str] | None = None) -> DataFrame:
+    """``variable, value`` of all variables of a dashboard, as ``choices`` gives them one by one.
+
+    Samples are reduced to series in one pass; a series then gives its value to each
+    variable that it matches.
+    """
+    values = {**ALL_VALUES, **(chosen or {})}
+    asked = [v for v in VARIABLES if v.dashboard == dashboard]
+    rows = samples.where(F.col("metric").isin(sorted({v.metric for v in asked})))
+    series = rows.groupBy("metric", entries("labels").alias("pairs")).agg(F.count("*").alias("seen"))
+    # Both depend on the count, so neither is worked out on every sample.
+    series = series.select(
+        "metric",
+        F.when(F.col("seen") > 0, F.map_from_entries("pairs")).alias("labels"),
+        F.when(F.col("seen") > 0, aggregates.series_text()).alias("text"),
+    )
+
+    def given(variable: Variable) -> Column:
+        conditions = [Matcher(n, op, Template(v).substitute(values)) for n, op, v in variable.matchers]
+        if variable.label:
+            value, has = label(variable.label), label(variable.label) != ""
+        else:
+            pattern = Template(variable.pattern).safe_substitute(values)
+            value, has = F.regexp_extract("text", pattern, 1), F.col("text").rlike(pattern)
+        hit = (F.col("metric") == variable.metric) & matches(conditions) & has
+        return F.when(hit, F.struct(F.lit(variable.name).alias("variable"), value.alias("value")))
+
+    pairs = F.explode(F.array_compact(F.array(*map(given, asked)))).alias("given")
+    return series.select(pairs).select("given.*").distinct()
+
+
 def _window(panel: Panel) -> timedelta:
     return timedelta(seconds=panel.window)
 

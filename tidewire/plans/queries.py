@@ -32,6 +32,8 @@ from tidewire.session import work_dir
 from tidewire.sources import fixtures, generator, records, samples
 from tidewire.sources import logs as log_source
 from tidewire.streaming import ingest
+from tidewire.streaming import logs as log_job
+from tidewire.streaming import metrics as metric_job
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -488,14 +490,11 @@ def label_match(spark, sf_dir):
 
 @query
 def label_values(spark, sf_dir):
-    boards = {b: _scraped(spark, sf_dir, b) for b in ("exporter", "broker")}
     lists = [
-        panels.choices(boards[v.dashboard], v, CHOSEN).select(
-            F.lit(v.dashboard).alias("dashboard"), F.lit(v.name).alias("variable"), "value"
-        )
-        for v in panels.VARIABLES
+        panels.all_choices(_scraped(spark, sf_dir, b), b, CHOSEN).select(F.lit(b).alias("dashboard"), "variable", "value")
+        for b in ("exporter", "broker")
     ]
-    return reduce(DataFrame.unionByName, lists)
+    return reduce(DataFrame.unionByName, lists).orderBy("dashboard", "variable", "value")
 
 
 @query
@@ -532,6 +531,14 @@ for _name in ("exporter", "broker", "operators"):
     QUERIES[f"dashboard_{_name}"] = _dashboard(_name)
 
 
+@query
+def metric_pipeline(spark, sf_dir):
+    path = work_dir(spark, "metric-job")
+    metric_job.collect(fixtures.scraped_beans(fixtures.events(spark, sf_dir)), path)
+    idle = panels.PANELS[43]
+    return rounded(panels.evaluate(samples.read(spark, path), idle, _scrape_grid(spark, sf_dir), CHOSEN))
+
+
 # Shaping of metrics and logs.
 
 
@@ -589,6 +596,24 @@ def log_streams(spark, sf_dir):
     return spark.read.parquet(target).groupBy("namespace", "pod_name", "log_stream").agg(F.count("*").alias("cnt"))
 
 
+@query
+def log_pipeline(spark, sf_dir):
+    events = fixtures.events(spark, sf_dir)
+    root = work_dir(spark, "log-job")
+    lines = fixtures.container_lines(events)
+    # The first run finds the files as they were halfway, one of them in the middle of a message.
+    half = F.lit(events.count() // 2)
+    early = (F.col("event_id") < half) | ((F.col("event_id") == half) & (F.col("n") == 0))
+    for written in (lines.where(early), lines):
+        fixtures.write_container_files(written, f"{root}/files")
+        log_job.collect(spark, f"{root}/files", f"{root}/streams", f"{root}/state", fixtures.pods(events), "logs-")
+    found = spark.read.parquet(f"{root}/streams")
+    return found.select(
+        "ts", "stream", "namespace", "pod_name", "log_stream", "node_name", "app", "log",
+        F.col("fields")["id"].alias("id"), F.col("fields")["event"].alias("event"), "complete",
+    )
+
+
 @query
 def log_latest_streams(spark, sf_dir):
     return logs.latest_streams(fixtures.log_lines(fixtures.events(spark, sf_dir)))

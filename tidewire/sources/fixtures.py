@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidewire.functions.headers import build_headers
 from tidewire.operators.naming import bean_text
 from tidewire.registry import EVENT_TOPIC, NOTIFICATION_TOPIC, iso_utc
+from tidewire.session import work_dir
+from tidewire.sources import paths
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +115,11 @@ def _pick(values: Sequence[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
+def _scrape_time() -> Column:
+    start = F.unix_micros(F.lit(SCRAPE_START).cast("timestamp"))
+    return F.timestamp_micros(start + F.expr(f"event_id div {SLOTS}") * (SCRAPE_SECONDS * 1_000_000))
+
+
 def scrape_samples(events: DataFrame, dashboard: str, metrics: Sequence[str]) -> DataFrame:
     """Samples of the given metrics as one dashboard's targets would report them.
 
@@ -153,10 +160,9 @@ def scrape_samples(events: DataFrame, dashboard: str, metrics: Sequence[str]) ->
     without = F.create_map(*[c for k, v in labels.items() if k != "topic" for c in (F.lit(k), v)])
     # On the broker's board one target in five has no topic.
     labelled = F.when(topic == 4, without).otherwise(full) if dashboard == "broker" else full
-    clock = F.unix_micros(F.lit(SCRAPE_START).cast("timestamp")) + scrape * (SCRAPE_SECONDS * 1_000_000)
     scraped = events.select(
         labelled.alias("labels"),
-        F.timestamp_micros(clock).alias("ts"),
+        _scrape_time().alias("ts"),
         (scrape % 200 * 500 + F.col("value")).alias("rising"),
         (F.col("event_id") % 2).cast("double").alias("flag"),
     )
@@ -200,8 +206,7 @@ BEANS = (
 )
 
 
-def beans(events: DataFrame) -> DataFrame:
-    """One raw bean attribute per event: ``event_id, bean, value``."""
+def _bean() -> Column:
     index = (F.col("event_id") % len(BEANS) + 1).cast("int")
 
     def part(position: int) -> Column:
@@ -210,12 +215,20 @@ def beans(events: DataFrame) -> DataFrame:
     properties = part(1)
     for mark, value in (("{t}", F.col("event_type")), ("{p}", (F.col("event_id") % 3).cast("string")), ("{n}", (F.col("user_id") % 7).cast("string"))):
         properties = F.replace(properties, F.lit(mark), value)
-    text = bean_text(part(0), properties, part(3), part(2))
-    return events.select("event_id", text.alias("bean"), "value")
+    return bean_text(part(0), properties, part(3), part(2))
 
 
-def pod_targets(events: DataFrame) -> DataFrame:
-    """Samples as scraped, with the metadata labels of their pod."""
+def beans(events: DataFrame) -> DataFrame:
+    """One raw bean attribute per event: ``event_id, bean, value``."""
+    return events.select("event_id", _bean().alias("bean"), "value")
+
+
+def scraped_beans(events: DataFrame) -> DataFrame:
+    """Beans with the time of their scrape and the metadata labels of their target."""
+    return events.select(_bean().alias("bean"), _target_labels().alias("labels"), _scrape_time().alias("ts"), "value")
+
+
+def _target_labels() -> Column:
     n = (F.col("user_id") % 5).cast("string")
     labels = {
         "__meta_kubernetes_namespace": F.lit("kafka"),
@@ -227,8 +240,12 @@ def pod_targets(events: DataFrame) -> DataFrame:
         "__meta_kubernetes_pod_label_app": F.lit("web"),
         "namespace": F.col("event_type"),
     }
-    pairs = [c for k, v in labels.items() for c in (F.lit(k), v)]
-    return events.select("event_id", F.lit("up").alias("metric"), F.create_map(*pairs).alias("labels"), "ts", "value")
+    return F.create_map(*[c for k, v in labels.items() for c in (F.lit(k), v)])
+
+
+def pod_targets(events: DataFrame) -> DataFrame:
+    """Samples as scraped, with the metadata labels of their pod."""
+    return events.select("event_id", F.lit("up").alias("metric"), _target_labels().alias("labels"), "ts", "value")
 
 
 def _pod_path() -> Column:
@@ -251,6 +268,34 @@ def log_lines(events: DataFrame) -> DataFrame:
     return events.select("event_id", _pod_path().alias("path"), "ts", stream.alias("stream"), log.alias("log"))
 
 
+def container_lines(events: DataFrame, size: int = 16) -> DataFrame:
+    """The raw lines of ``log_lines`` by the name of their file, long messages cut into partial pieces."""
+    pieces = F.regexp_extract_all("log", F.lit("(?s).{1,%d}" % size), F.lit(0))
+    cut = log_lines(events).select(
+        "event_id",
+        F.substring_index("path", "/", -1).alias("name"),
+        "ts",
+        "stream",
+        F.size(pieces).alias("pieces"),
+        F.posexplode(pieces).alias("n", "piece"),
+    )
+    flag = F.when(F.col("n") < F.col("pieces") - 1, F.lit("P")).otherwise(F.lit("F"))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return cut.select("name", "event_id", "n", F.concat_ws(" ", time, "stream", flag, "piece").alias("value"))
+
+
+def write_container_files(lines: DataFrame, folder: str) -> None:
+    """One file per container; a file that was there is replaced, as if it had grown."""
+    spark = lines.sparkSession
+    staged = work_dir(spark, "container-files")
+    ordered = lines.repartition("name").sortWithinPartitions("name", "event_id", "n")
+    ordered.select("name", "value").write.partitionBy("name").text(staged)
+    for held in paths.children(spark, staged):
+        for part in paths.children(spark, f"{staged}/{held}"):
+            if part.startswith("part-"):
+                paths.move(spark, f"{staged}/{held}/{part}", f"{folder}/{held.removeprefix('name=')}")
+
+
 def pods(events: DataFrame) -> DataFrame:
     """Metadata of the pods whose number is not 6."""
     number = F.col("user_id") % 7

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.containers import parse_line
@@ -17,15 +17,18 @@ def _located(lines: DataFrame) -> DataFrame:
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """``path, block, line_no, ts, stream, partial, log``; a line of unknown form keeps its text.
+    """``path, block, line_no, ts, stream, partial, log`` of raw lines.
 
     A split is read in order by one task, so ``line_no`` orders its lines.
     """
-    found = raw.withColumn("line_no", F.monotonically_increasing_id()).withColumn("line", parse_line(F.col("value")))
+    return fields(raw.withColumn("line_no", F.monotonically_increasing_id()))
+
+
+def fields(raw: DataFrame) -> DataFrame:
+    """``ts, stream, partial, log`` in place of ``value``; a line of unknown form keeps its text."""
+    found = raw.withColumn("line", parse_line(F.col("value")))
     return found.select(
-        "path",
-        "block",
-        "line_no",
+        *[c for c in raw.columns if c != "value"],
         F.col("line.ts").alias("ts"),
         F.coalesce("line.stream", F.lit("stdout")).alias("stream"),
         F.coalesce("line.partial", F.lit(False)).alias("partial"),
@@ -42,7 +45,7 @@ def tail(spark: SparkSession, folder: str, files_per_trigger: int | None = None)
     """A stream of raw lines; ``parsed`` is for its micro-batches.
 
     A file is read once, when it appears, so logs should arrive as rotated,
-    finished files.
+    finished files; ``appended`` is for files that still grow.
     """
     reader = spark.readStream.option("recursiveFileLookup", "true").options(**ANY_AGE)
     if files_per_trigger:
@@ -79,11 +82,80 @@ def collect_new(
     )
 
 
-def write_streams(logs: DataFrame, target: str, prefix: str = "") -> None:
-    """Append logs, one folder per namespace and pod; ``log_stream`` names the stream.
+def appended(
+    spark: SparkSession, folder: str, before: DataFrame, files: str = "*.log"
+) -> tuple[DataFrame, DataFrame] | None:
+    """(lines, positions): what was appended to the files of a folder; None when no file changed.
+
+    ``before`` and ``positions`` hold the bytes read of each ``path``. Lines have
+    ``path, line_no, value``; ``line_no`` is the byte at which a line begins. A last
+    line without its line feed is left for the next time. A file shorter than what
+    was read of it began anew; a renamed file counts as another one. However old a
+    file's date is, its size alone says whether it changed.
+
+    Only changed files are opened, and these are read from their start: rotation
+    bounds their size. A line's place is the sum of the bytes before it, by split and
+    then by the splits of a file, so a large file is not read by one task. The driver
+    sees the names of changed files, as any reader of files does.
+    """
+    listed = (
+        spark.read.format("binaryFile")
+        .options(recursiveFileLookup="true", pathGlobFilter=files)
+        .load(folder)
+        .select(
+            F.col("path").alias("name"),
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_size").alias("size"),
+        )
+    )
+    since = listed.join(before, "path", "left")
+    changed = since.where(F.col("size") != F.coalesce("position", F.lit(0)))
+    names = [row["name"] for row in changed.select("name").collect()]
+    if not names:
+        return None
+    raw = spark.read.text(names, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"),
+        (F.octet_length("value") + 1).cast("long").alias("bytes"),
+        "value",
+    )
+    blocks = raw.groupBy("path", "size", "block").agg(F.sum("bytes").alias("length"), F.max_by("bytes", "n").alias("last"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.select("path", "block", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("base"))
+    upto = Window.partitionBy("path", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.col("base") + F.col("end")
+    placed = (
+        raw.withColumn("end", F.sum("bytes").over(upto))
+        .join(bases, ["path", "block"])
+        .join(before, "path", "left")
+        .withColumn("end", ends)
+    )
+    known = F.coalesce(F.when(F.col("position") <= F.col("size"), F.col("position")), F.lit(0))
+    lines = placed.where((F.col("end") > known) & (F.col("end") <= F.col("size")))
+    # Beyond the size is only a last line, which is unfinished or came after the listing.
+    totals = blocks.groupBy("path", F.col("size").alias("read")).agg(
+        F.sum("length").alias("total"), F.max_by("last", "block").alias("last")
+    )
+    whole = F.when(F.col("total") > F.col("read"), F.col("total") - F.col("last")).otherwise(F.col("total"))
+    positions = since.join(totals, "path", "left").select("path", F.coalesce(whole, known).alias("position"))
+    return lines.select("path", (F.col("end") - F.col("bytes")).alias("line_no"), "value"), positions
+
+
+def write_streams(logs: DataFrame, target: str, prefix: str = "", run: int | None = None) -> None:
+    """Append logs, one folder per day, namespace and pod; ``log_stream`` names the stream.
 
-    Busy pods are split over several files and quiet ones gathered.
+    Busy pods are split over several files and quiet ones gathered. With ``run``
+    each run has partitions of its own, which it replaces when it is done again.
     """
     named = logs.withColumn("log_stream", F.concat(F.lit(prefix), F.regexp_extract("path", r"([^/]+?)(\.log)?$", 1)))
-    named = named.hint("rebalance", F.col("namespace"), F.col("pod_name"))
-    named.write.mode("append").partitionBy("namespace", "pod_name").parquet(target)
+    named = named.withColumn("day", F.to_date("ts"))
+    keys = ["day", "namespace", "pod_name"]
+    named = named.hint("rebalance", *map(F.col, keys))
+    if run is None:
+        named.write.mode("append").partitionBy(*keys).parquet(target)
+        return
+    named.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *keys, "run"
+    ).parquet(target)

@@ -25,6 +25,21 @@ def make_dir(spark: SparkSession, path: str) -> None:
     store.mkdirs(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none when it is absent."""
+    store, target = _store(spark, path)
+    return [found.getPath().getName() for found in store.listStatus(target)] if store.exists(target) else []
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Give a file another name; it replaces a file of that name."""
+    store, end = _store(spark, target)
+    _, begin = _store(spark, source)
+    store.mkdirs(end.getParent())
+    store.delete(end, False)
+    store.rename(begin, end)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Remove a folder and what is in it; no error when it is absent."""
     store, target = _store(spark, path)
