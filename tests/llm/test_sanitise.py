@@ -85,6 +85,27 @@ def test_sanitised_texts(work, odd_docs, no_docs):
     assert find_personal(odd_docs).count() == odd_docs.count()
 
 
+def test_telling_terms_are_reported_in_all_texts(work):
+    gap = "filler " * 40
+    texts = [f"Élan+zor@guild.example {gap} Zorblax{i % 2} met Quimby, QUIMBY" for i in range(20)]
+    texts += ["Quimby alone, far from zorblax1@x.y"] + [f"nothing here {i}" for i in range(300)]
+    texts += ["+1 555 123 4567 Pair pair a.b@c.de"] * 2
+    docs = work.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def found(**settings):
+        rows = find_personal(docs, **settings).collect()
+        return {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"] for r in rows}
+
+    terms = found()
+    # Beyond any window, at every place, and in the text without the address; what overlaps an address is none.
+    assert terms[0] == ["filler"] * 40 + ["Zorblax0", "met", "Quimby", "QUIMBY"]
+    assert terms[20] == ["Quimby"] and terms[21] == []
+    # Two documents are too few at 0.9, and judged, not left out, below it.
+    assert terms[321] == [] and found(disclosure=0.85)[321] == ["Pair", "pair"]
+    cleaned = {r["doc_id"]: r["text"] for r in sanitise(docs, remove_at=2.0).collect()}
+    assert cleaned[20] == "[NAME] alone, far from [EMAIL]"
+
+
 def test_plan_has_no_python(work):
     plan = find_personal(real_docs(work))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -2,10 +2,10 @@
 
 A term discloses an entity as far as it tells which one is meant: the pointwise
 mutual information of term and entity over the corpus, as a share of the
-information of the entity itself (1: the term occurs with this entity only).
-Terms near an entity whose share exceeds a threshold are generalised, those above
-a second one removed. Counts are documents, over the whole corpus. Expressions and
-joins of Spark only.
+information of the entity itself (1: the term occurs with this entity only), smoothed
+for rare pairs. Terms whose share exceeds a threshold are generalised wherever they
+stand, those above a second one removed. Counts are whole documents, over the whole
+corpus. Expressions and joins of Spark only.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.spans import SPANS, matches, no_spans, replaced
+from tidewire.llm.spans import matches, no_spans, replaced, span
 from tidewire.llm.store import written
 
 # The kinds and patterns of the base scan. Where a run of characters fails at
@@ -67,47 +67,124 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def _contexts(text: Column, base: Column, reach: int) -> Column:
-    """For each base span the terms within ``reach`` code points, clear of all base spans."""
-
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - reach, F.lit(0))
-        high = s["end"] + reach
-        words = matches(F.substring(text, low + 1, high - low), TERM, "term", 4)
-        placed = F.transform(
-            words,
-            lambda w: F.struct(
-                (w["start"] + low).alias("start"),
-                w["kind_no"].alias("kind_no"),
-                (w["end"] + low).alias("end"),
-                w["kind"].alias("kind"),
-                w["value"].alias("value"),
-            ),
-        )
-        # A word cut by the edge of the window is not a term.
-        whole = F.filter(
-            placed,
-            lambda w: ((w["start"] > low) | (low == 0))
-            & ((w["end"] < high) | (w["end"] == F.length(text)))
-            & ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])),
+def _veiled(text: Column, base: Column) -> Column:
+    """``text`` with the letters and digits of its base spans replaced by a letter that no base span has.
+
+    TERM finds its matches at the same places in both; those that differ overlap a base span.
+    """
+
+    def step(state: Column, s: Column) -> Column:
+        low, high = F.greatest(state["at"], s["start"]), F.greatest(state["at"], s["end"])
+        gap = F.substring(text, state["at"] + 1, low - state["at"])
+        veil = F.regexp_replace(F.substring(text, low + 1, high - low), "[A-Za-z0-9]", "\u2e2f")
+        return F.struct(high.alias("at"), F.concat(state["out"], F.array(gap, veil)).alias("out"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate(
+        base, none, step, lambda s: F.concat(F.concat_ws("", s["out"]), F.substring(text, s["at"] + 1, F.length(text)))
+    )
+    return F.when(F.size(base) > 0, done).otherwise(text)
+
+
+def _found(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+
+
+def _terms(text: Column, base: Column) -> Column:
+    """The distinct terms of a whole text, in lower case, clear of its base spans."""
+    both = F.arrays_zip(_found(text).alias("said"), _found(_veiled(text, base)).alias("seen"))
+    clear = F.transform(F.filter(both, lambda w: w["said"] == w["seen"]), lambda w: F.lower(w["said"]))
+    return F.array_distinct(F.when(F.size(base) > 0, clear).otherwise(F.transform(_found(text), F.lower)))
+
+
+def _places(text: Column, base: Column, told: Column) -> Column:
+    """Spans of every place where a term of the map ``told`` stands clear of the base spans."""
+    words = F.arrays_zip(
+        F.split(text, TERM, -1).alias("gap"), _found(text).alias("said"), _found(_veiled(text, base)).alias("seen")
+    )
+    none = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
+
+    def step(state: Column, w: Column) -> Column:
+        start = state["at"] + F.length(w["gap"])
+        end = F.coalesce(start + F.length(w["said"]), start)
+        share = F.when(w["said"] == w["seen"], F.try_element_at(told, F.lower(w["said"])))
+        spans = F.when(share.isNull(), state["spans"]).otherwise(
+            F.concat(state["spans"], F.array(span(start, 4, end, "term", share.cast("string"))))
         )
-        return F.struct(_entity(s).alias("entity"), whole.alias("terms"))
+        return F.struct(end.alias("at"), spans.alias("spans"))
+
+    return F.aggregate(words, none, step)["spans"]
+
+
+def _share(both: Column, term: Column, entity: Column, documents: int, prior: float) -> Column:
+    """The share of an entity's information that a term gives away, smoothed by ``prior`` documents without it.
+
+    Above 0 it grows with ``both``, so with both = least(term, entity) it bounds what the pair can reach.
+    """
+    information = F.log(F.lit(float(documents)) / entity)
+    shared = F.log(both * F.lit(float(documents)) / (term * entity))
+    return F.when(information > 0, shared / information * both / (both + F.lit(prior))).otherwise(F.lit(0.0))
+
+
+def _telling(found: DataFrame, disclosure: float, prior: float, broadcast_rows: int) -> DataFrame:
+    """(term, share): the terms whose share for some entity reaches ``disclosure``, with the largest share.
+
+    Counts are of whole documents. Pairs are counted only where the counts of term and
+    entity allow the threshold to be reached at all; the bound is exact, so none is lost.
+    """
+    documents = max(found.count(), 1)
+
+    def share(both: Column) -> Column:
+        return _share(both, F.col("with_term"), F.col("with_entity"), documents, prior)
 
-    return F.transform(base, around)
+    def reachable_by(term: Column, entity: Column) -> Column:
+        bound = _share(F.least(term, entity), term, entity, documents, prior) >= disclosure
+        return bound if disclosure > 0 else F.lit(True)
+
+    in_doc = found.where(F.size("base") > 0)
+    held = in_doc.select("row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    entities = written(
+        held.groupBy("entity")
+        .agg(F.count(F.lit(1)).alias("with_entity"))
+        .where(reachable_by(F.col("with_entity"), F.col("with_entity"))),
+        "personal-entities",
+    )
+    most = F.lit(entities.agg(F.max("with_entity")).first()[0] or 1)
+    counted = written(
+        found.select(F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("with_term"))
+        .where(reachable_by(F.col("with_term"), most)),
+        "personal-terms",
+    )
+    few = counted.limit(broadcast_rows + 1).count() <= broadcast_rows
+    near = in_doc.select("row", F.explode("terms").alias("term")).join(F.broadcast(counted) if few else counted, "term")
+    return written(
+        near.join(held.join(entities, "entity"), "row")
+        .where(reachable_by(F.col("with_term"), F.col("with_entity")))
+        .groupBy("entity", "term", "with_term", "with_entity")
+        .agg(F.count(F.lit(1)).alias("with_both"))
+        .select("term", share(F.col("with_both")).alias("share"))
+        .where(F.col("share") >= disclosure)
+        .groupBy("term")
+        .agg(F.max("share").alias("share")),
+        "personal-telling",
+    )
 
 
 def find_personal(
     docs: DataFrame,
-    reach: int = 80,
     disclosure: float = 0.9,
-    least_documents: int = 3,
+    prior: float = 0.3,
     broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """doc_id, text_hash, base and spans (sorted arrays) for every row of ``docs``.
 
-    ``base`` are the known patterns; ``spans`` these and the disclosing terms near
-    them, whose value is the share of the entity's information they give away. A pair of
-    term and entity needs ``least_documents`` documents to be judged.
+    ``base`` are the known patterns; ``spans`` these and every place of a disclosing
+    term in any text, with the entity or without it, clear of the base spans. Their value
+    is the largest share of an entity's information that the term gives away. The share is
+    smoothed, not cut off: with ``prior`` = 0.3 a pair that is never apart has 0.77 in one
+    document, 0.87 in two, 0.91 in three.
 
     Null text: empty. Null doc_id: scanned like any other. Repeated rows: each
     counts as a document, each gets the same spans. Rows of one doc_id with
@@ -116,81 +193,22 @@ def find_personal(
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"))
-    found = keyed.withColumn("base", base_spans(F.col("text")))
-    contexts = F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"), reach))
-    found = written(found.withColumn("contexts", contexts).drop("text"), "personal")
-
-    pairs = (
-        found.where(F.col("contexts").isNotNull())
-        .select("doc_id", "text_hash", F.explode("contexts").alias("c"))
-        .select("doc_id", "text_hash", "c.entity", F.explode("c.terms").alias("span"))
-        .withColumn("term", F.lower("span.value"))
-    )
-    in_doc = found.where(F.size("base") > 0)
-    entities = (
-        in_doc.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("with_entity"))
-        .where(F.col("with_entity") >= least_documents)
-    )
-    per_doc = in_doc.select(
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        "contexts",
-                        lambda c: F.transform(
-                            c["terms"], lambda t: F.struct(c["entity"].alias("entity"), F.lower(t["value"]).alias("term"))
-                        ),
-                    )
-                )
-            )
-        ).alias("p")
-    )
-    both = written(
-        per_doc.groupBy("p.entity", "p.term")
-        .agg(F.count(F.lit(1)).alias("with_both"))
-        .where(F.col("with_both") >= least_documents)
-        .join(entities, "entity"),
-        "personal-pairs",
-    )
-    wanted = both.select("term").distinct()
-    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
-    words = keyed.select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")
-    )
-    with_term = (
-        words.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("with_term"))
-    )
-    total = found.agg(F.count(F.lit(1)).alias("documents"))
-    documents = total.first()["documents"]
-    information = F.log(F.lit(float(max(documents, 1))) / F.col("with_entity"))
-    shared = F.log(F.col("with_both") * F.lit(float(max(documents, 1))) / (F.col("with_term") * F.col("with_entity")))
-    share = F.when(information > 0, shared / information).otherwise(F.lit(0.0))
-    telling = both.join(with_term, "term").withColumn("share", share).where(F.col("share") >= disclosure)
-    terms = (
-        pairs.join(telling.select("entity", "term", "share"), ["entity", "term"])
-        .groupBy("doc_id", "text_hash", "span")
-        .agg(F.max("share").alias("share"))
-        .select(
-            F.col("doc_id").alias("t_doc_id"),
-            F.col("text_hash").alias("t_hash"),
-            F.struct("span.start", "span.kind_no", "span.end", "span.kind", F.col("share").cast("string").alias("value")).alias(
-                "span"
-            ),
-        )
-        .groupBy("t_doc_id", "t_hash")
-        .agg(F.sort_array(F.collect_list("span")).cast(SPANS).alias("terms"))
-    )
-    joined = found.join(
-        terms,
-        found["doc_id"].eqNullSafe(terms["t_doc_id"]) & found["text_hash"].eqNullSafe(terms["t_hash"]),
-        "left",
+    scanned = keyed.withColumn("base", base_spans(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
+    found = written(scanned.withColumn("terms", _terms(F.col("text"), F.col("base"))), "personal")
+    telling = _telling(found, disclosure, prior, broadcast_rows)
+    few = telling.limit(broadcast_rows + 1).count() <= broadcast_rows
+    told = written(
+        found.select("row", F.explode("terms").alias("term"))
+        .join(F.broadcast(telling) if few else telling, "term")
+        .groupBy("row")
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told")),
+        "personal-told",
     )
-    spans = F.sort_array(F.concat("base", F.coalesce("terms", no_spans())))
-    return joined.select("doc_id", "text_hash", "base", spans.alias("spans"))
+    # Bounded by all their terms, not only by the texts that have some.
+    small = (told.agg(F.sum(F.size("told"))).first()[0] or 0) <= broadcast_rows
+    joined = found.drop("terms").join(F.broadcast(told) if small else told, "row", "left")
+    places = F.when(F.col("told").isNull(), no_spans()).otherwise(_places(F.col("text"), F.col("base"), F.col("told")))
+    return joined.select("doc_id", "text_hash", "base", F.sort_array(F.concat("base", places)).alias("spans"))
 
 
 def sanitise(docs: DataFrame, remove_at: float = 0.98, **settings) -> DataFrame:
