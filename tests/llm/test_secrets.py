@@ -87,6 +87,20 @@ def test_interval_join_equals_all_pairs(work):
         assert near == want
 
 
+def test_parts_longer_than_the_scope_meet(work):
+    long = "aB3" * 100
+    url = "https://db.example.com/" + "p/" * 150
+    texts = [f"{long} user=alice", f"user=alice {long}", f"{url} login=bob {MIXED}", f"{long}{' ' * 200}user=alice",
+             f"{long}{' ' * 201}user=alice", f"user=alice{' ' * 190}{long}", f"user=alice{' ' * 191}{long}"]
+    docs = work.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in find_secrets(docs).collect()}
+    assert found[0] == found[3] == ["weak_secret", "weak_id"]
+    assert found[1] == found[5] == ["weak_id", "weak_secret"]
+    assert found[2] == ["weak_endpoint", "weak_id", "weak_secret"]
+    assert found[4] == found[6] == []
+    assert "alice" not in {r["doc_id"]: r["text"] for r in mask_secrets(docs).collect()}[0]
+
+
 def test_masking_takes_every_span_and_nothing_else(work, odd_docs, no_docs):
     docs = frame(work).withColumn("n_chars", F.length("text").cast("long"))
     masked = {r["doc_id"]: r for r in mask_secrets(docs).collect()}

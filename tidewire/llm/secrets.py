@@ -70,9 +70,11 @@ _PART = {"access": "who", "weak_id": "who", "assign": "what", "hex": "what", "we
 def _linked(found: DataFrame, scope: int) -> DataFrame:
     """(doc_id, text_hash, linked): weak spans with complementary parts in scope.
 
-    An interval join by blocks of ``scope`` code points: per document, block and
-    part only the first and last place are kept, and a candidate meets its own
-    block and the two beside it. So a text full of parts makes no pairs of them.
+    Two parts are near where their starts are at most ``scope`` apart or, as the end of a
+    long part may be far from its start, where the earlier one is longer than half of
+    ``scope`` and the later one starts at most ``scope`` behind its end. An interval join by
+    blocks of ``scope`` code points: per document, block and part only the first and last
+    place are kept. So a text full of parts makes no pairs of them.
     """
     key = ["doc_id", "text_hash"]
     part = reduce(lambda c, kv: c.when(F.col("span.kind") == kv[0], kv[1]), _PART.items(), F)
@@ -80,30 +82,41 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
         found.where(F.size("weak") > 0)
         .select(*key, F.explode(F.array_distinct(F.concat("base", "weak"))).alias("span"))
         .distinct()
-        .select(*key, "span", part.alias("part"), F.floor(F.col("span.start") / scope).alias("block"))
+        .select(*key, "span", part.alias("part"))
     )
-    ends = rows.groupBy(*key, "block").agg(
+    start, end = F.col("span.start"), F.col("span.end")
+    far = F.when(end - start > scope / 2, end)
+
+    def place(side: str, at: Column, before: int = 0, behind: int = 0, near: int = 0) -> Column:
+        return F.struct(
+            F.lit(side).alias("side"),
+            (F.floor(at / scope) + near).alias("block"),
+            (at - before).alias("low"),
+            (at + behind).alias("high"),
+        )
+
+    def at(*places: Column) -> DataFrame:
+        return rows.select("*", F.explode(F.array(*places)).alias("p")).select("*", "p.*").where(F.col("block").isNotNull()).drop("p")
+
+    ends = at(place("start", start), place("end", far)).groupBy(*key, "side", "block").agg(
         *[
-            f(F.when(F.col("part") == p, F.col("span.start"))).alias(f"{n}_{p}")
+            f(F.when(F.col("part") == p, F.col("low"))).alias(f"{n}_{p}")
             for p in ("who", "what", "where")
             for n, f in (("first", F.min), ("last", F.max))
         ]
     )
-    weak = rows.where(F.col("span.kind").startswith("weak_")).withColumn(
-        "near", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    )
-    weak = weak.withColumn("block", F.col("block") + F.col("near"))
-    seen = ends.withColumnsRenamed({k: f"e_{k}" for k in (*key, "block")})
-    on = reduce(lambda a, b: a & b, [weak[k].eqNullSafe(seen[f"e_{k}"]) for k in (*key, "block")])
-    at = F.col("span.start")
+    weak = at(
+        *[place("start", start, scope, scope, near) for near in (-1, 0, 1)],
+        *[place("end", start, scope, 0, near) for near in (-1, 0)],
+        *[place("start", far, 0, scope, near) for near in (0, 1)],
+    ).where(F.col("span.kind").startswith("weak_"))
+    on_key = (*key, "side", "block")
+    seen = ends.withColumnsRenamed({k: f"e_{k}" for k in on_key})
+    on = reduce(lambda a, b: a & b, [weak[k].eqNullSafe(seen[f"e_{k}"]) for k in on_key])
 
     def within(p: str) -> Column:
-        last, first = F.col(f"last_{p}"), F.col(f"first_{p}")
-        return (
-            F.when(F.col("near") == 0, last.isNotNull())
-            .when(F.col("near") < 0, last >= at - scope)
-            .otherwise(first <= at + scope)
-        )
+        # Of a block's places between first and last one lies in [low, high]: a block is no wider than scope.
+        return F.coalesce((F.col(f"last_{p}") >= F.col("low")) & (F.col(f"first_{p}") <= F.col("high")), F.lit(False))
 
     met = weak.join(seen, on).groupBy(*key, "span", "part").agg(*[F.max(within(p)).alias(p) for p in ("who", "what", "where")])
     reported = (
