@@ -10,7 +10,7 @@ from tidewire.llm.queries import ORACLES, QUERIES
 def test_query_equals_its_sql(work, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "conversations", "labels"):
+    for table in ("documents", "embeddings", "conversations", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     result = con.execute(ORACLES[name])
     columns = [d[0] for d in result.description]

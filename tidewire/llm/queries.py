@@ -8,7 +8,22 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat, jaccard, langid, mixing, packing, quality, recompress, sanitise, secrets, spans, topk
+from tidewire.llm import (
+    chat,
+    jaccard,
+    langid,
+    mixing,
+    packing,
+    quality,
+    recompress,
+    sanitise,
+    secrets,
+    spans,
+    tokens,
+    topk,
+    treap,
+    variants,
+)
 from tidewire.llm.store import reachable
 
 
@@ -87,6 +102,18 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokens.word_tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mix_sources,
     "op2_substring_dedup": substring_dedup,
@@ -98,9 +125,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": ngram_jaccard,
     "op9_personal_data": personal_data,
     "op10_chat_format": chat_format,
+    "op11_ranked_search": ranked_search,
+    "op12_spelling_variants": spelling_variants,
+    "op13_token_counts": token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
+_ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
@@ -195,6 +227,69 @@ ORACLES: dict[str, str] = {
                    AS loss_sha256,
                sum(size + CASE WHEN opens THEN 3 + role_size + 1 + 4 ELSE 5 END)::BIGINT AS formatted_chars
         FROM turns GROUP BY conv_id""",
+    "op11_ranked_search": rf"""
+        WITH texts AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+        sized AS (SELECT *, len(terms)::BIGINT AS n FROM texts WHERE len(terms) > 0),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sized),
+        asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        said AS (SELECT doc_id, n, unnest(terms) AS term FROM sized),
+        found AS (
+            SELECT doc_id, n, term, count(*) AS tf FROM said WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weighed AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+            FROM found, total GROUP BY term, docs),
+        scored AS (
+            SELECT item_id, doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+            FROM asked JOIN found USING (term) JOIN weighed USING (term), total GROUP BY item_id, doc_id),
+        ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+                   doc_id, score
+            FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE bits AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k:
+                   CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '[a-zÀ-ÿ]{{7,}}')) AS run
+            FROM documents),
+        kinds AS (
+            SELECT run, count(*) AS times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS said
+            FROM runs GROUP BY doc_id, run),
+        checked AS (
+            SELECT run, times, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(
+                   range(len(said) // 2), lambda k: ('0x' || substr(said, 2 * k + 1, 2))::BIGINT)),
+                   lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) AS h
+            FROM kinds, bits),
+        cut AS (
+            SELECT times, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % len(run))::INTEGER)
+                                                    || substr(run, (h % len(run))::INTEGER + 2) ELSE run END AS word
+            FROM checked),
+        words AS (
+            SELECT word, sum(times)::BIGINT AS n FROM cut WHERE len(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+        holes AS (
+            SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+            FROM (SELECT word, unnest(range(len(word)))::INTEGER AS i FROM words)),
+        pairs AS (
+            SELECT a.word AS a, b.word AS b FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT holes.word, words.word FROM holes JOIN words ON words.word = rest
+            UNION SELECT words.word, holes.word FROM holes JOIN words ON words.word = rest),
+        ranked AS (
+            SELECT a AS word, b AS form, n AS form_n, count(*) OVER (PARTITION BY a) AS n_near,
+                   row_number() OVER (PARTITION BY a ORDER BY n DESC, encode(b)) AS place
+            FROM pairs JOIN words ON words.word = b),
+        formed AS (
+            SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near,
+                   CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+            FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1),
+        ways AS (
+            SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+            UNION SELECT ways.word, formed.form FROM ways JOIN formed ON formed.word = ways.root WHERE formed.form IS NOT NULL),
+        ends AS (
+            SELECT ways.word, ways.root FROM ways JOIN formed ON formed.word = ways.root WHERE formed.form IS NULL)
+        SELECT formed.word, form, coalesce(root, formed.word) AS root, n, n_near, form_n
+        FROM formed LEFT JOIN ends ON ends.word = formed.word""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
