@@ -145,21 +145,6 @@ def test_bounded_generator(spark):
     assert b'"name":"hello from producer #3"' in bytes(one.value)
 
 
-def test_generated_protobuf_goes_through_the_job(spark, folder):
-    pytest.importorskip("google.protobuf")
-    wire = codec.ArrowProtobufCodec(codec.event_descriptor("sample.Event", "id BIGINT, datetime STRING, name STRING"))
-    spec = StreamSpec("Event", EVENT_TOPIC, f"{folder}/t", f"{folder}/c", message="sample.Event")
-
-    class Named(codec.ArrowProtobufCodec):
-        def encode(self, payload, _):
-            return wire.encode(payload, spec)
-
-    sent = generator.records(generator.bounded(spark, 25), codec=Named(wire.descriptor))
-    records.write_folder(records.placed(sent, F.col("key").cast("string")), f"{folder}/r")
-    ingest.run(spark, [spec], records.FolderRecords(f"{folder}/r"), ingest.IngestSettings(f"{folder}/d", codec=wire))
-    assert sorted(r.id for r in tables.read(spark, tables.EVENTS, spec.target).collect()) == list(range(1, 26))
-
-
 def test_unbounded_generator(spark, folder):
     stream = generator.records(generator.unbounded(spark, 0.01))
     query = (

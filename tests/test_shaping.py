@@ -49,6 +49,7 @@ def test_chunks_of_line_numbers(spark):
 
 def test_only_json_objects_are_merged(spark):
     texts = ['{"a":1,"b":{"c":2}}', "{}", "[1]", '"x"', "plain", '{"a":', '{"a":1} x', '{"a":1},{"b":2}', "1],[2", None]
+    texts += ['{"a":1}] x', '{"a":1}],[{"b":2}', '{"a":1}} x', '{"a":1},"w":{"b":2}']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, log string")
     out = logs.merge_json(df).orderBy("i").collect()
     assert [r.fields for r in out[:2]] == [{"a": "1", "b": '{"c":2}'}, {}]

@@ -1,16 +1,13 @@
 """Payload codecs. Decoding never fails a job: bad bytes give a NULL struct.
 
 ``JsonCodec`` runs everywhere. ``ProtobufCodec`` uses Spark's own functions and
-needs the spark-protobuf package. ``ArrowProtobufCodec`` reads the same bytes
-through Arrow batches where that package is absent.
+needs the spark-protobuf package.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +21,17 @@ def payload_type(spec: StreamSpec) -> T.StructType:
     return T.StructType.fromDDL(spec.fields)
 
 
+def one_json_value(text: Column) -> Column:
+    """Whether a text is one JSON value with nothing but white space around it.
+
+    The parser stops at the end of a value. So the text is put into a list and into an
+    object: text behind the value that closes the one, or goes on in it, breaks the other.
+    """
+    listed = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    keyed = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), text, F.lit("}")))) == 1
+    return F.coalesce(listed & keyed, F.lit(False))
+
+
 @dataclass(frozen=True)
 class JsonCodec:
     """JSON objects as UTF-8 bytes."""
@@ -35,9 +43,7 @@ class JsonCodec:
         # Two steps, so that the text is parsed once per row: the second only reads fields.
         kept = df.withColumn(f"_text_{value}", F.col(value).cast("string"))
         parsed = kept.withColumn(out, F.from_json(F.col(f"_text_{value}"), wire, options))
-        # One object and nothing behind it: text after it makes the list unreadable or longer.
-        alone = F.json_array_length(F.concat(F.lit("["), F.col(f"_text_{value}"), F.lit("]"))) == 1
-        whole = F.col(out).isNotNull() & F.col(out)[_CORRUPT].isNull() & F.coalesce(alone, F.lit(False))
+        whole = F.col(out).isNotNull() & F.col(out)[_CORRUPT].isNull() & one_json_value(F.col(f"_text_{value}"))
         return parsed.withColumn(out, F.when(whole, F.struct(*[F.col(out)[f].alias(f) for f in fields.names]))).drop(
             f"_text_{value}"
         )
@@ -67,101 +73,3 @@ class ProtobufCodec:
         from pyspark.sql.protobuf.functions import to_protobuf
 
         return to_protobuf(payload, spec.message, binaryDescriptorSet=self.descriptor)
-
-
-def protobuf_runtime() -> bool:
-    """Whether the Python Protobuf runtime can be imported."""
-    try:
-        import google.protobuf  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
-def _message_loader(descriptor: bytes, message: str):
-    """A function that tasks call for the message class.
-
-    It is a closure, so it travels with the task and tasks need not have this
-    package.
-    """
-
-    def load():
-        from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
-
-        pool = descriptor_pool.DescriptorPool()
-        for proto in descriptor_pb2.FileDescriptorSet.FromString(descriptor).file:
-            pool.Add(proto)
-        return message_factory.GetMessageClass(pool.FindMessageTypeByName(message))
-
-    return load
-
-
-@dataclass(frozen=True)
-class ArrowProtobufCodec:
-    """Protobuf through the Python runtime, one Arrow batch at a time."""
-
-    descriptor: bytes
-
-    def decode(self, df: DataFrame, value: str, spec: StreamSpec, out: str = "payload") -> DataFrame:
-        fields = payload_type(spec)
-        names, load = fields.names, _message_loader(self.descriptor, spec.message)
-        wire = T.StructType([*fields.fields, T.StructField("_read", T.BooleanType())])
-
-        def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            from google.protobuf.message import DecodeError
-
-            cls = load()
-
-            def fetch(raw):
-                if raw is None:
-                    return (*[None] * len(names), False)
-                try:
-                    parsed = cls.FromString(bytes(raw))
-                except DecodeError:
-                    return (*[None] * len(names), False)
-                return (*[getattr(parsed, n) for n in names], True)
-
-            for batch in batches:
-                rows = [fetch(raw) for raw in batch]
-                yield pd.DataFrame(rows, columns=[*names, "_read"], dtype=object)
-
-        reader = F.pandas_udf(read, wire)
-        parsed = df.withColumn(out, reader(F.col(value)))
-        body = F.struct(*[F.col(out)[n].alias(n) for n in names])
-        return parsed.withColumn(out, F.when(F.col(out)["_read"], body))
-
-    def encode(self, payload: Column, spec: StreamSpec) -> Column:
-        load = _message_loader(self.descriptor, spec.message)
-
-        def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-            cls = load()
-            for batch in batches:
-                records = batch.to_dict("records")
-                yield pd.Series([cls(**r).SerializeToString() for r in records], dtype=object)
-
-        return F.pandas_udf(write, T.BinaryType())(payload)
-
-
-def event_descriptor(message: str, fields: str) -> bytes:
-    """Descriptor set of one flat proto3 message of BIGINT and STRING fields.
-
-    Real jobs pass the bytes their schema compiler wrote; this serves samples
-    and tests.
-    """
-    from google.protobuf import descriptor_pb2
-
-    package, _, name = message.rpartition(".")
-    kinds = {
-        T.LongType(): descriptor_pb2.FieldDescriptorProto.TYPE_INT64,
-        T.StringType(): descriptor_pb2.FieldDescriptorProto.TYPE_STRING,
-    }
-    proto = descriptor_pb2.FileDescriptorProto(name=f"{name}.proto", package=package, syntax="proto3")
-    body = proto.message_type.add(name=name)
-    for number, field in enumerate(T.StructType.fromDDL(fields).fields, start=1):
-        body.field.add(
-            name=field.name,
-            number=number,
-            type=kinds[field.dataType],
-            label=descriptor_pb2.FieldDescriptorProto.LABEL_OPTIONAL,
-        )
-    return descriptor_pb2.FileDescriptorSet(file=[proto]).SerializeToString()

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions.codec import one_json_value
 from tidewire.functions.containers import pod_of
 from tidewire.plans.tables import moment
 
@@ -71,12 +72,10 @@ def merge_json(logs: DataFrame, column: str = "log") -> DataFrame:
     Text that is not an object stays and has no fields.
     """
     text = F.col(column)
-    # In brackets, text after the object makes the whole malformed or a second element.
-    objects = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>")
-    parsed = logs.withColumn("fields", objects)
-    return parsed.withColumn("fields", F.when(F.size("fields") == 1, F.get("fields", F.lit(0)))).withColumn(
-        column, F.when(F.col("fields").isNull(), text)
-    )
+    # Only what looks like an object is parsed.
+    object_only = F.ltrim(text).startswith("{") & one_json_value(text)
+    parsed = logs.withColumn("fields", F.when(object_only, F.from_json(text, "map<string,string>")))
+    return parsed.withColumn(column, F.when(F.col("fields").isNull(), text))
 
 
 def with_pod(logs: DataFrame, pods: DataFrame) -> DataFrame:

@@ -10,22 +10,33 @@ from tidewire.operators.naming import BROKER_RULES, REBALANCER_RULES
 from tidewire.plans import panels
 from tidewire.sources import fixtures
 
+
+def _with_text_behind(whole: str, number: str) -> str:
+    return (
+        f"CASE {number} % 4 WHEN 1 THEN {whole} || '] trailing' WHEN 2 THEN {whole} || '],[' || {whole} "
+        f'''WHEN 3 THEN {whole} || '}},"w":' || {whole} ELSE '{{"id":' END'''
+    )
+
+
 # The faulty records: what each event became, and where it must go.
-RECORDS = """
+RECORDS = f"""
 raw AS (
   SELECT *, event_id % 20 AS m,
     strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso
   FROM events
 ),
+good AS (
+  SELECT *, '{{"id":' || event_id || ',"datetime":"' || CASE WHEN m = 9 THEN 'not-a-time' ELSE iso END
+    || '","name":"' || event_type || '"}}' AS body FROM raw
+),
 rec AS (
   SELECT event_id, ts, event_type, m, iso,
-    CASE WHEN m IN (6, 8) THEN '{' WHEN m = 7 THEN NULL
-      ELSE '{"id":' || event_id || ',"datetime":"' || CASE WHEN m = 9 THEN 'not-a-time' ELSE iso END
-        || '","name":"' || event_type || '"}' END AS rawdata,
+    CASE WHEN m = 6 THEN {_with_text_behind('body', 'event_id // 20')} WHEN m = 8 THEN '{{' WHEN m = 7 THEN NULL
+      ELSE body END AS rawdata,
     CASE WHEN m IN (0, 1, 8) THEN NULL WHEN m = 4 THEN 'Notification' WHEN m = 11 THEN 'Other'
       WHEN m = 12 THEN 'event' ELSE 'Event' END AS schema_name,
     CASE WHEN m IN (0, 1, 2, 3, 14) THEN NULL WHEN m IN (5, 8) THEN 2 WHEN m = 13 THEN 0 ELSE 1 END AS version
-  FROM raw
+  FROM good
 ),
 routed AS (
   SELECT *, CASE WHEN schema_name IS NULL THEN 'missing_schema' WHEN version IS NULL THEN 'missing_version'
@@ -324,12 +335,13 @@ def _relabel() -> str:
 _NAMESPACE = "CASE WHEN user_id % 2 = 0 THEN 'kafka' ELSE 'shop' END"
 _POD_KEY = f"'web-' || user_id % 7 || '_' || {_NAMESPACE}"
 _STREAM = f"{_POD_KEY} || '_main-' || md5({_POD_KEY}) || md5({_POD_KEY})"
+_LOG_BODY = """('{"id":"' || event_id || '","event":"' || event_type || '"}')"""
 LOGS = f"""
 logs AS (
   SELECT event_id, user_id, ts, '/var/log/containers/' || {_STREAM} || '.log' AS path,
     CASE WHEN event_id % 2 = 0 THEN 'stdout' ELSE 'stderr' END AS stream, event_type,
-    CASE WHEN event_id % 11 = 0 THEN '{{"id":' WHEN event_id % 4 = 0 THEN 'event ' || event_id || ' ' || event_type
-      ELSE '{{"id":"' || event_id || '","event":"' || event_type || '"}}' END AS log,
+    CASE WHEN event_id % 11 = 0 THEN {_with_text_behind(_LOG_BODY, 'event_id // 11')} WHEN event_id % 4 = 0 THEN 'event ' || event_id || ' ' || event_type
+      ELSE {_LOG_BODY} END AS log,
     event_id % 11 <> 0 AND event_id % 4 <> 0 AS is_json
   FROM events
 )"""

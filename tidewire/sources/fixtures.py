@@ -49,6 +49,15 @@ def _record(headers: Column, value: Column, topic: Column) -> list[Column]:
     ]
 
 
+def _with_text_behind(whole: Column, number: Column) -> Column:
+    """An object that is cut off, or one with text behind it that closes a list or an object around it."""
+    ways = {1: F.concat(whole, F.lit("] trailing")), 2: F.concat(whole, F.lit("],["), whole), 3: F.concat(whole, F.lit('},"w":'), whole)}
+    out = F.lit('{"id":')
+    for n, text in ways.items():
+        out = F.when(number % 4 == n, text).otherwise(out)
+    return out
+
+
 def faulty_records(events: DataFrame) -> DataFrame:
     """One record per event; 15 of every 20 have a fault or an odd header."""
     m = F.col("event_id") % 20
@@ -69,10 +78,12 @@ def faulty_records(events: DataFrame) -> DataFrame:
         .otherwise(good)
     )
     stamp = F.when(m == 9, F.lit("not-a-time")).otherwise(iso_utc(F.col("ts")))
+    good_value = _value(stamp, F.col("event_type"))
     value = (
-        F.when(m.isin(6, 8), F.lit("{").cast("binary"))
+        F.when(m == 6, _with_text_behind(good_value.cast("string"), F.expr("event_id div 20")).cast("binary"))
+        .when(m == 8, F.lit("{").cast("binary"))
         .when(m == 7, F.lit(None))
-        .otherwise(_value(stamp, F.col("event_type")))
+        .otherwise(good_value)
     )
     return events.select(*_record(headers, value, F.lit(EVENT_TOPIC)))
 
@@ -260,7 +271,7 @@ def log_lines(events: DataFrame) -> DataFrame:
     """One log line per event: plain text, JSON, or JSON that is cut off."""
     body = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("event")))
     log = (
-        F.when(F.col("event_id") % 11 == 0, F.lit('{"id":'))
+        F.when(F.col("event_id") % 11 == 0, _with_text_behind(body, F.expr("event_id div 11")))
         .when(F.col("event_id") % 4 == 0, F.concat_ws(" ", F.lit("event"), F.col("event_id"), F.col("event_type")))
         .otherwise(body)
     )
