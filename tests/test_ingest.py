@@ -1,4 +1,5 @@
 import os
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -111,18 +112,119 @@ def test_no_rejects_means_no_reject_files(spark, sf):
     assert os.listdir(job.rejects_at) == []
 
 
-def test_payload_is_decoded_once_per_batch(spark, sf):
-    """The two writes read the cached rows, so no plan but the cached one holds the decoder."""
-    spec = StreamSpec("Event", "t", "/x", "/c")
-    routed = ingest.route(ingest.parse(faulty(spark, sf), spec), spec).persist()
-    try:
-        physical = ingest.valid_rows(routed)._jdf.queryExecution().executedPlan()
-        text = physical.toString()
-        cached = text[text.index("InMemoryRelation"):]
-        assert "from_json" not in text[:text.index("InMemoryRelation")]
-        assert cached.count("from_json(") == 1
-    finally:
-        routed.unpersist()
+@pytest.mark.parametrize("rebalance", [False, True])
+def test_clean_batches_are_read_once_and_nothing_is_cached(spark, sf, folder, rebalance, monkeypatch):
+    """Rows are counted by what is written; only rejects need a second write."""
+    writes, plans = [], []
+    real = tables.append
+
+    def spy(df, target, *args, **kwargs):
+        writes.append(target)
+        plans.append(df._jdf.queryExecution().toString())
+        return real(df, target, *args, **kwargs)
+
+    monkeypatch.setattr(tables, "append", spy)
+    spec = StreamSpec("Event", "t", f"{folder}/e", f"{folder}/c")
+    settings = ingest.IngestSettings(f"{folder}/d", rebalance=rebalance)
+    rows = faulty(spark, sf)
+    fine = rows.where("cast(cast(key as string) as int) % 20 = 16")
+    bad = rows.where("cast(cast(key as string) as int) % 20 in (0, 7)")
+    assert ingest.ingest_batch(fine, spec, settings).routes("consumer-Event") == {"ok": 50}
+    assert writes == [spec.target]
+    assert ingest.ingest_batch(bad, spec, settings).routes("consumer-Event") == {"missing_schema": 50, "deserialize_error": 50}
+    assert ingest.ingest_batch(rows.where("1 = 0"), spec, settings).rows("consumer-Event") == 0
+    both = ingest.ingest_batch(fine.unionAll(bad), spec, settings).routes("consumer-Event")
+    assert both == {"ok": 50, "missing_schema": 50, "deserialize_error": 50}
+    assert all("InMemoryRelation" not in p for p in plans)
+    # From a record to a row the payload is parsed once.
+    assert plans[0][plans[0].index("Physical Plan"):].count("from_json(") == 1
+
+
+def test_totals_outlive_the_job(spark, sf, monkeypatch):
+    job = Job(spark, idempotent=True, failed_at=None, progress=None)
+    job.settings = replace(job.settings, progress=f"{job.root}/progress")
+    job.send(faulty(spark, sf).repartition(3))
+    source = records.FolderRecords(job.source.root, files_per_trigger=1)
+    real, calls = tables.append, []
+
+    def breaking(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 4:
+            raise OSError("no more space")
+        return real(*args, **kwargs)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "append", breaking)
+        with pytest.raises(ingest.IngestFailed):
+            job.run(source)
+    left = job.run(source)
+    stored = ingest.Totals.stored(spark, job.settings.progress, ["consumer-Event", "consumer-Other"])
+    assert left.rows("consumer-Event") < stored.rows("consumer-Event") == 1000
+    whole = faulty(spark, sf)
+    spec = job.specs[0]
+    counted = ingest.route(ingest.parse(whole, spec), spec).groupBy("route").count().collect()
+    assert stored.routes("consumer-Event") == {r["route"]: r["count"] for r in counted}
+    assert stored.rows("consumer-Other") == 0
+
+
+def test_whatever_stops_a_start_the_other_streams_are_awaited(spark, sf):
+    job = Job(spark, (EVENT_TOPIC, NOTIFICATION_TOPIC))
+    job.send(fixtures.two_topic_records(fixtures.events(spark, sf)))
+
+    class Odd(records.FolderRecords):
+        def stream(self, session, spec):
+            if spec.schema_name == "Event":
+                raise KeyError
+            return super().stream(session, spec)
+
+    with pytest.raises(ingest.IngestFailed) as failed:
+        job.run(Odd(job.source.root))
+    assert set(failed.value.failures) == {"consumer-Event"}
+    assert failed.value.totals.rows("consumer-Notification") == job.events().count() > 0
+    assert not spark.streams.active
+
+
+def test_a_broken_off_first_start_at_the_latest_loses_and_repeats_nothing(spark, sf, monkeypatch):
+    job = Job(spark)
+    latest = records.FolderRecords(job.source.root, starting="latest")
+    seed = job.specs[0].checkpoint + ".seed"
+    job.send(faulty(spark, sf).limit(20))
+    # The job ends while it lists the files: the list has no mark.
+    listed = latest._list(spark, latest.folder(EVENT_TOPIC)).limit(1)
+    listed.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(seed)
+    # The next one ends in its first micro-batch, after the list was made.
+    assert job.run(latest).rows("consumer-Event") == 0
+    job.send(faulty(spark, sf).limit(7))
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "append", lambda *a, **k: 1 / 0)
+        with pytest.raises(ingest.IngestFailed):
+            job.run(latest)
+    job.send(faulty(spark, sf).limit(5))
+    assert job.run(latest).rows("consumer-Event") == 12
+    assert job.run(latest).rows("consumer-Event") == 0
+
+
+def test_files_of_the_start_are_skipped_by_the_scan(spark, sf):
+    job = Job(spark)
+    latest = records.FolderRecords(job.source.root, starting="latest")
+    job.send(faulty(spark, sf).limit(20))
+    spec = job.specs[0]
+    condition = latest._is_new(spark, spec)
+    job.send(faulty(spark, sf).limit(3))
+    found = spark.read.schema(records.RECORD_SCHEMA).parquet(latest.folder(spec.topic)).where(condition)
+    assert found.count() == 3
+
+
+def test_a_hundred_entries(spark, sf, folder):
+    """The design point of the registry: a hundred streams on one session, some at a time."""
+    events = fixtures.events(spark, sf)
+    rows = fixtures.two_topic_records(events).withColumn("topic", F.concat(F.lit("topic-"), F.col("key").cast("string").cast("int") % 100))
+    rows = rows.withColumn("headers", F.array(*[F.struct(F.lit(k).alias("key"), v.cast("binary").alias("value")) for k, v in (("proto-schema", F.concat(F.lit("Type"), F.col("key").cast("string").cast("int") % 100)), ("proto-version", F.lit("1")))]))
+    records.write_folder(rows.repartition(1), f"{folder}/r")
+    specs = [StreamSpec(f"Type{n}", f"topic-{n}", f"{folder}/t/{n}", f"{folder}/c/{n}") for n in range(100)]
+    totals = ingest.run(spark, specs, records.FolderRecords(f"{folder}/r"), ingest.IngestSettings(f"{folder}/d", rebalance=True), at_once=16)
+    assert [totals.routes(s.query_name) for s in specs] == [{"ok": 10}] * 100
+    assert not spark.streams.active
 
 
 def test_failed_at_is_the_processing_time_by_default(spark, sf):

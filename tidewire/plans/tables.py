@@ -7,15 +7,16 @@ columns; a catalog table uses partition transforms.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.plans import changes
 from tidewire.sources import paths
 
 # Partition values of dead-letter rows whose schema name is absent or unknown.
@@ -23,6 +24,8 @@ NO_SCHEMA = "__none__"
 OTHER_SCHEMA = "__other__"
 # Further partition columns of tables written in idempotent mode.
 BATCH_PARTITIONS = ("query_id", "batch_id")
+# Columns that tell the records of a topic apart.
+COORDINATES = ("topic", "partition", "offset")
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,14 @@ class Layout:
     time: str
     folder_key: str
 
+    def with_coordinates(self) -> Layout:
+        """The same with the coordinates of each record, which tell rows of a replay apart."""
+        if set(COORDINATES) <= set(self.names):
+            return self
+        kinds = (T.StringType(), T.IntegerType(), T.LongType())
+        fields = [(f.name, f.dataType, not f.nullable) for f in self.columns.fields]
+        return replace(self, columns=_columns(*fields, *[(c, k, False) for c, k in zip(COORDINATES, kinds)]))
+
     @property
     def day(self) -> str:
         return f"{self.time}_day"
@@ -153,28 +164,34 @@ def append(
     known: Sequence[str] = (),
     batch: tuple[str, int] | None = None,
     rebalance: bool = False,
-) -> None:
-    """Append rows.
+    counted: dict[str, Column] | None = None,
+) -> dict[str, int]:
+    """Append rows; what the aggregates ``counted`` give over the rows that were written.
 
     With ``batch = (query id, batch id)`` the rows of one micro-batch go to
-    partitions of their own, which a replay of that batch overwrites.
+    partitions of their own, which a replay of that batch overwrites. In a catalog
+    table, whose commits are whole, rows whose coordinates it has are left out instead.
     ``rebalance`` shuffles by partition value first, which keeps a backfill of
     many days from writing one small file per task and day; large days are
     still split over tasks.
+
+    Rows are counted behind the last shuffle, so a task that runs again counts once.
     """
-    rows = conform(df, layout)
+    each = [column.alias(name) for name, column in (counted or {}).items()]
     if not is_folder(target):
         if batch is not None:
-            raise ValueError(f"{target}: single micro-batches can be replaced in folder tables only")
+            return _append_once(conform(df, layout.with_coordinates()), target, layout, each)
+        rows, found = _counting(conform(df, layout), each)
         rows.writeTo(target).append()
-        return
-    rows = with_partitions(rows, layout, known)
+        return found()
+    rows = with_partitions(conform(df, layout), layout, known)
     keys = layout.folder_partitions
     if rebalance:
         rows = rows.hint("rebalance", *[F.col(k) for k in keys])
+    rows, found = _counting(rows, each)
     if batch is None:
         rows.write.mode("append").partitionBy(*keys).parquet(target)
-        return
+        return found()
     rows = rows.select("*", *[F.lit(v).alias(c) for c, v in zip(BATCH_PARTITIONS, batch)])
     (
         rows.write.mode("overwrite")
@@ -182,6 +199,23 @@ def append(
         .partitionBy(*keys, *BATCH_PARTITIONS)
         .parquet(target)
     )
+    return found()
+
+
+def _counting(rows: DataFrame, each: list[Column]) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    if not each:
+        return rows, dict
+    seen = Observation()
+    return rows.observe(seen, *each), lambda: seen.get
+
+
+def _append_once(rows: DataFrame, target: str, layout: Layout, each: list[Column]) -> dict[str, int]:
+    """Add the rows whose coordinates the table does not have, by MERGE."""
+    # Both sides of a MERGE read its source, so the rows are counted on their own.
+    found = rows.agg(*each).first().asDict() if each else {}
+    with changes.view_of(rows) as view:
+        rows.sparkSession.sql(changes.append_once_sql(target, view, layout.with_coordinates().names, COORDINATES))
+    return found
 
 
 def open_table(spark: SparkSession, target: str) -> None:
@@ -203,7 +237,7 @@ def read(spark: SparkSession, layout: Layout, *targets: str) -> DataFrame:
         return with_partitions(spark.table(target).select(*layout.names), layout)
 
     frames = [one(t) for t in targets]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return reduce(DataFrame.unionByName, frames)
 
 
 def after(df: DataFrame, layout: Layout, moment: Column) -> DataFrame:

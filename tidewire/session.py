@@ -19,6 +19,8 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.scheduler.mode": "FAIR",
+    # State of streams lies on the executors' disks, not on their heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # Shuffles start with this many partitions and are merged to the advisory size.

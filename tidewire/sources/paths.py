@@ -9,12 +9,23 @@ from pyspark.sql import SparkSession
 ANY_AGE = {"maxFileAge": "36500d"}
 
 
+# Fixed value: the printable characters that names of partition folders do not have as they are.
+_ESCAPED = "\"#%'*/:=?\\\x7f{[]^"
+
+
 def _store(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def escaped(value: str) -> str:
+    """A partition value as it stands in the name of its folder."""
+    if value == "\0":
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if ord(c) < 0x20 or c in _ESCAPED else c for c in value)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, target = _store(spark, path)
     return bool(store.exists(target))

@@ -34,6 +34,8 @@ RECORD_SCHEMA = T.StructType(
 
 STARTING = ("earliest", "latest")
 
+_LISTED = "path string, written timestamp"
+
 
 @dataclass(frozen=True)
 class FolderRecords:
@@ -41,12 +43,19 @@ class FolderRecords:
 
     A micro-batch is bounded, by files or else by bytes, so a large backlog is
     drained in steps that each commit.
+
+    A folder has no notion of "latest". So a stream that starts there first lists what
+    the folder holds, beside its checkpoint, and leaves these files out whenever it
+    runs; scans skip them by name. The list counts once it is whole: a job that
+    broke off before makes it anew. Only files of the last ``grace`` before the newest one are
+    listed, all older ones are left out; so a file must not take that long to appear.
     """
 
     root: str
     starting: str = "earliest"
     files_per_trigger: int | None = None
     bytes_per_trigger: int = 1 << 40
+    grace: str = "1 day"
 
     def __post_init__(self) -> None:
         _check_starting(self.starting)
@@ -60,15 +69,35 @@ class FolderRecords:
             reader = reader.option("maxFilesPerTrigger", self.files_per_trigger)
         else:
             reader = reader.option("maxBytesPerTrigger", self.bytes_per_trigger)
-        return self._with_topic(reader.parquet(self.folder(spec.topic)), spec.topic)
+        rows = reader.parquet(self.folder(spec.topic))
+        if self.starting == "latest":
+            rows = rows.where(self._is_new(spark, spec))
+        return self._with_topic(rows, spec.topic)
+
+    def _is_new(self, spark: SparkSession, spec: StreamSpec) -> Column:
+        seed = f"{spec.checkpoint.rstrip('/')}.seed"
+        if not paths.exists(spark, f"{seed}/_SUCCESS"):
+            if paths.exists(spark, spec.checkpoint):
+                return F.lit(True)  # a stream that began without a list
+            self._list(spark, self.folder(spec.topic)).coalesce(1).write.mode("overwrite").parquet(seed)
+        listed = spark.read.schema(_LISTED).parquet(seed)
+        newest = listed.agg((F.max("written") - F.expr(f"interval {self.grace}")).alias("since")).first()["since"]
+        if newest is None:
+            return F.lit(True)
+        names = [r["path"] for r in listed.where(F.col("written") >= F.lit(newest)).select("path").collect()]
+        return (F.col("_metadata.file_modification_time") >= F.lit(newest)) & ~F.col("_metadata.file_path").isin(names)
+
+    def _list(self, spark: SparkSession, folder: str) -> DataFrame:
+        """The files of a folder and when they were written."""
+        if not paths.children(spark, folder):
+            return spark.createDataFrame([], _LISTED)
+        return spark.read.format("binaryFile").load(folder).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("written")
+        )
 
     def batch(self, spark: SparkSession, spec: StreamSpec) -> DataFrame:
         return self._with_topic(spark.read.schema(RECORD_SCHEMA).parquet(self.folder(spec.topic)), spec.topic)
 
-    def skips_existing(self) -> bool:
-        """A folder has no notion of "latest": the job passes over what is there."""
-        return self.starting == "latest"
-
     @staticmethod
     def _with_topic(df: DataFrame, topic: str) -> DataFrame:
         return df.withColumn("topic", F.lit(topic)).select(*RECORD_SCHEMA.names)
@@ -110,9 +139,6 @@ class BrokerRecords:
     def batch(self, spark: SparkSession, spec: StreamSpec) -> DataFrame:
         return spark.read.format("kafka").options(**self.options(spec)).load().select(*RECORD_SCHEMA.names)
 
-    def skips_existing(self) -> bool:
-        return False
-
 
 def placed(records: DataFrame, offset: Column) -> DataFrame:
     """Records as a broker with one partition would store them now."""

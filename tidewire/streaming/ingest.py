@@ -10,30 +10,22 @@ from __future__ import annotations
 import logging
 from collections import Counter, defaultdict
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.util import inheritable_thread_target
 
 from tidewire.functions.codec import JsonCodec
 from tidewire.functions.headers import header_int, header_text
-from tidewire.functions.routing import OK, event_time, record_route
+from tidewire.functions.routing import OK, REASONS, event_time, record_route
+from tidewire.operators.dedup import OffsetLedger
 from tidewire.plans import tables
 from tidewire.registry import SCHEMA_HEADER, VERSION_HEADER, StreamSpec, validate
 from tidewire.sources import paths
 
 log = logging.getLogger("tidewire.ingest")
 
-# What a stream or its store can raise.
-STREAM_ERRORS = (PySparkException, Py4JJavaError)
-
-COORDINATES = ("topic", "partition", "offset", "timestamp")
-
 
 @dataclass(frozen=True)
 class IngestSettings:
@@ -43,6 +35,10 @@ class IngestSettings:
     given. ``idempotent`` makes a replayed micro-batch overwrite what its first
     run wrote; rejects are then stamped with the record's own time, which does
     not change between runs.
+
+    ``ledger`` is a folder where each stream keeps which offsets it has delivered, so
+    that records delivered again are left out; it needs ``idempotent``. ``progress`` is a
+    folder where each micro-batch leaves its counts, so that totals include runs before.
     """
 
     rejects: str
@@ -51,6 +47,12 @@ class IngestSettings:
     idempotent: bool = False
     rebalance: bool = False
     known: tuple[str, ...] = ()
+    ledger: str | None = None
+    progress: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.ledger and not self.idempotent:
+            raise ValueError("a ledger needs idempotent writes: a micro-batch that runs again delivers the same records")
 
     def stamp(self) -> Column:
         if self.failed_at is not None:
@@ -58,6 +60,9 @@ class IngestSettings:
         return F.col("timestamp") if self.idempotent else F.current_timestamp()
 
 
+_PROGRESS = "route string, cnt long"
+
+
 @dataclass
 class Totals:
     """Rows per stream and route, summed over micro-batches."""
@@ -68,6 +73,18 @@ class Totals:
         # A batch that runs again replaces its first count.
         self.batches[query][batch_id] = counts
 
+    @classmethod
+    def stored(cls, spark: SparkSession, progress: str, queries: Sequence[str]) -> Totals:
+        """The sums of all micro-batches that left their counts in ``progress``, by these streams."""
+        out = cls()
+        for query in queries:
+            if paths.exists(spark, _progress(progress, query)):
+                rows = spark.read.schema(f"{_PROGRESS}, batch_id long").parquet(_progress(progress, query))
+                # One row per route, however many micro-batches there were.
+                summed = rows.groupBy("route").agg(F.sum("cnt").alias("cnt")).collect()
+                out.add(query, -1, Counter({r["route"]: r["cnt"] for r in summed}))
+        return out
+
     def routes(self, query: str) -> Counter:
         return sum(self.batches.get(query, {}).values(), Counter())
 
@@ -90,7 +107,8 @@ def parse(records: DataFrame, spec: StreamSpec, codec=JsonCodec()) -> DataFrame:
         F.col("value").alias("payload"),
         header_text("headers", SCHEMA_HEADER).alias("proto_schema"),
         header_int("headers", VERSION_HEADER).alias("proto_version"),
-        *COORDINATES,
+        *tables.COORDINATES,
+        "timestamp",
     )
     return codec.decode(read, "payload", spec).withColumn("event_time", event_time())
 
@@ -100,60 +118,75 @@ def route(parsed: DataFrame, spec: StreamSpec) -> DataFrame:
 
 
 def valid_rows(routed: DataFrame) -> DataFrame:
-    """Good records in the columns of the event table."""
+    """Good records in the columns of the event table, and their coordinates."""
     return routed.where(F.col("route") == OK).select(
         F.col("payload.id").alias("id"),
         F.col("event_time").alias("datetime"),
         F.col("proto_schema").alias("schema_name"),
         "rawdata",
+        *tables.COORDINATES,
     )
 
 
 def reject_rows(routed: DataFrame, failed_at: Column) -> DataFrame:
-    """All other records in the columns of the dead-letter table."""
+    """All other records in the columns of the dead-letter table, and their coordinates."""
     return routed.where(F.col("route") != OK).select(
         failed_at.alias("failed_at"),
         F.col("proto_schema").alias("schema_name"),
         "rawdata",
         F.col("route").alias("reason"),
+        *tables.COORDINATES,
     )
 
 
-def _together(spark: SparkSession, writes: list[Callable[[], None]]) -> None:
-    """Run writes side by side, so that a short one does not wait for the last tasks of a long one."""
-    with ThreadPoolExecutor(len(writes)) as pool:
-        # The threads take over the pool and the job group of the stream.
-        for done in [pool.submit(inheritable_thread_target(spark)(write)) for write in writes]:
-            done.result()
+def _progress(folder: str, query: str) -> str:
+    return f"{folder}/query={query}"
+
+
+def _keep_counts(spark: SparkSession, folder: str, query: str, batch_id: int, counts: Counter) -> None:
+    """One small file for each micro-batch; one that runs again replaces its own."""
+    rows = spark.createDataFrame(list(counts.items()), _PROGRESS).coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{_progress(folder, query)}/batch_id={batch_id}")
 
 
 def batch_writer(spec: StreamSpec, settings: IngestSettings, totals: Totals, query_id: str | None = None):
-    """The function that writes one micro-batch of parsed records of ``spec``."""
+    """The function that writes one micro-batch of parsed records of ``spec``.
+
+    Nothing is cached and nothing is counted on its own. The write of the good rows
+    passes all rows by and observes whether there are rejects; only then do these get a
+    write. Both writes count the rows that come out of them, behind their last shuffle, so
+    that a task run again after an executor was lost counts once.
+    """
     known = settings.known or (spec.schema_name,)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        routed = route(batch, spec).persist()
-        try:
-            # At most one row per route comes back; this run also fills the cache.
-            counts = Counter({r["route"]: r["rows"] for r in routed.groupBy("route").agg(F.count("*").alias("rows")).collect()})
-            key = None
-            if settings.idempotent:
-                context = batch.sparkSession.sparkContext
-                key = (query_id or context.getLocalProperty("sql.streaming.queryId"), batch_id)
-            writes = [
-                lambda: tables.append(valid_rows(routed), spec.target, tables.EVENTS, batch=key, rebalance=settings.rebalance)
-            ]
-            rejected = sum(n for name, n in counts.items() if name != OK)
-            if rejected:
-                log.warning("%s batch %s: %s of %s records rejected", spec.query_name, batch_id, rejected, sum(counts.values()))
-                rejects = reject_rows(routed, settings.stamp())
-                writes.append(
-                    lambda: tables.append(rejects, settings.rejects, tables.REJECTS, known, key, settings.rebalance)
-                )
-            _together(batch.sparkSession, writes)
-            totals.add(spec.query_name, batch_id, counts)
-        finally:
-            routed.unpersist()
+        spark = batch.sparkSession
+        if settings.ledger:
+            batch = OffsetLedger(f"{settings.ledger}/{spec.query_name}").take(batch, batch_id)
+        routed = route(batch, spec)
+        key = None
+        if settings.idempotent:
+            key = (query_id or spark.sparkContext.getLocalProperty("sql.streaming.queryId"), batch_id)
+        seen = Observation()
+        passing = routed.observe(seen, F.coalesce(F.max(F.col("route") != OK), F.lit(False)).alias("rejects"))
+        merges = key is not None and not tables.is_folder(spec.target)
+        good = valid_rows(routed if merges else passing)
+        counts = Counter(
+            tables.append(good, spec.target, tables.EVENTS, (), key, settings.rebalance, {OK: F.count(F.lit(1))})
+        )
+        # Where no good row came through, the plan that would have seen the others may be gone.
+        rejects = reject_rows(routed, settings.stamp())
+        if rejects.take(1) if merges or not counts[OK] else seen.get["rejects"]:
+            reasons = {r: F.count_if(F.col("reason") == r) for r in REASONS}
+            rejected = tables.append(rejects, settings.rejects, tables.REJECTS, known, key, settings.rebalance, reasons)
+            counts.update(rejected)
+            log.warning(
+                "%s batch %s: %s of %s records rejected", spec.query_name, batch_id, sum(rejected.values()), sum(counts.values())
+            )
+        counts = Counter({name: n for name, n in counts.items() if n})
+        if settings.progress:
+            _keep_counts(spark, settings.progress, spec.query_name, batch_id, counts)
+        totals.add(spec.query_name, batch_id, counts)
 
     return write
 
@@ -180,8 +213,6 @@ def start(spark: SparkSession, spec: StreamSpec, source, settings: IngestSetting
     """Start one stream; returns at once."""
     tables.open_table(spark, spec.target)
     tables.open_table(spark, settings.rejects)
-    if source.skips_existing() and not paths.exists(spark, spec.checkpoint):
-        _pass_over(spark, spec, source, settings)
     parsed = parse(source.stream(spark, spec), spec, settings.codec)
     return (
         parsed.writeStream.queryName(spec.query_name)
@@ -193,42 +224,46 @@ def start(spark: SparkSession, spec: StreamSpec, source, settings: IngestSetting
     )
 
 
-def _pass_over(spark: SparkSession, spec: StreamSpec, source, settings: IngestSettings) -> None:
-    """Mark what the source holds as seen. The batches are never evaluated."""
-    parsed = parse(source.stream(spark, spec), spec, settings.codec)
-    (
-        parsed.writeStream.queryName(spec.query_name)
-        .option("checkpointLocation", spec.checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, batch_id: None)
-        .start()
-        .awaitTermination()
-    )
-
+def run(
+    spark: SparkSession, specs: Sequence[StreamSpec], source, settings: IngestSettings, at_once: int | None = None
+) -> Totals:
+    """Start all streams, wait for all of them, then report or raise.
 
-def run(spark: SparkSession, specs: Sequence[StreamSpec], source, settings: IngestSettings) -> Totals:
-    """Start all streams, wait for all of them, then report or raise."""
+    At most ``at_once`` streams run at a time, all unless given. Whatever a stream fails
+    with, at its start or later, the others are started and awaited.
+    """
     specs = validate(specs)
     if not settings.known:
         settings = replace(settings, known=tuple(s.schema_name for s in specs))
     totals, failures, running = Totals(), {}, []
     context = spark.sparkContext
+
+    def failed(spec: StreamSpec, error: Exception) -> None:
+        failures[spec.query_name] = (str(error).splitlines() or [type(error).__name__])[0]
+        log.error("%s failed: %s", spec.query_name, failures[spec.query_name])
+
+    def finish(spec: StreamSpec, query: StreamingQuery) -> None:
+        try:
+            query.awaitTermination()
+            log.info("%s finished: %s rows", spec.query_name, totals.rows(spec.query_name))
+        except Exception as error:
+            failed(spec, error)
+
     for spec in specs:
+        if at_once and len(running) >= at_once:
+            # The first one that has ended makes room, else the longest running one.
+            ended = next((n for n, (_, query) in enumerate(running) if not query.isActive), 0)
+            finish(*running.pop(ended))
         # With the FAIR scheduler each stream gets its share of the executors.
         context.setLocalProperty("spark.scheduler.pool", spec.query_name)
         try:
             running.append((spec, start(spark, spec, source, settings, totals)))
-        except STREAM_ERRORS as error:
-            failures[spec.query_name] = str(error).splitlines()[0]
+        except Exception as error:
+            failed(spec, error)
         finally:
             context.setLocalProperty("spark.scheduler.pool", None)
     for spec, query in running:
-        try:
-            query.awaitTermination()
-            log.info("%s finished: %s rows", spec.query_name, totals.rows(spec.query_name))
-        except STREAM_ERRORS as error:
-            failures[spec.query_name] = str(error).splitlines()[0]
-            log.error("%s failed: %s", spec.query_name, failures[spec.query_name])
+        finish(spec, query)
     if failures:
         raise IngestFailed(failures, totals)
     return totals
