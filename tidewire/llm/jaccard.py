@@ -3,9 +3,9 @@
 A document's set are its distinct shingles. In one order of all shingles, two sets
 as similar as asked share one of their first few, their prefixes. Shingles found
 often come last in the order, so prefixes are made of rare ones. Documents with one
-prefix and size are a group; groups meet in the lists of their prefix shingles, are
-filtered by size and by how much of the shorter prefix they share, and are then
-expanded; their members' whole sets are verified.
+prefix and size are a group; groups meet in the lists of their prefix shingles, of which
+those with the same groups are one, are filtered by size and by how much of the shorter
+prefix they share, and are then expanded; their members' whole sets are verified.
 
 Only components are asked for. So the groups of a list are first held against two of
 them alone, the smallest and the smallest of another component, and what that links
@@ -197,7 +197,23 @@ def _hubs(lists: DataFrame) -> DataFrame:
     hubs = others.groupBy("shingle").agg(F.first("one").alias("one"), F.min(F.struct("hub", "tag")).alias("two"))
     hubs = hubs.select("shingle", F.explode(F.array("one", "two")).alias("of"))
     met = lists.join(hubs, "shingle").where(F.col("tag") != F.col("of.tag"))
-    return met.groupBy(F.col("of.hub").alias("x"), F.col("head").alias("y")).agg(F.count(F.lit(1)).alias("shared"))
+    return met.groupBy(F.col("of.hub").alias("x"), F.col("head").alias("y")).agg(F.sum("weight").alias("shared"))
+
+
+def _merged(lists: DataFrame) -> DataFrame:
+    """Lists of the same groups as one list, by its first shingle, with their number as ``weight``.
+
+    A passage gives a list for each of its shingles, and copies of it meet in all of these.
+    Lists are the same if their lengths and two 64-bit sums of hashes are.
+    """
+    alike = ("n", "one", "two")
+    told = lists.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("head")).alias("one"),
+        F.bit_xor(F.xxhash64(F.lit(1), "head")).alias("two"),
+    )
+    kept = told.groupBy(*alike).agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("weight"))
+    return lists.join(kept.select("shingle", "weight"), "shingle")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -265,13 +281,13 @@ def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataF
     # Lists of one group are of no use.
     ends = lists.groupBy("shingle").agg(F.min("head").alias("low"), F.max("head").alias("high"))
     shared = lists.join(ends.where(F.col("low") < F.col("high")).select("shingle"), "shingle", "left_semi")
-    shared = written(shared.distinct(), "lists")
+    shared = written(_merged(written(shared.distinct(), "lists")), "lists-merged")
 
     members = nodes.join(groups.select("group", "size", "head"), ["group", "size"]).select("node", "head")
     texts = keyed.where(F.col("doc").isNotNull())
     own = members.select(F.col("head").alias("a"), F.col("node").alias("b"))
     alone = F.struct(F.col("head").alias("low"), F.col("head").alias("high"), F.lit(None).cast("long").alias("head"))
-    open_lists = shared.select("shingle", "head", alone.alias("tag"))
+    open_lists = shared.select("shingle", "head", "weight", alone.alias("tag"))
     tried = links = None
     for turn in range(rounds):
         # A group and the members of the other are held against the hub; in the first turn the members of a group, too.
@@ -288,7 +304,7 @@ def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataF
         kinds = by_group.groupBy("head").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         # Groups of one component share a tag; a group that spans several has its own.
         tag = F.struct("low", "high", F.when(F.col("low") < F.col("high"), F.col("head")).alias("head"))
-        tagged = open_lists.select("shingle", "head").join(kinds.select("head", tag.alias("tag")), "head")
+        tagged = open_lists.drop("tag").join(kinds.select("head", tag.alias("tag")), "head")
         several = tagged.groupBy("shingle").agg(F.min("tag").alias("x"), F.max("tag").alias("y"))
         several = several.where(F.col("x") < F.col("y")).select("shingle")
         open_lists = written(tagged.join(several, "shingle", "left_semi"), "lists-open")
@@ -305,7 +321,7 @@ def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataF
     )
     told = open_lists.join(about, "head")
     x, y = (
-        told.withColumnsRenamed({"head": s, **{c: f"{s}_{c}" for c in ("tag", "size", "last", "bits")}}) for s in ("x", "y")
+        (told if s == "x" else told.drop("weight")).withColumnsRenamed({"head": s, **{c: f"{s}_{c}" for c in ("tag", "size", "last", "bits")}}) for s in ("x", "y")
     )
     met = (
         crossing.join(x, ["shingle", "x_tag"])
@@ -313,7 +329,7 @@ def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataF
         .where(_possible(_bits_lacking("x_bits", "y_bits"), _bits_lacking("y_bits", "x_bits")))
         # Which side is the smaller differs from list to list.
         .groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg(F.sum("weight").alias("shared"))
     )
     split = kinds.where(F.col("low") < F.col("high")).select(F.col("head").alias("x"), F.col("head").alias("y"))
     pairs = (

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.session import work_dir
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch that Spark hands to a Python worker.
+BATCH_BYTES = 8 << 20
+
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
@@ -34,9 +38,15 @@ def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int = 400_
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """``spark``, whose Python workers look for this library where the driver found it."""
+    """``spark``, whose Python workers look for this library where the driver found it.
+
+    Batches of texts that go to them are bounded by bytes, for a batch of long texts could
+    else take many times the memory of one of short ones.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    if not 0 < int(spark.conf.get(_BATCH_BYTES).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     return spark
