@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,53 @@ def test_partial_lines_are_joined_across_chunks(spark, size):
     assert got == joined_by_hand(rows)
 
 
+@pytest.mark.parametrize("size, fan", [(1, 1), (1, 2), (3, 1), (10, 10)])
+def test_partial_lines_are_joined_over_levels_of_chunks(spark, size, fan, monkeypatch):
+    monkeypatch.setattr(logs, "FAN_SHIFT", fan)
+    rows = []
+    for seed in range(12):
+        rng = random.Random(seed)
+        share = rng.choice([0.1, 0.5, 0.95, 1.0])
+        rows += [
+            (f"f{seed}", rng.choice(["stdout", "stderr"]), n, n // size, None, rng.random() < share, f"{n},") for n in range(120)
+        ]
+    joined = logs.join_partials(spark.createDataFrame(rows, LINES), F.col("block")).collect()
+    assert sorted((r.path, r.stream, r.line_no, r.log, r.complete) for r in joined) == joined_by_hand(rows)
+    assert {r.part for r in joined} == {0}
+
+
+@pytest.mark.parametrize("part_bytes", [1, 7, 40])
+def test_long_messages_have_numbered_parts(spark, part_bytes):
+    rng = random.Random(part_bytes)
+    rows = [("f", rng.choice(["stdout", "stderr"]), n, n // 4, None, rng.random() < 0.9, "x" * rng.randrange(6) + f"{n},") for n in range(200)]
+    joined = logs.join_partials(spark.createDataFrame(rows, LINES), F.col("block"), part_bytes).collect()
+    messages = {}
+    for r in sorted(joined, key=lambda r: (r.stream, r.line_no, r.part)):
+        parts = messages.setdefault((r.path, r.stream, r.line_no), [])
+        assert not any(done for _, done, _ in parts)  # only the last row is complete
+        parts.append((r.log, r.complete, r.part))
+        # A row holds pieces that begin within its bytes: at most those and one piece more.
+        assert len(r.log) < part_bytes + 9
+    together = sorted((*k, "".join(t for t, _, _ in v), v[-1][1]) for k, v in messages.items())
+    assert together == joined_by_hand(rows)
+
+
+def test_one_message_over_ten_thousand_chunks(spark):
+    n = 10_000
+    lines = spark.range(n).select(
+        F.lit("f").alias("path"), F.lit("stdout").alias("stream"), F.col("id").alias("line_no"), F.col("id").alias("block"),
+        F.lit(None).cast("timestamp").alias("ts"), (F.col("id") < n - 1).alias("partial"), F.lpad(F.col("id").cast("string"), 5, "0").alias("log"),
+    )
+    joined = logs.join_partials(lines, F.col("block"), part_bytes=5000)
+    got = sorted((r.part, r.line_no, r.log, r.complete) for r in joined.collect())
+    assert [(p, s, c) for p, s, _, c in got] == [(p, 0, p == 9) for p in range(10)]
+    assert "".join(t for _, _, t, _ in got) == "".join(f"{k:05d}" for k in range(n))
+    # No window takes a whole file in order: each goes over a chunk, a run of it, or a group of chunks.
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    for spec in re.findall(r"windowspecdefinition\(([^)]*)\)", plan):
+        assert "chunk" in spec or "group" in spec
+
+
 def test_chunks_of_line_numbers(spark):
     rows = [("f", "stdout", n, 0, None, n % 3 != 2, str(n)) for n in range(9)]
     lines = spark.createDataFrame(rows, LINES).drop("block")
@@ -164,6 +212,125 @@ def test_places_of_lines_in_files_of_many_splits(spark, folder):
     assert got == lines[:-1]
 
 
+def counting(log):
+    """Opens files and notes how many bytes are read of each."""
+    opener = log_source.open_uri
+
+    class File:
+        def __init__(self, uri):
+            self.file, self.name = opener(uri), uri.rsplit("/", 1)[-1]
+
+        def read_at(self, length, at):
+            data = self.file.read_at(length, at)
+            with open(log, "a") as out:
+                out.write(f"{self.name} {at} {len(data)}\n")
+            return data
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+    return lambda uri: File(uri)
+
+
+def test_appended_bytes_are_read_once_whatever_a_file_is_called(spark, folder):
+    root, log = f"{folder}/in", f"{folder}/reads"
+    os.makedirs(root)
+
+    def put(name, text, mode="a"):
+        with open(f"{root}/{name}", mode) as f:
+            f.write(text)
+
+    state = {"before": spark.createDataFrame([], log_source.POSITIONS)}
+
+    def run():
+        open(log, "w").close()
+        found = log_source.appended(spark, root, state["before"], opener=counting(log), range_bytes=500)
+        if found is None:
+            return None, {}
+        lines, positions = found
+        rows = [(r.path.rsplit("/", 1)[-1], r.line_no, r.value) for r in lines.collect()]
+        kept = positions.collect()
+        state["before"] = spark.createDataFrame(kept, log_source.POSITIONS)
+        names = {r.path.rsplit("/", 1)[-1]: (r.position, r.was and r.was.rsplit("/", 1)[-1]) for r in kept}
+        return sorted(rows), names
+
+    def read(name):
+        """Bytes read of a file, but for its head."""
+        done = [tuple(map(int, x.split()[1:])) for x in open(log) if x.split()[0] == name]
+        done.remove((0, min(log_source.HEAD_BYTES, os.path.getsize(f"{root}/{name}"))))
+        return sum(n for _, n in done)
+
+    body = [f"{n:04d} é{'x' * (n % 37)}" for n in range(300)]
+
+    def text(low, high):
+        return "".join(t + "\n" for t in body[low:high])
+
+    put("a.log", text(0, 100) + body[100][:7])
+    put("b.log", text(0, 3))
+    rows, names = run()
+    assert [v for f, _, v in rows if f == "a.log"] == body[:100]
+    assert names == {"a.log": (len(text(0, 100).encode()), None), "b.log": (len(text(0, 3).encode()), None)}
+    assert run()[0] == []  # the unfinished line is no line yet
+    # Growth: only what is new is read; ranges look one byte back, and read a last line on to its end.
+    put("a.log", body[100][7:] + "\n" + text(101, 105))
+    rows, _ = run()
+    assert [v for _, _, v in rows] == body[100:105] and read("a.log") == len(text(100, 105).encode())
+    # Renamed and grown, and another file under the old name, larger than what was read of the old one.
+    os.rename(f"{root}/a.log", f"{root}/a-1.log")
+    put("a-1.log", text(105, 110))
+    put("a.log", text(150, 300))
+    rows, names = run()
+    assert [v for f, _, v in rows if f == "a-1.log"] == body[105:110] and read("a-1.log") == len(text(105, 110).encode())
+    assert [v for f, _, v in rows if f == "a.log"] == body[150:300]
+    assert names["a-1.log"][1] == "a.log" and names["a.log"][1] is None and names["b.log"][1] == "b.log"
+    # Copied away and cut off: the copy goes on, the file begins anew.
+    put("a-2.log", text(150, 300), "w")
+    put("a.log", text(7, 9), "w")
+    rows, names = run()
+    assert rows == [("a.log", 0, body[7]), ("a.log", len(text(7, 8).encode()), body[8])]
+    assert names["a-2.log"] == (len(text(150, 300).encode()), "a.log") and names["a.log"][1] is None
+
+
+def test_ranges_of_lines(tmp_path):
+    rng = random.Random(8)
+    for _ in range(200):
+        lines = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(rng.randrange(1, 12))]
+        data = b"\n".join(lines) + rng.choice([b"", b"\n"])
+
+        class File:
+            def read_at(self, length, at):
+                return data[at : at + length]
+
+        start = 0 if rng.random() < 0.5 else data.find(b"\n") + 1
+        step = rng.choice([1, 3, 10, 1000])
+        got = []
+        for low in range(start, len(data), step):
+            at, found = log_source.whole_lines(File(), start, low, min(low + step, len(data)), len(data), step=rng.choice([1, 4, 100]))
+            assert data[at : at + len(found)] == found
+            got.append(found)
+        assert b"".join(got) == data[start : data.rfind(b"\n") + 1]
+
+
+def test_open_messages_follow_a_renamed_file(spark, folder):
+    os.makedirs(f"{folder}/in")
+    name = f"p_ns_main-{'0' * 64}.log"
+    line = "2024-01-01T00:00:0{}Z stdout {} {}\n".format
+    with open(f"{folder}/in/{name}", "w") as f:
+        f.write(line(1, "F", "one") + line(2, "P", "tw"))
+    _log_run(spark, folder)
+    os.rename(f"{folder}/in/{name}", f"{folder}/in/q{name}")
+    with open(f"{folder}/in/q{name}", "a") as f:
+        f.write(line(3, "F", "o"))
+    with open(f"{folder}/in/{name}", "w") as f:
+        f.write(line(4, "F", "another file"))
+    _log_run(spark, folder)
+    assert [t[0] for t in _log_texts(spark, folder)] == ["another file", "one", "two"]
+    assert all(done for *_, done in _log_texts(spark, folder))
+
+
 def test_target_labels_come_before_those_of_beans(spark):
     labels = {"__meta_kubernetes_pod_label_strimzi_io_kind": "Kafka", "topic": "t"}
     bean = "kafka.server<type=BrokerTopicMetrics, name=BytesInPerSec, topic=a><>Count"

@@ -11,58 +11,140 @@ from tidewire.functions.codec import one_json_value
 from tidewire.functions.containers import pod_of
 from tidewire.plans.tables import moment
 
-# Lines of one file that are put in order together.
+# Lines of one file that are put in order together, where its splits are not known.
 CHUNK_LINES = 1_000_000
+# Bytes of file splits that make a chunk.
+CHUNK_SHIFT = 20
+# Chunks, and groups of chunks, that are summed up together; three levels do for 2^30 chunks.
+FAN_SHIFT = 10
+LEVELS = 3
+# Bytes of a message in one row; longer ones have several rows.
+PART_BYTES = 16 << 20
 
+_SOURCE = ["path", "stream"]
 
-def join_partials(lines: DataFrame, chunk: Column | None = None) -> DataFrame:
-    """Join the pieces of each message: consecutive partial lines up to a full one.
 
-    ``lines`` has ``path, stream, line_no, ts, partial, log``. The result has one
-    row per message with the line number and time of its first piece;
-    ``complete`` is false when the file ends before the last piece.
+def join_partials(lines: DataFrame, chunk: Column | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Join the pieces of each message: consecutive partial lines up to a full one.
 
-    A file may hold any share of all lines, so it is not ordered as a whole.
-    Lines are ordered within chunks of the file: its splits where ``block`` is
-    known, else runs of line numbers. Only the open head and tail of each chunk,
-    two rows at most, go on to be joined across chunks.
+    ``lines`` has ``path, stream, line_no, ts, partial, log``. The result has the line
+    number and time of each message's first piece. ``part`` numbers the rows of a message
+    from 0: a row takes the pieces that begin in the next ``part_bytes`` bytes of it.
+    ``complete`` is true in the row with the last piece; a message without one goes on
+    behind the lines that are there.
+
+    A file, and a message, may hold any share of all lines, so neither is put in order as a
+    whole. Lines are ordered within chunks of the file: its splits where ``block`` is
+    known, else runs of line numbers. A chunk is summed up in one row: whether a message
+    ends in it, and where the message begins that is open behind it and how long it is.
+    These rows are summed up by groups, and the groups by groups; from there down each chunk
+    learns which message is open before it. Then a piece knows its message and its part
+    of it, and these are put together, each by itself.
     """
+    order = ["block", "line_no"] if "block" in lines.columns else ["line_no"]
     if chunk is None:
-        chunk = F.col("block") if "block" in lines.columns else F.floor(F.col("line_no") / CHUNK_LINES)
-    source = ["path", "stream"]
-    columns = [*source, "line_no", "ts", "log", "complete"]
-    within = Window.partitionBy(*source, "chunk").orderBy("line_no")
+        in_file = F.shiftright(F.col("block").cast("long"), CHUNK_SHIFT) if "block" in lines.columns else None
+        chunk = in_file if in_file is not None else F.floor(F.col("line_no") / CHUNK_LINES)
+    place = F.struct(*order).alias("place")
+    within = Window.partitionBy(*_SOURCE, "chunk").orderBy("place")
     # Messages of a chunk are numbered by the full lines before them.
     ends = F.sum(F.when(F.col("partial"), 0).otherwise(1)).over(within.rowsBetween(Window.unboundedPreceding, -1))
     numbered = (
-        lines.select(*source, chunk.alias("chunk"), "line_no", "ts", "partial", "log")
+        lines.select(*_SOURCE, chunk.cast("long").alias("chunk"), place, "line_no", "ts", "partial", "log")
         .withColumn("message", F.coalesce(ends, F.lit(0)))
         .withColumn("alone", ~F.col("partial") & F.coalesce(~F.lag("partial").over(within), F.lit(False)))
     )
     # Most lines are a message of their own and need no grouping.
-    single = numbered.where("alone").withColumn("complete", F.lit(True))
-    pieces = _joined(numbered.where("not alone"), [*source, "chunk", "message"])
-    # The head of a chunk may go on from the chunk before, its tail may go on in the next.
-    edge = (F.col("message") == 0) | ~F.col("complete")
-    inner = pieces.where(~edge)
-    between = Window.partitionBy(*source).orderBy("chunk", "message")
-    closed = F.sum(F.when(F.col("complete"), 1).otherwise(0)).over(between.rowsBetween(Window.unboundedPreceding, -1))
-    outer = pieces.where(edge).withColumn("message", F.coalesce(closed, F.lit(0)))
-    joined = _joined(outer.withColumn("partial", ~F.col("complete")), [*source, "message"])
-    return single.select(*columns).unionByName(inner.select(*columns)).unionByName(joined.select(*columns))
+    single = numbered.where("alone").select(
+        *_SOURCE, "line_no", "ts", "log", F.lit(True).alias("complete"), F.lit(0).cast("long").alias("part")
+    )
+    run = Window.partitionBy(*_SOURCE, "chunk", "message").orderBy("place")
+    size = F.octet_length("log").cast("long")
+    pieces = (
+        numbered.where("not alone")
+        .withColumn("start", F.first(F.struct("line_no", "ts")).over(run))
+        .withColumn("before", F.coalesce(F.sum(size).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("ended", F.max(~F.col("partial")).over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    )
+    carried = _open_before(_summed_up(pieces, size)).where(F.col("start").isNotNull())
+    carried = carried.withColumnsRenamed({"start": "open_start", "bytes": "open_bytes"})
+    # Only the head of a chunk may go on from the chunk before.
+    head = (F.col("message") == 0) & F.col("open_start").isNotNull()
+    told = pieces.join(carried, [*_SOURCE, "chunk"], "left")
+    told = told.withColumns(
+        {
+            "start": F.when(head, F.col("open_start")).otherwise(F.col("start")),
+            "part": F.floor((F.col("before") + F.when(head, F.col("open_bytes")).otherwise(0)) / part_bytes).cast("long"),
+        }
+    )
+    # A message that begins and ends in the chunk stays there.
+    inside = (F.col("message") > 0) & F.col("ended")
+    return (
+        single.unionByName(_joined(told.where(inside), [*_SOURCE, "chunk", "message", "part"]))
+        .unionByName(_joined(told.where(~inside), [*_SOURCE, "start", "part"]))
+    )
 
 
 def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Concatenate the rows of a message in line order."""
-    order = ["chunk", "line_no"] if "chunk" not in keys else ["line_no"]
-    items = F.sort_array(F.collect_list(F.struct(*order, "ts", "partial", "log")))
-    out = rows.groupBy(*keys).agg(items.alias("items"))
+    """Concatenate the rows of each part of a message in line order."""
+    items = F.sort_array(F.collect_list(F.struct("chunk", "place", "log")))
+    start = F.col("start") if "start" in keys else F.min("start")
+    out = rows.groupBy(*keys).agg(
+        items.alias("items"), F.max(~F.col("partial")).alias("complete"), *([] if "start" in keys else [start.alias("start")])
+    )
     return out.select(
-        *keys,
-        F.col("items")[0]["line_no"].alias("line_no"),
-        F.col("items")[0]["ts"].alias("ts"),
-        (~F.element_at("items", -1)["partial"]).alias("complete"),
+        *_SOURCE,
+        F.col("start.line_no").alias("line_no"),
+        F.col("start.ts").alias("ts"),
         F.array_join(F.transform("items", lambda i: i["log"]), "").alias("log"),
+        "complete",
+        "part",
+    )
+
+
+def _summed_up(pieces: DataFrame, size: Column) -> DataFrame:
+    """One row per chunk: ``ends``, and ``start`` and ``bytes`` of the message left open, NULL and 0 without one."""
+    runs = pieces.groupBy(*_SOURCE, "chunk", "message").agg(
+        F.min("start").alias("start"), F.sum(size).alias("bytes"), F.max("ended").alias("ended")
+    )
+    chunks = runs.groupBy(*_SOURCE, "chunk").agg(
+        F.max("ended").alias("ends"), F.max(F.struct("message", "ended", "start", "bytes")).alias("last")
+    )
+    is_open = ~F.col("last.ended")
+    return chunks.select(
+        *_SOURCE, "chunk", "ends", F.when(is_open, F.col("last.start")).alias("start"),
+        F.when(is_open, F.col("last.bytes")).otherwise(0).alias("bytes"),
+    )
+
+
+def _open_before(chunks: DataFrame, level: int = 1) -> DataFrame:
+    """(path, stream, chunk, start, bytes): the message that is open before each chunk, over all chunks before it."""
+    top = level == LEVELS
+    group = F.lit(0).cast("long") if top else F.shiftright("chunk", FAN_SHIFT)
+    order = Window.partitionBy(*_SOURCE, "group").orderBy("chunk")
+    # A chunk in which a message ends makes the ones before it count no more.
+    numbered = chunks.withColumn("group", group).withColumn("since", F.sum(F.col("ends").cast("int")).over(order))
+    upto = Window.partitionBy(*_SOURCE, "group", "since").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    after = numbered.withColumn(
+        "after",
+        F.struct(
+            (F.col("since") > 0).alias("ends"),
+            F.first("start", ignorenulls=True).over(upto).alias("start"),
+            F.sum("bytes").over(upto).alias("bytes"),
+        ),
+    )
+    within = after.withColumn("before", F.lag("after").over(order))
+    if top:
+        return within.select(*_SOURCE, "chunk", F.col("before.start").alias("start"), F.coalesce("before.bytes", F.lit(0)).alias("bytes"))
+    groups = after.groupBy(*_SOURCE, "group").agg(F.max_by("after", "chunk").alias("all"))
+    above = _open_before(groups.select(*_SOURCE, F.col("group").alias("chunk"), "all.*"), level + 1)
+    above = above.select(*_SOURCE, F.col("chunk").alias("group"), F.col("start").alias("g_start"), F.col("bytes").alias("g_bytes"))
+    own = F.coalesce(F.col("before.ends"), F.lit(False))
+    return within.join(above, [*_SOURCE, "group"]).select(
+        *_SOURCE,
+        "chunk",
+        F.when(own, F.col("before.start")).otherwise(F.coalesce("g_start", "before.start")).alias("start"),
+        (F.when(own, 0).otherwise(F.col("g_bytes")) + F.coalesce("before.bytes", F.lit(0))).alias("bytes"),
     )
 
 

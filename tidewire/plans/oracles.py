@@ -477,6 +477,13 @@ ORACLES: dict[str, str] = {
       CASE WHEN user_id % 7 < 3 THEN 'front' WHEN user_id % 7 <> 6 THEN 'back' END AS app,
       CASE WHEN NOT is_json THEN log END AS log, CASE WHEN is_json THEN event_id::VARCHAR END AS id,
       CASE WHEN is_json THEN event_type END AS event, TRUE AS complete FROM logs""",
+    "log_tail": f"""WITH {LOGS},
+      cut AS (SELECT event_id, ts, stream, regexp_extract_all(log, '(?s).{{1,16}}') AS pieces FROM logs),
+      pieces AS (SELECT *, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS n FROM cut),
+      third AS (SELECT (count(*) + 2) // 3 AS size FROM events)
+      SELECT CASE WHEN event_id < size THEN 'first' WHEN event_id < 2 * size THEN 'grown' ELSE 'moved' END AS run,
+        strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z ' || stream || CASE WHEN n < len(pieces) THEN ' P ' ELSE ' F ' END || piece AS value
+      FROM pieces, third""",
     "log_latest_streams": f"""WITH {LOGS} SELECT path, max(ts) AS last_event FROM logs GROUP BY path
       ORDER BY last_event DESC, path LIMIT 5""",
     "log_recent": f"""WITH {LOGS} SELECT ts, path, log FROM logs WHERE ts >= TIMESTAMP '2024-01-19 23:55:00'

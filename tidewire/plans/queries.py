@@ -29,7 +29,7 @@ from tidewire.registry import (
     sample_registry,
 )
 from tidewire.session import work_dir
-from tidewire.sources import fixtures, generator, records, samples
+from tidewire.sources import fixtures, generator, paths, records, samples
 from tidewire.sources import logs as log_source
 from tidewire.streaming import ingest
 from tidewire.streaming import logs as log_job
@@ -568,7 +568,7 @@ def log_lines(spark, sf_dir):
 
 @query
 def log_multiline(spark, sf_dir):
-    joined = logs.join_partials(fixtures.text_pieces(fixtures.documents(spark, sf_dir)))
+    joined = logs.join_partials(fixtures.text_pieces(fixtures.documents(spark, sf_dir)), F.col("block"))
     return joined.select("path", "stream", "ts", "log", "complete")
 
 
@@ -612,6 +612,34 @@ def log_pipeline(spark, sf_dir):
     )
 
 
+@query
+def log_tail(spark, sf_dir):
+    """What three runs read: of files as they grow, of renamed ones, and of those that began anew."""
+    events = fixtures.events(spark, sf_dir)
+    root = work_dir(spark, "log-tail")
+    lines = fixtures.container_lines(events)
+    third = -(-events.count() // 3)
+    fixtures.write_container_files(lines.where(F.col("event_id") < third), f"{root}/files", third)
+    read = [("first", log_source.appended(spark, f"{root}/files", spark.createDataFrame([], log_source.POSITIONS)))]
+    # All grow; then some are renamed, and others begin under the names they had.
+    fixtures.write_container_files(lines.where(F.col("event_id") < 2 * third), f"{root}/files", 2 * third)
+    read.append(("grown", log_source.appended(spark, f"{root}/files", read[-1][1][1])))
+    names = sorted(paths.children(spark, f"{root}/files/range=0"))
+    logs_there = [n for n in names if n.endswith(".log")]
+    for name in logs_there[::2]:
+        paths.move(spark, f"{root}/files/range=0/{name}", f"{root}/files/range=0/rotated-{name}")
+    rest = lines.where(F.col("event_id") >= 2 * third)
+    began_anew = F.col("name").isin(logs_there[::4])
+    whole = lines.where(~F.col("name").isin(logs_there[::2])).unionByName(rest.where(began_anew))
+    fixtures.write_container_files(whole, f"{root}/files", events.count())
+    fixtures.write_container_files(rest.where(F.col("name").isin(logs_there[2::4])), f"{root}/more", events.count())
+    for name in logs_there[2::4]:
+        paths.move(spark, f"{root}/more/range=0/{name}", f"{root}/files/range=1/{name}")
+    read.append(("moved", log_source.appended(spark, f"{root}/files", read[-1][1][1])))
+    found = [lines.select(F.lit(run).alias("run"), "value") for run, (lines, _) in read]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def log_latest_streams(spark, sf_dir):
     return logs.latest_streams(fixtures.log_lines(fixtures.events(spark, sf_dir)))

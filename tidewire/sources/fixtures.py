@@ -295,16 +295,18 @@ def container_lines(events: DataFrame, size: int = 16) -> DataFrame:
     return cut.select("name", "event_id", "n", F.concat_ws(" ", time, "stream", flag, "piece").alias("value"))
 
 
-def write_container_files(lines: DataFrame, folder: str) -> None:
-    """One file per container; a file that was there is replaced, as if it had grown."""
+def write_container_files(lines: DataFrame, folder: str, events_per_file: int = 25_000) -> None:
+    """Files of each container, one for so many events; a file that was there is replaced, as if it had grown."""
     spark = lines.sparkSession
     staged = work_dir(spark, "container-files")
-    ordered = lines.repartition("name").sortWithinPartitions("name", "event_id", "n")
-    ordered.select("name", "value").write.partitionBy("name").text(staged)
+    spread = lines.withColumn("range", F.floor(F.col("event_id") / events_per_file))
+    ordered = spread.repartition("range", "name").sortWithinPartitions("range", "name", "event_id", "n")
+    ordered.select("range", "name", "value").write.partitionBy("range", "name").text(staged)
     for held in paths.children(spark, staged):
-        for part in paths.children(spark, f"{staged}/{held}"):
-            if part.startswith("part-"):
-                paths.move(spark, f"{staged}/{held}/{part}", f"{folder}/{held.removeprefix('name=')}")
+        for name in paths.children(spark, f"{staged}/{held}") if held.startswith("range=") else ():
+            for part in paths.children(spark, f"{staged}/{held}/{name}"):
+                if part.startswith("part-"):
+                    paths.move(spark, f"{staged}/{held}/{name}/{part}", f"{folder}/{held}/{name.removeprefix('name=')}")
 
 
 def pods(events: DataFrame) -> DataFrame:
