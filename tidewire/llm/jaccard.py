@@ -33,7 +33,7 @@ WORDS = 5
 LEAST = 80
 _SETS = "doc long, size int, body long, group long, last long, bits array<long>, prefix array<long>"
 #: Bits that a group's prefix is summed up in.
-BITS = 256
+BITS = 1024
 _ORDER_HIGH = U(1) << U(62)
 _PLACES = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) * U(2) + U(1)
 
