@@ -78,3 +78,23 @@ def test_plan_has_no_python(work):
     turns = work.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string").selectExpr("*")
     plan = read_chats(format_chats(turns))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_long_chat_takes_little_time(work):
+    """16,000 turns: linear in their number, and read back as they were."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 16_000
+    turns = work.range(n).select(
+        F.lit(1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("é [SEP] "), F.col("id").cast("string")).alias("text"),
+    )
+    begin = time.perf_counter()
+    (row,) = chat.read_chats(chat.format_chats(turns)).collect()
+    assert time.perf_counter() - begin < 60
+    assert [(t["role"], t["text"]) for t in row["turns"]] == [("user" if k % 3 == 0 else "assistant", f"é [SEP] {k}") for k in range(n)]
+    assert row["loss_text"] == "".join(f"é [SEP] {k}" for k in range(n) if k % 3)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from llm_helpers import real_docs, rows_of
 from pyspark.sql import functions as F
 
@@ -91,16 +92,84 @@ def test_parts_longer_than_the_scope_meet(work):
     long = "aB3" * 100
     url = "https://db.example.com/" + "p/" * 150
     texts = [f"{long} user=alice", f"user=alice {long}", f"{url} login=bob {MIXED}", f"{long}{' ' * 200}user=alice",
-             f"{long}{' ' * 201}user=alice", f"user=alice{' ' * 190}{long}", f"user=alice{' ' * 191}{long}"]
+             f"{long}{' ' * 201}user=alice", f"user=alice{' ' * 200}{long}", f"user=alice{' ' * 201}{long}",
+             f"{MIXED}{MIXED[:20]}AAAAAAAAAA{' ' * 152}login:alice"]
     docs = work.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in find_secrets(docs).collect()}
     assert found[0] == found[3] == ["weak_secret", "weak_id"]
     assert found[1] == found[5] == ["weak_id", "weak_secret"]
     assert found[2] == ["weak_endpoint", "weak_id", "weak_secret"]
     assert found[4] == found[6] == []
+    assert found[7] == ["weak_secret", "weak_id"]
     assert "alice" not in {r["doc_id"]: r["text"] for r in mask_secrets(docs).collect()}[0]
 
 
+def test_parts_that_overlap_do_not_complete_each_other(work):
+    clean = ["login: bob https://example.com/2024/Some-Long-Title-Here-And-More", "account = Ab3Ab3Ab3Ab3Ab3Ab3Ab3Ab3Ab3Ab3"]
+    docs = work.createDataFrame(list(enumerate(clean)), "doc_id long, text string")
+    assert all(r["spans"] == [] for r in find_secrets(docs).collect())
+    assert [r["text"] for r in mask_secrets(docs).orderBy("doc_id").collect()] == clean
+
+
+def test_planted_credentials_are_found_and_clean_texts_left_alone(work):
+    """Some thousand texts of plain words, a third of them with credentials in parts."""
+    import random
+
+    pick = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def words(n):
+        return " ".join("".join(pick.choices(letters[:26], k=pick.randint(1, 9))) for _ in range(n))
+
+    def secret():
+        return "".join(pick.choices(letters, k=pick.randint(30, 90))) + "aB3"
+
+    texts, parts = [], []
+    for n in range(3000):
+        body = [words(pick.randint(5, 120))]
+        mine = []
+        if n % 3 == 0:
+            who, what = f"{pick.choice(['user', 'client_id', 'login'])}={words(1)}ab{n}", secret()
+            mine = [who, what] + ([f"https://{words(1)}.example.com/v{n}"] if n % 2 else [])
+            pick.shuffle(mine)
+            gaps = [words(pick.randint(1, 12)) for _ in mine]
+            body += [x for pair in zip(mine, gaps, strict=True) for x in pair]
+        elif n % 3 == 1:
+            # One part alone, or parts far from each other, is no finding.
+            body += [pick.choice([f"user={words(1)}abc", secret(), f"https://{words(1)}.example.com"])]
+            if n % 2:
+                body += [words(160), "login: bob"] if "user" not in body[-1] and "http" not in body[-1] else []
+        texts.append(" ".join([*body, words(pick.randint(0, 30))]))
+        parts.append(mine)
+    docs = work.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]} for r in find_secrets(docs).collect()}
+    planted = [n for n in range(3000) if parts[n]]
+    hit = sum(set(parts[n]) <= found[n] for n in planted)
+    clean = sum(not found[n] for n in range(3000) if not parts[n])
+    assert hit >= 0.98 * len(planted)
+    assert clean >= 0.999 * (3000 - len(planted))
+
+
+@pytest.mark.parametrize("n", [32_000])
+def test_a_text_full_of_matches_takes_little_time(work, n):
+    import time
+
+    lines = " ".join(f"token=abc{k:05d} user=me{k}" for k in range(n))
+    docs = work.createDataFrame([(1, lines)], "doc_id long, text string")
+    begin = time.perf_counter()
+    (found,) = find_secrets(docs).select(F.size("base").alias("n")).collect()
+    (masked,) = mask_secrets(docs).select(F.md5("text").alias("m"), F.length("text").alias("n")).collect()
+    assert found["n"] == n and time.perf_counter() - begin < 60
+    (told,) = find_secrets(docs).select("spans").collect()
+    out, at = [], 0
+    for s in told["spans"]:
+        if s["start"] >= at:
+            out += [lines[at : s["start"]], f"[{s['kind'].upper()}]"]
+        at = max(at, s["end"])
+    want = "".join([*out, lines[at:]])
+    assert masked["m"] == hashlib.md5(want.encode()).hexdigest() and masked["n"] == len(want)
+
+
 def test_masking_takes_every_span_and_nothing_else(work, odd_docs, no_docs):
     docs = frame(work).withColumn("n_chars", F.length("text").cast("long"))
     masked = {r["doc_id"]: r for r in mask_secrets(docs).collect()}

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.spans import in_chunks, let, piece, starts_of
+
 OPEN, CLOSE, PART = "<s>", "</s>", "[SEP]"
 # The strings that may not stand in a text as they are, behind their first character.
 _RESERVED = r"(/?s>|/?INST\]|SEP\])"
@@ -35,22 +37,19 @@ def _role_in(role: Column) -> Column:
 
 def _merged(turns: Column) -> Column:
     """Adjacent turns of one role become one block with an array of texts."""
-    return F.aggregate(
-        turns,
-        F.array().cast("array<struct<role:string,texts:array<string>>>"),
-        lambda done, turn: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["role"] == turn["role"]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        turn["role"].alias("role"),
-                        F.concat(F.element_at(done, -1)["texts"], F.array(turn["text"])).alias("texts"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))))),
-    )
+
+    def opens(t: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(t) - 1)
+        return F.filter(places, lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, F.greatest(i - 1, F.lit(0)))["role"]))
+
+    def blocks(t: Column, first: Column) -> Column:
+        def block(at: Column, k: Column) -> Column:
+            own = F.slice(t, at + 1, F.coalesce(F.get(first, k + 1), F.size(t)) - at)
+            return F.struct(F.get(t, at)["role"].alias("role"), F.transform(own, lambda x: x["text"]).alias("texts"))
+
+        return F.transform(first, block)
+
+    return let(turns, lambda t: let(opens(t), lambda first: blocks(t, first)))
 
 
 def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -103,27 +102,19 @@ def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
             )
         ).alias("parts"),
     )
-    begin = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + p["skip"] + p["size"] + p["tail"]).alias("at"),
-            F.when(
-                p["trained"],
-                F.concat(
-                    s["spans"],
-                    F.array(
-                        F.struct(
-                            (s["at"] + p["skip"]).alias("start"), (s["at"] + p["skip"] + p["size"]).alias("end")
-                        )
-                    ),
-                ),
-            )
-            .otherwise(s["spans"])
-            .alias("spans"),
-        ),
-    )
-    return shaped.select("conv_id", "formatted", begin["spans"].alias("loss_spans"))
+    def spans(parts: Column, at: Column) -> Column:
+        each = F.transform(
+            parts,
+            lambda p, i: F.struct(
+                (F.get(at, i) + p["skip"]).alias("start"), (F.get(at, i) + p["skip"] + p["size"]).alias("end"), p["trained"].alias("trained")
+            ),
+        )
+        kept = F.filter(each, lambda s: s["trained"])
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    sizes = lambda parts: F.transform(parts, lambda p: p["skip"] + p["size"] + p["tail"])
+    loss = let(F.col("parts"), lambda parts: let(starts_of(sizes(parts)), lambda at: spans(parts, at)))
+    return shaped.select("conv_id", "formatted", loss.alias("loss_spans"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
@@ -141,9 +132,9 @@ def read_chats(chats: DataFrame) -> DataFrame:
             ),
         )
     ).cast(_TURNS)
-    loss = F.concat_ws(
-        "",
-        F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))),
+    loss = let(
+        in_chunks(F.col("formatted")),
+        lambda c: F.array_join(F.transform("loss_spans", lambda s: unescaped(piece(c, s["start"], s["end"] - s["start"]))), ""),
     )
     return chats.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted")
 

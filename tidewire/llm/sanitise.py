@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.spans import matches, no_spans, replaced, span
+from tidewire.llm.spans import ends_before, in_chunks, let, matches, no_spans, piece, placed, replaced
 from tidewire.llm.store import written
 
 # The kinds and patterns of the base scan. Where a run of characters fails at
@@ -73,16 +73,17 @@ def _veiled(text: Column, base: Column) -> Column:
     TERM finds its matches at the same places in both; those that differ overlap a base span.
     """
 
-    def step(state: Column, s: Column) -> Column:
-        low, high = F.greatest(state["at"], s["start"]), F.greatest(state["at"], s["end"])
-        gap = F.substring(text, state["at"] + 1, low - state["at"])
-        veil = F.regexp_replace(F.substring(text, low + 1, high - low), "[A-Za-z0-9]", "\u2e2f")
-        return F.struct(high.alias("at"), F.concat(state["out"], F.array(gap, veil)).alias("out"))
+    def put(held: Column, before: Column, chunks: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            low = F.greatest(F.get(before, i), s["start"])
+            gap = piece(chunks, F.get(before, i), low - F.get(before, i))
+            veil = F.regexp_replace(piece(chunks, low, F.greatest(s["end"] - low, F.lit(0))), "[A-Za-z0-9]", "\u2e2f")
+            return F.concat(gap, veil)
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(
-        base, none, step, lambda s: F.concat(F.concat_ws("", s["out"]), F.substring(text, s["at"] + 1, F.length(text)))
-    )
+        last = F.greatest(F.element_at(before, -1), F.element_at(held, -1)["end"])
+        return F.concat(F.array_join(F.transform(held, one), ""), piece(chunks, last, F.length(text) - last))
+
+    done = let(base, lambda held: let(ends_before(held), lambda before: let(in_chunks(text), lambda c: put(held, before, c))))
     return F.when(F.size(base) > 0, done).otherwise(text)
 
 
@@ -99,21 +100,14 @@ def _terms(text: Column, base: Column) -> Column:
 
 def _places(text: Column, base: Column, told: Column) -> Column:
     """Spans of every place where a term of the map ``told`` stands clear of the base spans."""
-    words = F.arrays_zip(
-        F.split(text, TERM, -1).alias("gap"), _found(text).alias("said"), _found(_veiled(text, base)).alias("seen")
-    )
-    none = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
-
-    def step(state: Column, w: Column) -> Column:
-        start = state["at"] + F.length(w["gap"])
-        end = F.coalesce(start + F.length(w["said"]), start)
-        share = F.when(w["said"] == w["seen"], F.try_element_at(told, F.lower(w["said"])))
-        spans = F.when(share.isNull(), state["spans"]).otherwise(
-            F.concat(state["spans"], F.array(span(start, 4, end, "term", share.cast("string"))))
-        )
-        return F.struct(end.alias("at"), spans.alias("spans"))
 
-    return F.aggregate(words, none, step)["spans"]
+    def spans(seen: Column) -> Column:
+        def share(said: Column, i: Column) -> Column:
+            return F.when(said == F.get(seen, i), F.try_element_at(told, F.lower(said))).cast("string")
+
+        return F.filter(placed(text, TERM, _found(text), "term", 4, share), lambda s: s["value"].isNotNull())
+
+    return let(_found(_veiled(text, base)), spans)
 
 
 def _share(both: Column, term: Column, entity: Column, documents: int, prior: float) -> Column:

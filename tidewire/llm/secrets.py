@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.spans import SPANS, matches, replaced
+from tidewire.llm.spans import SPANS, clear_of, let, matches, replaced
 from tidewire.llm.store import written
 
 # The kinds and patterns of the base scan; letters of the names in either case.
@@ -49,19 +49,18 @@ def base_spans(text: Column) -> Column:
 
 
 def _weak(text: Column, base: Column) -> Column:
-    """Weak parts of texts that hold an identifier at all, clear of the base spans."""
+    """Weak parts of texts that hold an identifier at all, clear of the base spans.
+
+    A long string inside an endpoint or an identifier is a piece of these, not a secret.
+    """
     named = F.exists(base, lambda s: s["kind"] == "access") | text.rlike(WEAK_ID)
     secrets = F.filter(
         matches(text, WEAK_SECRET, "weak_secret", 4, named),
         lambda s: s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[0-9]"),
     )
-    parts = F.concat(
-        matches(text, WEAK_ID, "weak_id", 3, named), secrets, matches(text, WEAK_ENDPOINT, "weak_endpoint", 5, named)
-    )
-    clear = F.filter(
-        parts, lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
-    )
-    return F.when(named, F.sort_array(clear)).otherwise(F.array().cast(SPANS))
+    others = F.sort_array(F.concat(matches(text, WEAK_ID, "weak_id", 3, named), matches(text, WEAK_ENDPOINT, "weak_endpoint", 5, named)))
+    parts = let(others, lambda held: F.sort_array(F.concat(held, clear_of(secrets, held))))
+    return F.when(named, clear_of(parts, base)).otherwise(F.array().cast(SPANS))
 
 
 _PART = {"access": "who", "weak_id": "who", "assign": "what", "hex": "what", "weak_secret": "what", "weak_endpoint": "where"}
@@ -70,11 +69,10 @@ _PART = {"access": "who", "weak_id": "who", "assign": "what", "hex": "what", "we
 def _linked(found: DataFrame, scope: int) -> DataFrame:
     """(doc_id, text_hash, linked): weak spans with complementary parts in scope.
 
-    Two parts are near where their starts are at most ``scope`` apart or, as the end of a
-    long part may be far from its start, where the earlier one is longer than half of
-    ``scope`` and the later one starts at most ``scope`` behind its end. An interval join by
-    blocks of ``scope`` code points: per document, block and part only the first and last
-    place are kept. So a text full of parts makes no pairs of them.
+    Two parts are near where at most ``scope`` code points lie between the end of the one and the
+    start of the other; parts that overlap are not. An interval join by blocks of ``scope``
+    code points: per document, block and part only the first and last start, and the
+    first and last end, are kept. So a text full of parts makes no pairs of them.
     """
     key = ["doc_id", "text_hash"]
     part = reduce(lambda c, kv: c.when(F.col("span.kind") == kv[0], kv[1]), _PART.items(), F)
@@ -85,30 +83,26 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
         .select(*key, "span", part.alias("part"))
     )
     start, end = F.col("span.start"), F.col("span.end")
-    far = F.when(end - start > scope / 2, end)
 
-    def place(side: str, at: Column, before: int = 0, behind: int = 0, near: int = 0) -> Column:
+    def place(side: str, low: Column, high: Column, near: int = 0) -> Column:
         return F.struct(
-            F.lit(side).alias("side"),
-            (F.floor(at / scope) + near).alias("block"),
-            (at - before).alias("low"),
-            (at + behind).alias("high"),
+            F.lit(side).alias("side"), (F.floor(low / scope) + near).alias("block"), low.alias("low"), high.alias("high")
         )
 
     def at(*places: Column) -> DataFrame:
-        return rows.select("*", F.explode(F.array(*places)).alias("p")).select("*", "p.*").where(F.col("block").isNotNull()).drop("p")
+        return rows.select("*", F.explode(F.array(*places)).alias("p")).select("*", "p.*").drop("p")
 
-    ends = at(place("start", start), place("end", far)).groupBy(*key, "side", "block").agg(
+    ends = at(place("start", start, start), place("end", end, end)).groupBy(*key, "side", "block").agg(
         *[
             f(F.when(F.col("part") == p, F.col("low"))).alias(f"{n}_{p}")
             for p in ("who", "what", "where")
             for n, f in (("first", F.min), ("last", F.max))
         ]
     )
+    # What begins at most ``scope`` behind its end, and what ends at most so far before its start.
     weak = at(
-        *[place("start", start, scope, scope, near) for near in (-1, 0, 1)],
-        *[place("end", start, scope, 0, near) for near in (-1, 0)],
-        *[place("start", far, 0, scope, near) for near in (0, 1)],
+        *[place("start", end, end + scope, near) for near in (0, 1)],
+        *[place("end", start - scope, start, near) for near in (0, 1)],
     ).where(F.col("span.kind").startswith("weak_"))
     on_key = (*key, "side", "block")
     seen = ends.withColumnsRenamed({k: f"e_{k}" for k in on_key})
@@ -157,18 +151,23 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     return joined.select("doc_id", "text_hash", "base", every.alias("spans"))
 
 
-def mask_secrets(docs: DataFrame, scope: int = 200, broadcast_rows: int = 100_000) -> DataFrame:
+def mask_secrets(docs: DataFrame, scope: int = 200, broadcast_spans: int = 200_000) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``[KIND]``; its columns stay as they are.
 
-    Only texts with spans are joined; they are broadcast up to ``broadcast_rows``.
+    Only the places of spans are joined. They are broadcast while all texts together have at most
+    ``broadcast_spans`` of them, else texts and spans are shuffled by doc_id and the text's hash.
     """
     found = (
         find_secrets(docs, scope)
         .where(F.size("spans") > 0)
-        .select(F.col("doc_id").alias("s_doc_id"), F.col("text_hash").alias("s_hash"), F.col("spans").alias("s_spans"))
+        .select(
+            F.col("doc_id").alias("s_doc_id"),
+            F.col("text_hash").alias("s_hash"),
+            F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("s_spans"),
+        )
     )
     found = written(found.dropDuplicates(["s_doc_id", "s_hash"]), "secret-spans")
-    few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
+    few = (found.agg(F.sum(F.size("s_spans"))).first()[0] or 0) <= broadcast_spans
     text = docs["text"]
     masked = replaced(text, found["s_spans"], lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     on = docs["doc_id"].eqNullSafe(found["s_doc_id"]) & F.xxhash64(docs["text"]).eqNullSafe(found["s_hash"])
