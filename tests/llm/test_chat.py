@@ -94,7 +94,7 @@ def test_a_long_chat_takes_little_time(work):
         F.concat(F.lit("é [SEP] "), F.col("id").cast("string")).alias("text"),
     )
     begin = time.perf_counter()
-    (row,) = chat.read_chats(chat.format_chats(turns)).collect()
+    (row,) = read_chats(format_chats(turns)).collect()
     assert time.perf_counter() - begin < 60
     assert [(t["role"], t["text"]) for t in row["turns"]] == [("user" if k % 3 == 0 else "assistant", f"é [SEP] {k}") for k in range(n)]
     assert row["loss_text"] == "".join(f"é [SEP] {k}" for k in range(n) if k % 3)

@@ -11,7 +11,8 @@ any other occurrence of the window holds at the same place. One of them, the sam
 every occurrence, stands for the window. Windows next to each other that share this
 symbol are a block; only blocks are shuffled, one row for about fifteen words.
 
-Symbols in one document only end there. Where all blocks with a symbol are equal,
+What a block or a window is, is told by 128 bits: two hashes over its words, made from two
+hashes of each word. Symbols in one document only end there. Where all blocks with a symbol are equal,
 all but those of the smallest doc_id go. Only where blocks with a symbol differ, at
 the edges of copied passages, are their windows looked at one by one.
 """
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.store import only, written
-from tidewire.llm.words import Powers, Scan, U, mix, pieces, scan, signed, spans_hash, windows
+from tidewire.llm.store import discard, only, written
+from tidewire.llm.words import Powers, Scan, U, mix, pieces, scan, second_hashes, signed, spans_hash, windows
 
 WINDOW = 50
 #: Per round: most words of a run's symbol and of a pair's symbol.
@@ -38,8 +39,9 @@ LONGEST = ROUNDS[-1][1]
 EDGE = sum(run + run for run, _ in ROUNDS)
 assert WINDOW - 2 * EDGE >= 2 * LONGEST - 1  # then a whole symbol lies within
 
-_BLOCKS = Powers(0x8EBC6AF09C88C6E3)
-_BLOCK = "name long, block long, doc long, hash int, first int, n int"
+_BLOCKS, _BLOCKS_TOO = Powers(0x8EBC6AF09C88C6E3), Powers(0xA0761D6478BD642F)
+_CONTENT = ("block", "block_too")
+_BLOCK = "name long, block long, block_too long, doc long, hash int, first int, n int"
 
 
 def symbols(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,11 +99,10 @@ def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def blocks(s: Scan) -> tuple[np.ndarray, ...]:
-    """(symbol's name, block's hash, text, first window's word within the text, windows) of every block."""
+    """(symbol's name, block's two hashes, text, first window's word within the text, windows) of every block."""
     begin, owner = windows(s.hashes, s.first, WINDOW)
     if not len(begin):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return (np.zeros(0, np.int64),) * 6
     name, start, size = symbols(s.hashes, s.first)
     low = np.searchsorted(start, begin + EDGE)
     high = np.searchsorted(start + size, begin + WINDOW - EDGE, side="right")
@@ -114,26 +115,32 @@ def blocks(s: Scan) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(at, len(begin)))
     text = owner[at]
     ends = begin[at] + count - 1 + WINDOW
-    content = spans_hash(s.hashes, begin[at], ends, _BLOCKS)
     # Where the symbol lies in the block belongs to what the block is.
-    content = mix(content + (start[chosen[at]] - begin[at]).astype(U))
-    return signed(name[chosen[at]]), signed(content), text, begin[at] - s.first[text], count
+    inside = (start[chosen[at]] - begin[at]).astype(U)
+    content, too = (signed(mix(h + inside)) for h in _contents(s, begin[at], ends))
+    return signed(name[chosen[at]]), content, too, text, begin[at] - s.first[text], count
+
+
+def _contents(s: Scan, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the words ``begin`` to ``end``, for each pair of places."""
+    return spans_hash(s.hashes, begin, end, _BLOCKS), spans_hash(second_hashes(s), begin, end, _BLOCKS_TOO)
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        name, content, text, first, count = blocks(scan(batch.column("text")))
+        name, content, too, text, first, count = blocks(scan(batch.column("text")))
         where = pa.array(text)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(name, pa.int64()),
                 pa.array(content, pa.int64()),
+                pa.array(too, pa.int64()),
                 batch.column("doc").take(where),
                 batch.column("hash").take(where),
                 pa.array(first.astype(np.int32)),
                 pa.array(count.astype(np.int32)),
             ],
-            names=["name", "block", "doc", "hash", "first", "n"],
+            names=["name", *_CONTENT, "doc", "hash", "first", "n"],
         )
 
 
@@ -152,15 +159,16 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owners.append(np.full(n, row))
         begin = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
         owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        content = spans_hash(s.hashes, begin, begin + WINDOW, _BLOCKS)
+        content, too = _contents(s, begin, begin + WINDOW)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(signed(content), pa.int64()),
+                pa.array(signed(too), pa.int64()),
                 batch.column("doc").take(pa.array(owner)),
                 batch.column("hash").take(pa.array(owner)),
                 pa.array((begin - s.first[owner]).astype(np.int32), pa.int32()),
             ],
-            names=["window", "doc", "hash", "first"],
+            names=[*_CONTENT, "doc", "hash", "first"],
         )
 
 
@@ -174,18 +182,24 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc"), text_hash().alias("hash"), "text"
     )
     found = written(keyed.mapInArrow(_block_rows, _BLOCK), "blocks")
+    content = F.struct(*_CONTENT)
     names = (
         found.groupBy("name")
-        .agg(
-            F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("block").alias("a"), F.max("block").alias("b")
-        )
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(content).alias("a"), F.max(content).alias("b"))
         .where(F.col("low") < F.col("high"))
         .select("name", "low", (F.col("a") == F.col("b")).alias("alike"))
     )
+    # Written by itself, so that the shuffle of the counts is gone before that of the rows.
+    names = written(names, "names")
     shared = written(found.join(names, "name"), "blocks-shared")
+    discard(found, names)
     differing = shared.where(~F.col("alike")).drop("low", "alike")
-    smallest = differing.groupBy("name", "block").agg(F.min("doc").alias("low"))
-    told = written(differing.join(smallest, ["name", "block"]), "blocks-told")
+    smallest = differing.groupBy("name", *_CONTENT).agg(F.min("doc").alias("low"))
+    told = written(differing.join(smallest, ["name", *_CONTENT]).drop("name", *_CONTENT), "blocks-told")
+    alike = written(
+        shared.where(F.col("alike") & (F.col("doc") > F.col("low"))).select("doc", "hash", "first", "n"), "blocks-alike"
+    )
+    discard(shared)
     # A block whose equal starts in a smaller doc_id is gone whole; the first of its kind stays open.
     opened = (
         told.where(F.col("doc") == F.col("low"))
@@ -193,16 +207,19 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set(F.struct("first", "n")).alias("open"))
     )
     texts = only(keyed, opened.select("doc").distinct(), "doc").join(opened, ["doc", "hash"])
-    each = written(texts.mapInArrow(_window_rows, "window long, doc long, hash int, first int"), "windows")
-    first_seen = each.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    later = each.join(first_seen.where(F.col("low") < F.col("high")), "window").where(F.col("doc") > F.col("low"))
+    each = written(texts.mapInArrow(_window_rows, "block long, block_too long, doc long, hash int, first int"), "windows")
+    first_seen = each.groupBy(*_CONTENT).agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    first_seen = written(first_seen.where(F.col("low") < F.col("high")).drop("high"), "windows-shared")
+    later = each.join(first_seen, list(_CONTENT)).where(F.col("doc") > F.col("low"))
     parts = (
-        shared.where(F.col("alike") & (F.col("doc") > F.col("low"))).select("doc", "hash", "first", "n"),
+        alike,
         told.where(F.col("doc") > F.col("low")).select("doc", "hash", "first", "n"),
         later.select("doc", "hash", "first", F.lit(1).alias("n")),
     )
     every = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    return every.groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
+    gone = written(every.groupBy("doc", "hash").agg(F.collect_set(F.struct("first", "n")).alias("gone")), "gone")
+    discard(alike, told, each, first_seen)
+    return gone
 
 
 def _cut(out: str):

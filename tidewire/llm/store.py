@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.session import work_dir
+from tidewire.sources import paths
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a batch that Spark hands to a Python worker.
 BATCH_BYTES = 8 << 20
@@ -17,12 +19,26 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
     The plan behind it is cut there: a lost executor costs the tasks at hand,
-    never a recomputation of what is already in the table.
+    never a recomputation of what is already in the table. So the shuffles that led
+    to it are of no more use, and their files go when it is written.
     """
     spark: SparkSession = df.sparkSession
     path = work_dir(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for table in tables:
+        paths.drop_dir(table.sparkSession, table.stored_at)
 
 
 def only(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int = 400_000) -> DataFrame:

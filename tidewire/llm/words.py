@@ -105,6 +105,15 @@ def scan(texts: pa.Array, lower: bool = False) -> Scan:
     return Scan(data, offsets, begin, end, hashes, np.searchsorted(begin, offsets))
 
 
+_SECOND = Powers(0xC2B2AE3D27D4EB4F)
+_SECOND_VALUES = np.random.default_rng(20_250_123).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+
+
+def second_hashes(s: Scan) -> np.ndarray:
+    """Another hash of each word, with other byte values and another base."""
+    return spans_hash(_SECOND_VALUES[s.data], s.begin, s.end, _SECOND)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Batches cut into slices with about ``limit`` bytes of ``text``, one row at least.
 
