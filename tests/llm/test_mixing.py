@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from llm_helpers import rows_of, words_of
+from pyspark.sql import functions as F
 
 from tidewire.llm.mixing import mix, mix_rates
 
@@ -48,6 +49,17 @@ def test_taken_words_come_near_the_targets(work):
         assert abs(got["taken"] - got["target"]) < 0.05 * got["target"]
 
 
+def test_taken_words_come_near_the_targets_of_real_texts(work):
+    """Few documents a source, some of them with most of its words."""
+    docs = work.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rated = mix_rates(docs).join(docs.select("doc_id", "source"), "doc_id")
+    off = rated.selectExpr("source", "size * copies AS taken", "target").groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.max("target").alias("target")
+    )
+    shares = sorted(r["taken"] / r["target"] for r in off.collect())
+    assert len(shares) == docs.select("source").distinct().count() and shares[0] > 0.9 and shares[-1] < 1.1
+
+
 def test_mix_repeats_rows_and_reruns_agree(work, odd_docs):
     mixed = mix(odd_docs)
     assert mixed.columns == odd_docs.columns

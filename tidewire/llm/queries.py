@@ -74,7 +74,7 @@ def topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return packing.pack(docs, corpus_pipeline.tokenizer(), with_ids=False).withColumn("length", F.col("length").cast("long"))
+    return packing.pack(docs, tokens.word_tokenizer(), with_ids=False).withColumn("length", F.col("length").cast("long"))
 
 
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,14 +154,21 @@ ORACLES: dict[str, str] = {
         targets AS (
             SELECT source, source_size, coalesce(least(cap, found.level * weight), cap) AS target FROM capped, found),
         rated AS (
-            SELECT doc_id, size, source_size, target,
-                   least(3.0::DOUBLE, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END) AS rate,
-                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|mix'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE
-                       AS chance
-            FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
-        SELECT doc_id, size, source_size, target,
-               ((floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-        FROM rated""",
+            SELECT doc_id, sized.source, size, source_size, target,
+                   least(3.0::DOUBLE, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END) AS rate
+            FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
+        tried AS (
+            SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|mix|' || turn), 1, 12))::BIGINT
+                      / 281474976710656.0::DOUBLE AS chance
+            FROM rated, (SELECT unnest(range(32)) AS turn)),
+        copied AS (
+            SELECT *, ((floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM tried),
+        sums AS (
+            SELECT source, turn, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM copied GROUP BY source, turn),
+        chosen AS (
+            SELECT source, turn FROM sums QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, turn) = 1)
+        SELECT doc_id, size, source_size, target, taken
+        FROM copied JOIN chosen ON copied.turn = chosen.turn AND copied.source IS NOT DISTINCT FROM chosen.source""",
     "op2_substring_dedup": rf"""
         WITH texts AS (SELECT doc_id, {_WORDS} AS words FROM documents),
         starts AS (
