@@ -14,9 +14,23 @@ def _keys(series: DataFrame, by: Sequence[str]) -> list[Column]:
     return [F.col(name) if name in series.columns else label(name).alias(name) for name in by]
 
 
+#: Places behind the point that sums of doubles keep.
+EXACT = "decimal(38,12)"
+
+
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles, the same in whatever order they are added.
+
+    They are added as decimals, so a small one beside large ones is not lost. Where one of
+    them has no such decimal (not a number, infinite, beyond 26 digits) they are added as they are.
+    """
+    exact = value.try_cast(EXACT)
+    return F.coalesce(F.when(F.count(value) == F.count(exact), F.try_sum(exact).cast("double")), F.sum(value))
+
+
 def sum_by(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Sum per evaluation time and label values."""
-    return series.groupBy("ts", *_keys(series, by)).agg(F.sum("value").alias("value"))
+    return series.groupBy("ts", *_keys(series, by)).agg(exact_sum(F.col("value")).alias("value"))
 
 
 def count_by(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -57,7 +57,7 @@ typed AS (
 
 HOURLY = """
 hourly AS (
-  SELECT event_type, date_trunc('hour', ts) AS ts, sum(value) AS v FROM events GROUP BY ALL
+  SELECT event_type, date_trunc('hour', ts) AS ts, sum(CAST(value AS DECIMAL(38, 12))) AS v FROM events GROUP BY ALL
 ),
 runs AS (
   SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1) // 200 AS run FROM hourly
@@ -65,7 +65,7 @@ runs AS (
 s AS (
   SELECT 'events_value_total' AS metric, event_type AS series,
     epoch_us(ts) // 1000000 - 1704088800 AS t,
-    sum(v) OVER (PARTITION BY event_type, run ORDER BY ts) AS v
+    (sum(v) OVER (PARTITION BY event_type, run ORDER BY ts))::DOUBLE AS v
   FROM runs
 )"""
 
@@ -209,13 +209,17 @@ def _legend(panel: panels.Panel) -> str:
 
 
 def _round(value: str) -> str:
-    return f"CAST(CAST({value} AS FLOAT) AS DOUBLE)"
+    return f"round({value}, 6)"
+
+
+def _sum(value: str) -> str:
+    return f"sum(CAST({value} AS DECIMAL(38, 12)))::DOUBLE"
 
 
 def _panel(number: int, step: int = 60) -> str:
     panel = panels.PANELS[number - 1]
     labels = _LABELS[panel.dashboard]
-    agg = "count(value)::DOUBLE" if panel.agg == "count" else f"sum({_shown(panel)})"
+    agg = "count(value)::DOUBLE" if panel.agg == "count" else _sum(_shown(panel))
     if panel.agg == "none":
         kept, agg = [f"{_text(panel)} AS labels", f"{_legend(panel)} AS legend"], "value"
     else:
@@ -239,7 +243,7 @@ def _dashboard(name: str) -> str:
         ctes.append(_range(f"r_{over}_{window}", over, window, 60, _LAST, f"s_{over}_{window}"))
     selects = []
     for number, panel in members:
-        agg = "count(value)::DOUBLE" if panel.agg == "count" else f"sum({_shown(panel)})"
+        agg = "count(value)::DOUBLE" if panel.agg == "count" else _sum(_shown(panel))
         over, window = panel.call
         selects.append(
             f"SELECT {number} AS panel, {_text(panel)} AS labels, {_legend(panel)} AS legend, {_TS} AS ts, "
@@ -308,7 +312,7 @@ def _idle_beans() -> str:
   SELECT '{panel.metric}' AS metric, user_id % 5 || {kind} AS series, {_CLOCK} AS t, value AS v FROM events
   WHERE event_id % {len(fixtures.BEANS)} = {bean} AND {kind} IN ('Kafka', 'KafkaConnect', 'KafkaMirrorMaker', 'KafkaMirrorMaker2')
 ),{_range('r', panel.over, panel.window, 60, _LAST)}
-SELECT 'my-cluster-kafka-' || series[1] AS kubernetes_pod_name, {_TS} AS ts, {_round(f"sum({_shown(panel)})")} AS value
+SELECT 'my-cluster-kafka-' || series[1] AS kubernetes_pod_name, {_TS} AS ts, {_round(_sum(_shown(panel)))} AS value
 FROM r GROUP BY ALL"""
 
 
@@ -453,7 +457,7 @@ ORACLES: dict[str, str] = {
       AND ts > TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-25'""",
     "offset_table": f"""WITH {_samples(['kafka_consumergroup_current_offset'])},{_range('r', 'instant', 300, 1, _LAST, first=_LAST)}
       SELECT {_TS} AS ts, {_LABELS['exporter']['consumergroup']} AS consumergroup, {_LABELS['exporter']['partition']} AS partition,
-        {_LABELS['exporter']['topic']} AS topic, {_round('sum(value)')} AS value FROM r GROUP BY ALL
+        {_LABELS['exporter']['topic']} AS topic, {_round(_sum('value'))} AS value FROM r GROUP BY ALL
       ORDER BY topic DESC, ts, consumergroup, partition, value LIMIT 10""",
     "dashboard_exporter": _dashboard("exporter"),
     "dashboard_broker": _dashboard("broker"),

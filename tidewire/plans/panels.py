@@ -384,7 +384,7 @@ def evaluate_all(
     )
     every = reduce(DataFrame.unionByName, points).join(shown, [*ranges.SERIES, "call"])
     summed = every.groupBy("panel", "labels", "legend", "ts").agg(
-        F.sum(_by_panel(panels, _shown)).alias("total"), F.count("value").alias("series")
+        aggregates.exact_sum(_by_panel(panels, _shown)).alias("total"), F.count("value").alias("series")
     )
     counting = [n for n, p in panels if p.agg == "count"]
     value = F.when(F.col("panel").isin(counting), F.col("series").cast("double")).otherwise(F.col("total"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.headers import build_headers
+from tidewire.operators.aggregates import EXACT
 from tidewire.operators.naming import bean_text
 from tidewire.registry import EVENT_TOPIC, NOTIFICATION_TOPIC, iso_utc
 from tidewire.session import work_dir
@@ -98,7 +99,7 @@ def two_topic_records(events: DataFrame) -> DataFrame:
 
 def hourly_counters(events: DataFrame) -> DataFrame:
     """One counter per event type: the running sum of hourly values, reset every 200 hours seen."""
-    hourly = events.groupBy("event_type", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("value").alias("v"))
+    hourly = events.groupBy("event_type", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum(F.col("value").cast(EXACT)).alias("v"))
     # One row per type and hour is left, so the windows are small.
     by_type = Window.partitionBy("event_type").orderBy("ts")
     numbered = hourly.withColumn("run", F.floor((F.row_number().over(by_type) - 1) / 200))
@@ -107,7 +108,7 @@ def hourly_counters(events: DataFrame) -> DataFrame:
         F.lit("events_value_total").alias("metric"),
         F.create_map(F.lit("event_type"), F.col("event_type")).alias("labels"),
         "ts",
-        F.sum("v").over(running).alias("value"),
+        F.sum("v").over(running).cast("double").alias("value"),
     )
 
 
