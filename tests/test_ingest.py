@@ -311,10 +311,14 @@ def test_command_line_with_protobuf_and_replayable_writes(spark, folder):
     assert isinstance(cli.codec(spark, plain), JsonCodec)
     assert cli.codec(spark, coded) == ProtobufCodec(b"\x0a\x03abc")
     cli.produce(spark, cli.parse_args(["produce", "--folder", f"{folder}/r", "--count", "5"]))
-    again = cli.parse_args([*ingest_args, "--idempotent", "--rebalance"])
+    kept = ["--ledger", f"{folder}/l", "--progress", f"{folder}/p", "--at-once", "1"]
+    again = cli.parse_args([*ingest_args, "--idempotent", "--rebalance", *kept])
+    assert dict(cli.consume(spark, again).routes("consumer-Event")) == {"ok": 5}
+    # Nothing new: the totals are those of the run before.
     assert dict(cli.consume(spark, again).routes("consumer-Event")) == {"ok": 5}
     catalog = ["ingest", "--folder", "r", "--tables", "cat.events", "--checkpoints", "/c"]
-    for wrong in ([*ingest_args, "--descriptor", "d"], [*ingest_args, "--package", "a"], [*catalog, "--idempotent"]):
+    assert cli.parse_args([*catalog, "--idempotent"]).idempotent
+    for wrong in ([*ingest_args, "--descriptor", "d"], [*ingest_args, "--package", "a"], [*catalog, "--ledger", "l"]):
         with pytest.raises(SystemExit):
             cli.parse_args(wrong)
 

@@ -25,6 +25,7 @@ from tidewire.streaming import ingest
 log = logging.getLogger("tidewire")
 
 
+# The names of the commands' flags.
 def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="tidewire")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -42,15 +43,18 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     produce.add_argument("--infinite", action="store_true", help="go on until stopped; needs --checkpoints")
     consume.add_argument("--tables", required=True, help="folder for tables, or catalog and namespace")
     consume.add_argument("--starting-offsets", choices=records.STARTING, default="earliest", help="used on the first run only")
-    consume.add_argument("--idempotent", action="store_true", help="a replayed micro-batch replaces its rows; folder tables only")
+    consume.add_argument("--idempotent", action="store_true", help="a replayed micro-batch replaces its rows, or adds none to tables of a catalog, which then need columns for coordinates")
+    consume.add_argument("--ledger", help="folder where delivered offsets are kept, so that records delivered again are left out; needs --idempotent")
+    consume.add_argument("--progress", help="folder where counts of micro-batches are kept; totals then include earlier runs")
+    consume.add_argument("--at-once", type=int, help="streams that run at a time; all unless given")
     consume.add_argument("--rebalance", action="store_true", help="gather rows by day before writing, for backlogs of many days")
     args = parser.parse_args(argv)
     if not args.checkpoints and (args.command == "ingest" or args.infinite):
         parser.error("--checkpoints is required")
     if bool(args.descriptor) != bool(args.package):
         parser.error("--descriptor and --package go together")
-    if args.command == "ingest" and args.idempotent and not is_folder(args.tables):
-        parser.error("--idempotent needs folder tables")
+    if args.command == "ingest" and args.ledger and not args.idempotent:
+        parser.error("--ledger needs --idempotent")
     return args
 
 
@@ -95,16 +99,23 @@ def consume(spark: SparkSession, args: argparse.Namespace) -> ingest.Totals:
     else:
         source = records.FolderRecords(args.folder, args.starting_offsets)
     settings = ingest.IngestSettings(
-        f"{args.tables}{joint}{DLQ_TABLE}", codec(spark, args), idempotent=args.idempotent, rebalance=args.rebalance
+        f"{args.tables}{joint}{DLQ_TABLE}",
+        codec(spark, args),
+        idempotent=args.idempotent,
+        rebalance=args.rebalance,
+        ledger=args.ledger,
+        progress=args.progress,
     )
-    totals = ingest.run(spark, specs, source, settings)
+    totals = ingest.run(spark, specs, source, settings, args.at_once)
+    if args.progress:
+        totals = ingest.Totals.stored(spark, args.progress, [s.query_name for s in specs])
     for spec in specs:
         log.info("%s: %s", spec.query_name, dict(totals.routes(spec.query_name)))
     return totals
 
 
 def main(argv: list[str] | None = None) -> None:
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
+    logging.basicConfig(level="INFO", style="{", format="{asctime} {name} [{levelname}] {message}")
     args = parse_args(argv)
     spark = build_session(f"tidewire-{args.command}")
     try:

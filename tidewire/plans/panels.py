@@ -79,7 +79,6 @@ _OPERATORS = (("container", "=~", "user-operator|topic-operator|strimzi-cluster-
 
 _POD = ("kubernetes_pod_name",)
 _POD_LEGEND = "{{kubernetes_pod_name}}"
-_SERVED = "kafka_server_brokertopicmetrics_"
 
 
 def _exporter(title: str, metric: str, agg: str = "sum", matchers=_TOPIC, **more) -> Panel:
@@ -91,7 +90,7 @@ def _broker(title: str, metric: str, agg: str = "sum", matchers=_CLUSTER, **more
 
 
 def _served(title: str, metric: str, text: str = "") -> Panel:
-    return _broker(title, _SERVED + metric, matchers=_BROKER_TOPIC, over="irate", window=60, legend=text)
+    return _broker(title, metric, matchers=_BROKER_TOPIC, over="irate", window=60, legend=text)
 
 
 def _per_pod(title: str, metric: str, matchers=_BROKER, **more) -> Panel:
@@ -103,7 +102,7 @@ def _resources(title: str, kind: str) -> Panel:
 
 
 def _reconciled(title: str, metric: str, **more) -> Panel:
-    return Panel("operators", title, "strimzi_reconciliations_" + metric, "sum", by=("kind",), legend="{{kind}}", **more)
+    return Panel("operators", title, metric, "sum", by=("kind",), legend="{{kind}}", **more)
 
 
 def _operator(title: str, metric: str, **more) -> Panel:
@@ -179,17 +178,17 @@ PANELS: tuple[Panel, ...] = (
     _per_pod("JVM GC Time", "jvm_gc_collection_seconds_sum", _JVM, **_RATE_5M),
     _per_pod("JVM GC Count", "jvm_gc_collection_seconds_count", _JVM, **_RATE_5M),
     _per_pod("JVM Thread Count", "jvm_threads_current", _JVM),
-    _served("Total Incoming Byte Rate", "bytesin_total"),
-    _served("Total Outgoing Byte Rate", "bytesout_total"),
-    _served("Incoming Messages Rate", "messagesin_total"),
-    _served("Total Produce Request Rate", "totalproducerequests_total"),
-    _served("Byte Rate", "bytesin_total", "Total Incoming Byte Rate"),
-    _served("Byte Rate", "bytesout_total", "Total Outgoing Byte Rate"),
-    _served("Messages In Per Second", "messagesin_total", "Total Incoming Messages Rate"),
-    _served("Produce Request Rate", "totalproducerequests_total", "Total Produce Request Rate"),
-    _served("Produce Request Rate", "failedproducerequests_total", "Failed Produce Request Rate"),
-    _served("Fetch Request Rate", "totalfetchrequests_total", "Fetch Request Rate"),
-    _served("Fetch Request Rate", "failedfetchrequests_total", "Failed Fetch Request Rate"),
+    _served("Total Incoming Byte Rate", "kafka_server_brokertopicmetrics_bytesin_total"),
+    _served("Total Outgoing Byte Rate", "kafka_server_brokertopicmetrics_bytesout_total"),
+    _served("Incoming Messages Rate", "kafka_server_brokertopicmetrics_messagesin_total"),
+    _served("Total Produce Request Rate", "kafka_server_brokertopicmetrics_totalproducerequests_total"),
+    _served("Byte Rate", "kafka_server_brokertopicmetrics_bytesin_total", "Total Incoming Byte Rate"),
+    _served("Byte Rate", "kafka_server_brokertopicmetrics_bytesout_total", "Total Outgoing Byte Rate"),
+    _served("Messages In Per Second", "kafka_server_brokertopicmetrics_messagesin_total", "Total Incoming Messages Rate"),
+    _served("Produce Request Rate", "kafka_server_brokertopicmetrics_totalproducerequests_total", "Total Produce Request Rate"),
+    _served("Produce Request Rate", "kafka_server_brokertopicmetrics_failedproducerequests_total", "Failed Produce Request Rate"),
+    _served("Fetch Request Rate", "kafka_server_brokertopicmetrics_totalfetchrequests_total", "Fetch Request Rate"),
+    _served("Fetch Request Rate", "kafka_server_brokertopicmetrics_failedfetchrequests_total", "Failed Fetch Request Rate"),
     _per_pod("Network Processor Avg Idle Percent", "kafka_network_socketserver_networkprocessoravgidle_percent", factor=100.0),
     _per_pod(
         "Request Handler Avg Idle Percent", "kafka_server_kafkarequesthandlerpool_requesthandleravgidle_percent",
@@ -211,12 +210,12 @@ PANELS: tuple[Panel, ...] = (
     _resources("Bridge CRs", "KafkaBridge"),
     _resources("Connector CRs", "KafkaConnector"),
     _resources("Rebalance CRs", "KafkaRebalance"),
-    _reconciled("Successful Reconciliation per hour", "successful_total", **_HOUR),
-    _reconciled("Failed Reconciliation per hour", "failed_total", **_HOUR),
-    _reconciled("Reconciliation without Lock per hour", "locked_total", **_HOUR),
-    _reconciled("Started Reconciliation per hour", "total", **_HOUR),
-    _reconciled("Periodical Reconciliation per hour", "periodical_total", **_HOUR),
-    _reconciled("Maximum reconciliation time", "duration_seconds_max"),
+    _reconciled("Successful Reconciliation per hour", "strimzi_reconciliations_successful_total", **_HOUR),
+    _reconciled("Failed Reconciliation per hour", "strimzi_reconciliations_failed_total", **_HOUR),
+    _reconciled("Reconciliation without Lock per hour", "strimzi_reconciliations_locked_total", **_HOUR),
+    _reconciled("Started Reconciliation per hour", "strimzi_reconciliations_total", **_HOUR),
+    _reconciled("Periodical Reconciliation per hour", "strimzi_reconciliations_periodical_total", **_HOUR),
+    _reconciled("Maximum reconciliation time", "strimzi_reconciliations_duration_seconds_max"),
     _operator("JVM Memory Used", "jvm_memory_used_bytes"),
     _operator("JVM GC Time", "jvm_gc_pause_seconds_sum", **_RATE_5M),
     _operator("JVM GC Count", "jvm_gc_pause_seconds_count", **_RATE_5M),

@@ -6,6 +6,7 @@ read back, so a query takes the way a job would take.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -28,7 +29,7 @@ from tidewire.registry import (
     StreamSpec,
     sample_registry,
 )
-from tidewire.session import work_dir
+from tidewire.session import shared_root, work_dir
 from tidewire.sources import fixtures, generator, paths, records, samples
 from tidewire.sources import logs as log_source
 from tidewire.streaming import ingest
@@ -65,9 +66,9 @@ def record_time() -> Column:
 class Job:
     """Folders, registry and settings of one ingest job."""
 
-    def __init__(self, spark: SparkSession, topics=(EVENT_TOPIC,), purpose: str = "job", **settings):
+    def __init__(self, spark: SparkSession, topics=(EVENT_TOPIC,), purpose: str = "job", root: str | None = None, **settings):
         self.spark = spark
-        self.root = work_dir(spark, purpose)
+        self.root = root or work_dir(spark, purpose)
         self.specs = sample_registry(f"{self.root}/tables", f"{self.root}/checkpoints", topics)
         self.rejects_at = f"{self.root}/tables/{DLQ_TABLE}"
         # The test records span a month, so each write is a backfill of many days.
@@ -92,24 +93,26 @@ def _event_rows(df: DataFrame) -> DataFrame:
     return df.select("id", "datetime", "schema_name", text("rawdata"))
 
 
-_lakes: dict[tuple, Job] = {}
+def _shared(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, bool]:
+    """Where queries of one session that read the same tables find them, and whether they are there."""
+    told = hashlib.md5(f"{spark.sparkContext.applicationId} {sf_dir}".encode()).hexdigest()[:12]
+    root = f"{shared_root(spark)}/tidewire/shared-{told}-{name}"
+    return root, paths.exists(spark, f"{root}/whole")
 
 
 def lake(spark: SparkSession, sf_dir: str, kind: str) -> Job:
     """Tables that the reports share: written once per session and test folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _lakes:
+    root, there = _shared(spark, sf_dir, kind)
+    topics = (EVENT_TOPIC,) if kind == "faulty" else (EVENT_TOPIC, NOTIFICATION_TOPIC)
+    job = Job(spark, topics, root=root)
+    if not there:
+        paths.drop_dir(spark, root)
         events = fixtures.events(spark, sf_dir)
-        if kind == "faulty":
-            job = Job(spark, purpose="lake")
-            ingest.ingest_batch(fixtures.faulty_records(events), job.specs[0], job.settings)
-        else:
-            job = Job(spark, (EVENT_TOPIC, NOTIFICATION_TOPIC), "lake")
-            rows = fixtures.two_topic_records(events)
-            for spec in job.specs:
-                ingest.ingest_batch(rows.where(F.col("topic") == spec.topic), spec, job.settings)
-        _lakes[key] = job
-    return _lakes[key]
+        rows = fixtures.faulty_records(events) if kind == "faulty" else fixtures.two_topic_records(events)
+        for spec in job.specs:
+            ingest.ingest_batch(rows.where(F.col("topic") == spec.topic), spec, job.settings)
+        paths.make_dir(spark, f"{root}/whole")
+    return job
 
 
 # Records, headers, decoding and routes.
@@ -400,18 +403,15 @@ def consumer_lag(spark, sf_dir):
 HOURLY = ranges.Grid(datetime(2024, 1, 1, 6), datetime(2024, 1, 31), timedelta(hours=6))
 
 
-_stores: dict[tuple, str] = {}
-
-
 def _scraped(spark: SparkSession, sf_dir: str, board: str) -> DataFrame:
     """All samples of a dashboard's targets, in a table written once per session and test folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, board)
-    if key not in _stores:
-        path = work_dir(spark, f"samples-{board}")
+    root, there = _shared(spark, sf_dir, f"samples-{board}")
+    if not there:
+        paths.drop_dir(spark, root)
         names = {p.metric for _, p in panels.dashboard(board)} | {v.metric for v in panels.VARIABLES if v.dashboard == board}
-        samples.write(fixtures.scrape_samples(fixtures.events(spark, sf_dir), board, sorted(names)), path)
-        _stores[key] = path
-    return samples.read(spark, _stores[key])
+        samples.write(fixtures.scrape_samples(fixtures.events(spark, sf_dir), board, sorted(names)), f"{root}/samples")
+        paths.make_dir(spark, f"{root}/whole")
+    return samples.read(spark, f"{root}/samples")
 
 
 def _scrape_end(spark: SparkSession, sf_dir: str) -> datetime:

@@ -273,18 +273,19 @@ def _starts(listed: DataFrame, heads: DataFrame, before: DataFrame) -> DataFrame
 
 
 def write_streams(logs: DataFrame, target: str, prefix: str = "", run: int | None = None) -> None:
-    """Append logs, one folder per day, namespace and pod; ``log_stream`` names the stream.
+    """Append logs, one folder per day and namespace; ``log_stream`` names the stream.
 
-    Busy pods are split over several files and quiet ones gathered. With ``run``
-    each run has partitions of its own, which it replaces when it is done again.
+    Pods come and go, so a folder for each would leave very many small files. Their lines lie
+    together in the files instead, and a scan for one pod passes over the row groups of others.
+    With ``run`` each run has partitions of its own, which it replaces when it is done again.
     """
     named = logs.withColumn("log_stream", F.concat(F.lit(prefix), F.regexp_extract("path", r"([^/]+?)(\.log)?$", 1)))
-    named = named.withColumn("day", F.to_date("ts"))
-    keys = ["day", "namespace", "pod_name"]
-    named = named.hint("rebalance", *map(F.col, keys))
+    keys = ["day", "namespace"]
+    named = named.withColumn("day", F.to_date("ts")).hint("rebalance", *map(F.col, keys))
+    if run is not None:
+        named, keys = named.withColumn("run", F.lit(run)), [*keys, "run"]
+    rows = named.sortWithinPartitions(*keys, "pod_name", "log_stream", "ts").write.partitionBy(*keys)
     if run is None:
-        named.write.mode("append").partitionBy(*keys).parquet(target)
-        return
-    named.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *keys, "run"
-    ).parquet(target)
+        rows.mode("append").parquet(target)
+    else:
+        rows.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
