@@ -1,5 +1,9 @@
+import math
+import random
 import re
+import time
 
+import pytest
 from llm_helpers import real_docs, rows_of
 
 from tidewire.llm.sanitise import find_personal, sanitise
@@ -100,12 +104,63 @@ def test_telling_terms_are_reported_in_all_texts(work):
     # Beyond any window, at every place, and in the text without the address; what overlaps an address is none.
     assert terms[0] == ["filler"] * 40 + ["Zorblax0", "met", "Quimby", "QUIMBY"]
     assert terms[20] == ["Quimby"] and terms[21] == []
-    # Two documents are too few at 0.9, and judged, not left out, below it.
-    assert terms[321] == [] and found(disclosure=0.85)[321] == ["Pair", "pair"]
+    # Two documents are enough, and are judged like others where they weigh less.
+    assert terms[321] == ["Pair", "pair"] and found(prior=0.3)[321] == []
+    assert found(prior=0.3, disclosure=0.85)[321] == ["Pair", "pair"]
     cleaned = {r["doc_id"]: r["text"] for r in sanitise(docs, remove_at=2.0).collect()}
     assert cleaned[20] == "[NAME] alone, far from [EMAIL]"
 
 
+def telling(rows, disclosure=0.9, prior=0.2):
+    """Every pair of an address and a term, counted and judged one by one."""
+    docs = [(set(re.findall(r"[a-z0-9]+@[a-z.]+", t)), {w.lower() for w in re.findall(r"[^\W_]{3,}", re.sub(r"[a-z0-9]+@[a-z.]+", " ", t))}) for t in rows]
+    out = set()
+    for e in set().union(*[d[0] for d in docs]):
+        ne = sum(e in d[0] for d in docs)
+        for t in set().union(*[d[1] for d in docs if e in d[0]]):
+            nt, both = sum(t in d[1] for d in docs), sum(e in d[0] and t in d[1] for d in docs)
+            share = math.log(both * len(docs) / (nt * ne)) / math.log(len(docs) / ne) * both / (both + prior)
+            if share >= disclosure:
+                out.add(t)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_telling_terms_equal_brute_force(work, seed):
+    pick = random.Random(seed)
+    words = [f"word{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        text = pick.choices(words, [1 / (k + 1) for k in range(200)], k=pick.randint(3, 12))
+        if i % 4 == 0:
+            who = pick.randint(0, 30)
+            text += [f"user{who}@mail.example"] + ([f"Nick{who}"] if pick.random() < 0.9 else [])
+        pick.shuffle(text)
+        rows.append(" ".join(text))
+    docs = work.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    expected = telling(rows)
+    got = set()
+    for r in find_personal(docs).collect():
+        told = {rows[r["doc_id"]][s["start"] : s["end"]].lower() for s in r["spans"] if s["kind"] == "term"}
+        assert told == expected & set(re.findall(r"[^\W_]{3,}", re.sub(r"[a-z0-9]+@[a-z.]+", " ", rows[r["doc_id"]]).lower()))
+        got |= told
+    assert got == expected and len(expected) > 5
+
+
+def test_real_texts_have_telling_terms(work):
+    docs = real_docs(work, "/root/testdata/sf0.1")
+    found = find_personal(docs).selectExpr("size(filter(spans, s -> s.kind = 'term')) AS n", "size(base) AS base")
+    terms, clean = found.selectExpr("sum(n)", "sum(if(base = 0, n, 0))").first()
+    assert terms > 0 and clean == 0
+
+
+def test_many_addresses_in_one_text_take_little_time(work):
+    text = " ".join(f"to m{k}@x{k}.example" for k in range(16_000))
+    begin = time.perf_counter()
+    (row,) = find_personal(work.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sum(s["kind"] == "email" for s in row["base"]) == 16_000 and time.perf_counter() - begin < 60
+
+
 def test_plan_has_no_python(work):
     plan = find_personal(real_docs(work))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

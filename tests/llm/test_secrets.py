@@ -81,7 +81,8 @@ def test_interval_join_equals_all_pairs(work):
         want = set()
         for s in every:
             if s["kind"].startswith("weak"):
-                met = {part[o["kind"]] for o in every if abs(o["start"] - s["start"]) <= 100}
+                # The gap between the parts counts, from the end of one to the start of the other.
+                met = {part[o["kind"]] for o in every if 0 <= max(o["start"] - s["end"], s["start"] - o["end"]) <= 100}
                 need = {"who": {"what"}, "what": {"who"}, "where": {"who", "what"}}[part[s["kind"]]]
                 if need <= met:
                     want.add((s["start"], s["kind"]))

@@ -78,7 +78,7 @@ def _linked(found: DataFrame, scope: int) -> DataFrame:
     part = reduce(lambda c, kv: c.when(F.col("span.kind") == kv[0], kv[1]), _PART.items(), F)
     rows = (
         found.where(F.size("weak") > 0)
-        .select(*key, F.explode(F.array_distinct(F.concat("base", "weak"))).alias("span"))
+        .select(*key, F.explode(F.concat("base", "weak")).alias("span"))
         .distinct()
         .select(*key, "span", part.alias("part"))
     )
