@@ -258,10 +258,10 @@ def _starts(listed: DataFrame, heads: DataFrame, before: DataFrame) -> DataFrame
     unchanged = listed.join(before, "path").where(F.col("size") == F.col("position")).select(F.col("path").alias("was"))
     there = unchanged.unionAll(going_on.select("was"))
     lost = old.where(F.col("head_bytes") > 0).join(there, "was", "left_anti")
-    lengths = lost.select("head_bytes").distinct()  # as many as a head has bytes at most
-    tried = others.join(lengths, others["size"] >= lengths["head_bytes"]).withColumn(
-        "head", _head(F.col("bytes"), F.col("head_bytes"))
-    )
+    # Lengths of heads are numbers up to ``HEAD_BYTES``, mostly that one.
+    lengths = sorted(r["head_bytes"] for r in lost.select("head_bytes").distinct().collect())
+    tried = others.withColumn("head_bytes", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")))
+    tried = tried.where(F.col("size") >= F.col("head_bytes")).withColumn("head", _head(F.col("bytes"), F.col("head_bytes")))
     met = tried.join(lost, ["head_bytes", "head"]).where(F.col("size") >= F.col("position"))
     # One name for each file, and one file for each name.
     named = met.groupBy("was").agg(F.min("path").alias("path"), F.first("position").alias("position"))
