@@ -9,7 +9,7 @@ from tidewire.functions.labels import label, label_text
 from tidewire.operators import aggregates, ranges, relabel
 from tidewire.plans import panels
 from tidewire.plans.queries import CHOSEN, HOURLY, QUERIES, _scrape_grid, _scraped
-from tidewire.sources import fixtures, samples
+from tidewire.sources import fixtures, paths, samples
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -202,3 +202,33 @@ def test_all_choices_are_those_of_each_variable(spark, sf):
         single = [(v.name, panels.choices(rows, v, CHOSEN)) for v in panels.VARIABLES if v.dashboard == board]
         assert got == {(name, r.value) for name, found in single for r in found.collect()}
         assert executed(panels.all_choices(rows, board, CHOSEN)).count("Scan parquet") == 1
+
+
+def test_samples_are_gathered_without_their_labels(spark, folder):
+    rows = [(n, START + timedelta(hours=n), float(n)) for n in range(40)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, value double")
+    found = fixtures.scrape_samples(events, "broker", ["a", "b_is_preferred"])
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("RebalancePartitions")[1]
+    assert "strimzi_io_cluster" not in below and "labels" not in below
+    samples.write(found, folder, gathered=True)
+    got = {(r["metric"], r["ts"], r["labels"]["partition"], r["labels"].get("topic"), r["value"]) for r in samples.read(spark, folder).collect()}
+    assert len(got) == 80
+    scrape = datetime.fromisoformat(fixtures.SCRAPE_START)
+    for n, _, value in rows:
+        at, slot = scrape + timedelta(seconds=n // 15 * 15), n % 15
+        topic = None if slot % 5 == 4 else f"topic-{slot % 5}"
+        assert ("a", at, str(slot // 5), topic, n // 15 * 500 + value) in got
+        assert ("b_is_preferred", at, str(slot // 5), topic, float(n % 2)) in got
+
+
+def test_only_metrics_asked_for_are_written(spark, folder):
+    rows = [(n, datetime(2024, 1, 1) + timedelta(hours=n), n, "view", float(n), '{"k": 1}') for n in range(40)]
+    kind = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, kind).write.parquet(f"{folder}/events.parquet")
+    first = _scraped(spark, folder, "broker", ["kafka_log_log_size"])
+    root = first.inputFiles()[0].split("/metric=")[0]
+    listed = lambda: {n for n in paths.children(spark, root) if n.startswith("metric=")}
+    assert listed() == {"metric=kafka_log_log_size"} and first.count() == 40
+    both = _scraped(spark, folder, "broker", ["kafka_log_log_size", "jvm_threads"])
+    assert listed() == {"metric=kafka_log_log_size", "metric=jvm_threads"} and both.count() == 80
+    assert _scraped(spark, folder, "broker", ["jvm_threads"]).count() == 40
