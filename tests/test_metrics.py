@@ -204,14 +204,17 @@ def test_all_choices_are_those_of_each_variable(spark, sf):
         assert executed(panels.all_choices(rows, board, CHOSEN)).count("Scan parquet") == 1
 
 
-def test_samples_are_gathered_without_their_labels(spark, folder):
+def test_samples_lie_in_chunks(spark, folder):
     rows = [(n, START + timedelta(hours=n), float(n)) for n in range(40)]
     events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, value double")
     found = fixtures.scrape_samples(events, "broker", ["a", "b_is_preferred"])
-    below = found._jdf.queryExecution().optimizedPlan().toString().split("RebalancePartitions")[1]
-    assert "strimzi_io_cluster" not in below and "labels" not in below
-    samples.write(found, folder, gathered=True)
-    got = {(r["metric"], r["ts"], r["labels"]["partition"], r["labels"].get("topic"), r["value"]) for r in samples.read(spark, folder).collect()}
+    assert found.count() == 30  # a row for each target and hour, not one for each sample
+    samples.write_chunks(found, folder)
+    table = samples.of_chunks(samples.read_chunks(spark, folder, ["a", "b_is_preferred"]))
+    # Labels are matched and hashed below the place where a chunk becomes samples.
+    chosen = executed(table.where(label("partition") == "1").select(*ranges.SERIES, "ts"))
+    assert "partition" not in chosen[: chosen.index("Generate")] and "xxhash64" not in chosen[: chosen.index("Generate")]
+    got = {(r["metric"], r["ts"], r["labels"]["partition"], r["labels"].get("topic"), r["value"]) for r in table.collect()}
     assert len(got) == 80
     scrape = datetime.fromisoformat(fixtures.SCRAPE_START)
     for n, _, value in rows:
