@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators import logs, naming
-from tidewire.sources import fixtures
+from tidewire.sources import fixtures, paths
 from tidewire.sources import logs as log_source
 from tidewire.streaming import logs as log_job
 from tidewire.streaming import metrics as metric_job
@@ -434,3 +434,9 @@ def test_first_rule_wins(spark):
 
 def test_rule_count():
     assert len(naming.BROKER_RULES) == 28 and len(naming.REBALANCER_RULES) == 1
+
+
+def test_container_files_are_few(spark, folder):
+    rows = spark.range(30_000).select(F.col("id").alias("event_id"), F.lit(0).alias("n"), F.lit("a.log").alias("name"), F.lit("x").alias("value"))
+    fixtures.write_container_files(rows, folder)
+    assert paths.children(spark, folder) == ["range=0"] and paths.children(spark, f"{folder}/range=0") == ["a.log"]
