@@ -1,8 +1,10 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from llm_helpers import real_docs, rows_of, words_of
+from pyspark.sql import functions as F
 
 from tidewire.llm import jaccard
 from tidewire.llm.components import components
@@ -97,3 +99,47 @@ def test_components_of_a_chain_and_a_hub(work):
     found = dict(rows_of(components(links)))
     assert {found[i] for i in range(100, 161)} == {100} and {found[i] for i in range(50)} == {0}
     assert rows_of(components(links.where("1 = 0"))) == []
+
+
+def test_variants_of_one_text_that_are_not_similar_make_no_pairs(work, monkeypatch):
+    pick = random.Random(8)
+    base, rows = [f"b{i}" for i in range(400)], []
+    for i in range(80):
+        # Two variants share some 70 % of their shingles, and most of their prefixes' lists.
+        w = list(base)
+        for j in pick.sample(range(400), 9):
+            w[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(w)))
+    kept, write = [], jaccard.written
+
+    def watched(df, purpose):
+        out = write(df, purpose)
+        if purpose == "pairs":
+            kept.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    docs = work.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(link_components(docs)) == brute(rows)
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(396)} for d, t in rows}
+    far = [1 for r in kept[-1].collect() if 100 * len(sets[r["a"]] & sets[r["b"]]) < 72 * len(sets[r["a"]] | sets[r["b"]])]
+    assert kept[-1].count() < 400 and not far
+
+
+def test_sketches_never_part_similar_sets(work):
+    pick = random.Random(9)
+    rows, similar = [], []
+    for n in (1, 4, 31, 33, 64, 65, 127, 129, 1000, 1030, 5000, 9000):
+        for _ in range(12):
+            base = [pick.getrandbits(63) for _ in range(n)]
+            x = set(base) | {pick.getrandbits(63) for _ in range(int(n * pick.uniform(0, 0.2)))}
+            y = set(base[: n - int(n * pick.uniform(0, 0.25))]) | {pick.getrandbits(63) for _ in range(int(n * pick.uniform(0, 0.1)))}
+            told = [jaccard.signed(jaccard._sketch(np.array(sorted(s), np.uint64))).tolist() for s in (x, y)]
+            similar.append(100 * len(x & y) >= 80 * len(x | y))
+            rows.append((len(rows), *told, len(x) + len(y)))
+    pairs = work.createDataFrame(rows, "i long, x array<long>, y array<long>, sizes long")
+    near = {r["i"] for r in pairs.where(jaccard._near("x", "y", F.col("sizes"))).select("i").collect()}
+    assert near >= {i for i, s in enumerate(similar) if s}
+    assert len(near) < len(rows)
+    unknown = pairs.withColumn("x", F.lit(None).cast("array<long>"))
+    assert unknown.where(jaccard._near("x", "y", F.col("sizes"))).count() == len(rows)

@@ -31,9 +31,13 @@ from tidewire.llm.words import U, mix, pieces, scan, signed
 WORDS = 5
 #: Similarity as a share of 100.
 LEAST = 80
-_SETS = "doc long, size int, body long, group long, last long, bits array<long>, prefix array<long>"
+_SETS = "doc long, size int, body long, group long, last long, bits array<long>, sketch array<long>, prefix array<long>"
 #: Bits that a group's prefix is summed up in.
 BITS = 1024
+#: Most bits of the sketch of a whole set; sets of more than half as many shingles are told apart less well.
+SKETCH_BITS = 1 << 12
+#: Groups of one component in a list that are held against others one by one.
+FEW = 8
 _ORDER_HIGH = U(1) << U(62)
 _PLACES = np.random.default_rng(5).integers(1, 2**63, WORDS, dtype=np.uint64) * U(2) + U(1)
 
@@ -113,6 +117,17 @@ def _listed(arrays: tuple[np.ndarray, ...]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(signed(np.concatenate(arrays))))
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """For each of some cells, at least two a shingle, whether an odd number of shingles fall into it.
+
+    Where two sets differ in a cell, at least one shingle of it is in one set only. The
+    cells are a power of two, so the halves of a sketch put together are the smaller one.
+    """
+    cells = min(SKETCH_BITS, max(64, 1 << int(2 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((mix(hashes + U(29)) % U(cells)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool)).view(U)
+
+
 def _set_rows(common: np.ndarray):
     by_hash = np.argsort(common, kind="stable")
     sorted_common = common[by_hash]
@@ -122,7 +137,7 @@ def _set_rows(common: np.ndarray):
             out: list[tuple] = []
             for doc, hashes in zip(batch.column("doc").to_pylist(), _text_sets(batch.column("text")), strict=True):
                 if not len(hashes):
-                    out.append((doc, 0, U(0), U(0), U(0), hashes, hashes))
+                    out.append((doc, 0, U(0), U(0), U(0), hashes, hashes, hashes))
                     continue
                 token = hashes >> U(2)
                 if len(common):
@@ -136,7 +151,7 @@ def _set_rows(common: np.ndarray):
                     group = mix(first + U(len(hashes)) * U(0x9E3779B97F4A7C15)).sum(dtype=U)
                 bits = np.zeros(BITS, bool)
                 bits[mix(first) % U(BITS)] = True
-                out.append((doc, len(hashes), body, group, first[-1], np.packbits(bits).view(U), first))
+                out.append((doc, len(hashes), body, group, first[-1], np.packbits(bits).view(U), _sketch(hashes), first))
             if out:
                 doc, size, body, group, last, *lists = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -148,7 +163,7 @@ def _set_rows(common: np.ndarray):
                         pa.array(signed(np.array(last, U))),
                         *map(_listed, lists),
                     ],
-                    names=["doc", "size", "body", "group", "last", "bits", "prefix"],
+                    names=["doc", "size", "body", "group", "last", "bits", "sketch", "prefix"],
                 )
 
     return rows
@@ -171,7 +186,7 @@ def _plausible(met: DataFrame, about: DataFrame) -> DataFrame:
     """Pairs of groups (x, y) that the number of their ``shared`` prefix shingles lets be similar."""
     for side in ("x", "y"):
         names = {"head": side, "size": f"{side}_size", "last": f"{side}_last"}
-        met = met.join(about.drop("bits").withColumnsRenamed(names), side)
+        met = met.join(about.drop("bits", "sketch").withColumnsRenamed(names), side)
 
     def absent(size: Column) -> Column:
         return size - F.floor((size.cast("long") * LEAST + 99) / 100) + 1 - F.col("shared")
@@ -186,6 +201,19 @@ def _bits_lacking(x: str, y: str) -> Column:
     )
 
 
+def _near(x: str, y: str, sizes: Column) -> Column:
+    """Whether sets with sketches ``x`` and ``y`` and so many shingles together may be similar; true where one is unknown."""
+
+    def like(a: str, b: str) -> Column:
+        n = F.size(b)
+        halves = F.zip_with(F.slice(a, 1, n), F.slice(a, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(a) == 2 * n, halves).otherwise(F.col(a))
+
+    cells = F.zip_with(like(x, y), like(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    differ = F.aggregate(cells, F.lit(0), lambda total, n: total + n)
+    return F.coalesce((100 + LEAST) * differ <= (100 - LEAST) * sizes, F.lit(True))
+
+
 def _hubs(lists: DataFrame) -> DataFrame:
     """(x, y, shared): groups y that share lists with a hub x of another component.
 
@@ -265,16 +293,20 @@ def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataF
     # Equal sets are one node, named by its smallest document.
     nodes = written(
         named.groupBy("body", "size").agg(
-            F.min("doc").alias("node"), *[F.first(c).alias(c) for c in ("group", "last", "bits")]
+            F.min("doc").alias("node"), *[F.first(c).alias(c) for c in ("group", "last", "bits", "sketch")]
         ),
         "nodes",
     )
     # Equal prefixes and sizes are one group, named by its smallest document too.
     groups = nodes.groupBy("group", "size").agg(
-        F.min("node").alias("head"), F.first("last").alias("last"), F.first("bits").alias("bits")
+        F.min("node").alias("head"),
+        F.first("last").alias("last"),
+        F.first("bits").alias("bits"),
+        # Several sets with one prefix have no sketch in common.
+        F.when(F.count(F.lit(1)) == 1, F.first("sketch")).alias("sketch"),
     )
     groups = written(groups, "groups")
-    about = groups.select("head", "size", "last", "bits")
+    about = groups.select("head", "size", "last", "bits", "sketch")
     heads = groups.select(F.col("head").alias("doc"), "size", "group")
     prefixes = named.select("doc", "size", "group", "prefix").join(heads, ["doc", "size", "group"], "left_semi")
     lists = prefixes.select(F.explode("prefix").alias("shingle"), F.col("doc").alias("head"))
@@ -283,6 +315,7 @@ def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataF
     shared = lists.join(ends.where(F.col("low") < F.col("high")).select("shingle"), "shingle", "left_semi")
     shared = written(_merged(written(shared.distinct(), "lists")), "lists-merged")
 
+    named_sets = nodes.select("body", "size", "node", "group")
     members = nodes.join(groups.select("group", "size", "head"), ["group", "size"]).select("node", "head")
     texts = keyed.where(F.col("doc").isNotNull())
     own = members.select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -297,7 +330,7 @@ def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataF
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         found = _verified(pairs, texts)
         tried, links = (tried.unionAll(pairs), links.unionAll(found)) if turn else (pairs, found)
-        labelled = written(_labelled(nodes, links), "nodes-labelled")
+        labelled = written(_labelled(named_sets, links), "nodes-labelled")
         by_group = labelled.join(groups.select("group", "size", "head"), ["group", "size"]).select(
             "head", "node", "component"
         )
@@ -312,25 +345,33 @@ def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataF
             break
 
     # What is left: groups of a list, or members of a group, in different components.
-    # Each pair of components in a list is joined to its smaller side first; pairs of groups
-    # whose summed-up prefixes differ too much are no rows at all.
-    tags = open_lists.groupBy("shingle", "tag").agg(F.struct(F.count(F.lit(1)).alias("n"), "tag").alias("of"))
-    crossing = tags.select("shingle", F.col("of").alias("x_of")).join(tags.select("shingle", F.col("of").alias("y_of")), "shingle")
-    crossing = crossing.where(F.col("x_of") < F.col("y_of")).select(
-        "shingle", F.col("x_of.tag").alias("x_tag"), F.col("y_of.tag").alias("y_tag")
+    # Pairs of groups whose summed-up prefixes or whole sets differ too much are no rows at all:
+    # variants of one text that are not similar share many lists, but their sketches tell them apart.
+    tags = open_lists.groupBy("shingle", "tag").agg(F.count(F.lit(1)).alias("n"))
+    told = written(open_lists.join(tags, ["shingle", "tag"]), "lists-sized").join(about, "head")
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        rows = rows if s == "x" else rows.drop("weight")
+        return rows.drop("n").withColumnsRenamed({"head": s, **{c: f"{s}_{c}" for c in ("tag", "size", "last", "bits", "sketch")}})
+
+    alike = _possible(_bits_lacking("x_bits", "y_bits"), _bits_lacking("y_bits", "x_bits")) & _near(
+        "x_sketch", "y_sketch", F.col("x_size").cast("long") + F.col("y_size")
     )
-    told = open_lists.join(about, "head")
-    x, y = (
-        (told if s == "x" else told.drop("weight")).withColumnsRenamed({"head": s, **{c: f"{s}_{c}" for c in ("tag", "size", "last", "bits")}}) for s in ("x", "y")
+    few = told.where(F.col("n") <= FEW)
+    apart = (F.col("x") < F.col("y")) & (F.col("x_tag") != F.col("y_tag"))
+    between_few = side(few, "x").join(side(few, "y"), "shingle").where(apart & alike)
+    # A component with many groups in a list is met as a whole: a pair of components by its smaller side first.
+    of = tags.select("shingle", F.struct("n", "tag").alias("of"))
+    crossing = of.withColumnRenamed("of", "x_of").join(
+        of.where(F.col("of.n") > FEW).withColumnRenamed("of", "y_of"), "shingle"
     )
-    met = (
-        crossing.join(x, ["shingle", "x_tag"])
-        .join(y, ["shingle", "y_tag"])
-        .where(_possible(_bits_lacking("x_bits", "y_bits"), _bits_lacking("y_bits", "x_bits")))
-        # Which side is the smaller differs from list to list.
-        .groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        .agg(F.sum("weight").alias("shared"))
+    crossing = crossing.where(F.col("x_of") < F.col("y_of")).select(
+        "shingle", F.col("x_of.tag").alias("x_tag"), F.col("y_of.tag").alias("y_tag")
     )
+    with_many = crossing.join(side(told, "x"), ["shingle", "x_tag"]).join(side(told, "y"), ["shingle", "y_tag"]).where(alike)
+    met = reduce(DataFrame.unionAll, [m.select("x", "y", "weight") for m in (between_few, with_many)])
+    # Which side is the smaller differs from list to list.
+    met = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("weight").alias("shared"))
     split = kinds.where(F.col("low") < F.col("high")).select(F.col("head").alias("x"), F.col("head").alias("y"))
     pairs = (
         _plausible(met, about)
@@ -345,7 +386,7 @@ def link_components(docs: DataFrame, common: int = 24, rounds: int = 4) -> DataF
     where = named.select("doc", "body", "size").join(nodes.select("body", "size", "node"), ["body", "size"])
     ends = where.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b"))
     ties = where.select("doc", "node").join(ends.select("doc", "a"), "doc").select("a", F.col("node").alias("b"))
-    final = _labelled(nodes, links.unionAll(more).unionAll(ties.where(F.col("a") < F.col("b"))))
+    final = _labelled(named_sets, links.unionAll(more).unionAll(ties.where(F.col("a") < F.col("b"))))
     of_set = final.select(F.col("body").alias("f_body"), F.col("size").alias("f_size"), "component")
     counted = sets.select("doc", "size", "body")
     on = (F.col("body") == F.col("f_body")) & (F.col("size") == F.col("f_size")) & F.col("doc").isNotNull()
