@@ -360,3 +360,11 @@ def test_first_deliveries(spark, sf, folder, salts):
     query.awaitTermination()
     out = spark.read.parquet(f"{folder}/o")
     assert out.count() == 1000 and out.distinct().count() == 1000
+
+
+def test_each_micro_batch_has_a_file_for_each_core(spark, sf, tmp_path):
+    job = Job(spark, root=str(tmp_path))
+    source = job.send_in(fixtures.faulty_records(fixtures.events(spark, sf)), 3)
+    cores = spark.sparkContext.defaultParallelism
+    parts = list(tmp_path.glob("records/topic=*/*.parquet"))
+    assert (len(parts), source.files_per_trigger) == (3 * cores, cores)
