@@ -368,3 +368,19 @@ def test_each_micro_batch_has_a_file_for_each_core(spark, sf, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     parts = list(tmp_path.glob("records/topic=*/*.parquet"))
     assert (len(parts), source.files_per_trigger) == (3 * cores, cores)
+
+
+def test_rejects_are_decoded_once(spark, sf, tmp_path, monkeypatch):
+    job, plans, append = Job(spark, root=str(tmp_path)), [], tables.append
+
+    def watched(rows, target, *rest):
+        plans.append((target, rows._jdf.queryExecution().optimizedPlan().toString()))
+        return append(rows, target, *rest)
+
+    monkeypatch.setattr(tables, "append", watched)
+    rows = fixtures.faulty_records(fixtures.events(spark, sf))
+    totals = ingest.ingest_batch(rows, job.specs[0], job.settings)
+    plan = dict(plans)[job.rejects_at]
+    assert "CollectMetrics" in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "from_json" in line]
+    assert job.rejects().count() == sum(n for r, n in totals.routes(job.specs[0].query_name).items() if r != "ok")
