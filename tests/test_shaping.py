@@ -88,6 +88,27 @@ def test_one_message_over_ten_thousand_chunks(spark):
         assert "chunk" in spec or "group" in spec
 
 
+def test_lines_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        made.add(1)
+        return f"{n},"
+
+    rng = random.Random(1)
+    rows = [("f", rng.choice(["stdout", "stderr"]), n, n // 7, None, rng.random() < 0.6, None) for n in range(300)]
+    lines = spark.createDataFrame(rows, LINES).withColumn("log", text("line_no"))
+    joined = logs.join_partials(lines, F.col("block"), part_bytes=9).collect()
+    assert made.value == 300
+    texts = {}
+    for r in sorted(joined, key=lambda r: (r.stream, r.line_no, r.part)):
+        first, text_so_far, _ = texts.get((r.stream, r.line_no), (r.line_no, "", None))
+        texts[r.stream, r.line_no] = (first, text_so_far + r.log, r.complete)
+    written = [(*row[:6], f"{row[2]},") for row in rows]
+    assert sorted(("f", stream, *t) for (stream, _), t in texts.items()) == joined_by_hand(written)
+
+
 def test_chunks_of_line_numbers(spark):
     rows = [("f", "stdout", n, 0, None, n % 3 != 2, str(n)) for n in range(9)]
     lines = spark.createDataFrame(rows, LINES).drop("block")

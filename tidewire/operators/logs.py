@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.codec import one_json_value
 from tidewire.functions.containers import pod_of
 from tidewire.plans.tables import moment
+from tidewire.session import work_dir
 
 # Lines of one file that are put in order together, where its splits are not known.
 CHUNK_LINES = 1_000_000
@@ -24,7 +25,9 @@ PART_BYTES = 16 << 20
 _SOURCE = ["path", "stream"]
 
 
-def join_partials(lines: DataFrame, chunk: Column | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+def join_partials(
+    lines: DataFrame, chunk: Column | None = None, part_bytes: int = PART_BYTES, staged: str | None = None
+) -> DataFrame:
     """Join the pieces of each message: consecutive partial lines up to a full one.
 
     ``lines`` has ``path, stream, line_no, ts, partial, log``. The result has the line
@@ -35,85 +38,118 @@ def join_partials(lines: DataFrame, chunk: Column | None = None, part_bytes: int
 
     A file, and a message, may hold any share of all lines, so neither is put in order as a
     whole. Lines are ordered within chunks of the file: its splits where ``block`` is
-    known, else runs of line numbers. A chunk is summed up in one row: whether a message
-    ends in it, and where the message begins that is open behind it and how long it is.
-    These rows are summed up by groups, and the groups by groups; from there down each chunk
-    learns which message is open before it. Then a piece knows its message and its part
-    of it, and these are put together, each by itself.
+    known, else runs of line numbers. There the messages of the chunk are put together, and
+    all is written to ``staged``, so lines are made, shuffled and ordered once. Only the pieces at
+    the edges of a chunk may belong to messages that go beyond it. By these a chunk is summed
+    up in one row: whether a message ends in it, and where the message begins that is open
+    behind it and how long it is. These rows are summed up by groups, and the groups by groups;
+    from there down each chunk learns which message is open before it. Then a piece at an
+    edge knows its message and its part of it, and these are put together, each by itself.
     """
+    spark = lines.sparkSession
+    staged = staged or work_dir(spark, "messages")
     order = ["block", "line_no"] if "block" in lines.columns else ["line_no"]
     if chunk is None:
         in_file = F.shiftright(F.col("block").cast("long"), CHUNK_SHIFT) if "block" in lines.columns else None
         chunk = in_file if in_file is not None else F.floor(F.col("line_no") / CHUNK_LINES)
-    place = F.struct(*order).alias("place")
-    within = Window.partitionBy(*_SOURCE, "chunk").orderBy("place")
-    # Messages of a chunk are numbered by the full lines before them.
-    ends = F.sum(F.when(F.col("partial"), 0).otherwise(1)).over(within.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = (
-        lines.select(*_SOURCE, chunk.cast("long").alias("chunk"), place, "line_no", "ts", "partial", "log")
-        .withColumn("message", F.coalesce(ends, F.lit(0)))
-        .withColumn("alone", ~F.col("partial") & F.coalesce(~F.lag("partial").over(within), F.lit(False)))
-    )
-    # Most lines are a message of their own and need no grouping.
-    single = numbered.where("alone").select(
-        *_SOURCE, "line_no", "ts", "log", F.lit(True).alias("complete"), F.lit(0).cast("long").alias("part")
+    placed = lines.select(
+        *_SOURCE, chunk.cast("long").alias("chunk"), F.struct(*order).alias("place"), "line_no", "ts", "partial", "log"
     )
-    run = Window.partitionBy(*_SOURCE, "chunk", "message").orderBy("place")
-    size = F.octet_length("log").cast("long")
-    pieces = (
-        numbered.where("not alone")
-        .withColumn("start", F.first(F.struct("line_no", "ts")).over(run))
-        .withColumn("before", F.coalesce(F.sum(size).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("ended", F.max(~F.col("partial")).over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    runs = _runs(placed, part_bytes)
+    runs.write.mode("overwrite").parquet(staged)
+    held = spark.read.schema(runs.schema).parquet(staged)
+    inside = held.where("not edge").select(
+        *_SOURCE, F.col("start.line_no").alias("line_no"), F.col("start.ts").alias("ts"), "log", "complete", "part"
     )
-    carried = _open_before(_summed_up(pieces, size)).where(F.col("start").isNotNull())
+    edges = held.where("edge")
+    carried = _open_before(_summed_up(edges)).where(F.col("start").isNotNull())
     carried = carried.withColumnsRenamed({"start": "open_start", "bytes": "open_bytes"})
     # Only the head of a chunk may go on from the chunk before.
     head = (F.col("message") == 0) & F.col("open_start").isNotNull()
-    told = pieces.join(carried, [*_SOURCE, "chunk"], "left")
-    told = told.withColumns(
+    told = edges.join(carried, [*_SOURCE, "chunk"], "left").withColumn("item", F.explode("items"))
+    before = F.col("item.before") + F.when(head, F.col("open_bytes")).otherwise(0)
+    pieces = told.select(
+        *_SOURCE,
+        F.when(head, F.col("open_start")).otherwise(F.col("start")).alias("start"),
+        _part(before, part_bytes).alias("part"),
+        "chunk",
+        "item.place",
+        "item.partial",
+        "item.log",
+    )
+    return inside.unionByName(_joined(pieces))
+
+
+def _part(before: Column, part_bytes: int) -> Column:
+    return F.floor(before / part_bytes).cast("long")
+
+
+def _runs(lines: DataFrame, part_bytes: int) -> DataFrame:
+    """One row for each part of a message in a chunk, with ``log``, or with its ``items`` where it lies at an ``edge``.
+
+    At an edge are the head of a chunk and what has no last piece. ``open`` is the last row of a chunk whose
+    message goes on behind it, ``until`` how many bytes of the message are there up to the row's end.
+    """
+    # All windows go over a chunk in one order, so it is put in order once.
+    within = Window.partitionBy(*_SOURCE, "chunk").orderBy("place")
+    past, upto = (within.rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0))
+    size = F.coalesce(F.octet_length("log").cast("long"), F.lit(0))
+    # Messages of a chunk are numbered by the full lines before them.
+    ends = F.sum(F.when(F.col("partial"), 0).otherwise(1)).over(past)
+    numbered = lines.withColumns(
         {
-            "start": F.when(head, F.col("open_start")).otherwise(F.col("start")),
-            "part": F.floor((F.col("before") + F.when(head, F.col("open_bytes")).otherwise(0)) / part_bytes).cast("long"),
+            "message": F.coalesce(ends, F.lit(0)),
+            "at": F.coalesce(F.sum(size).over(past), F.lit(0)),
+            "begins": F.coalesce(~F.lag("partial").over(within), F.lit(True)),
+            "final": F.lead("place").over(within).isNull(),
+        }
+    ).withColumns(
+        {
+            "start": F.last(F.when(F.col("begins"), F.struct("line_no", "ts")), ignorenulls=True).over(upto),
+            "before": F.col("at") - F.max(F.when(F.col("begins"), F.col("at"))).over(upto),
         }
     )
-    # A message that begins and ends in the chunk stays there.
-    inside = (F.col("message") > 0) & F.col("ended")
-    return (
-        single.unionByName(_joined(told.where(inside), [*_SOURCE, "chunk", "message", "part"]))
-        .unionByName(_joined(told.where(~inside), [*_SOURCE, "start", "part"]))
+    runs = numbered.groupBy(*_SOURCE, "chunk", "message", _part(F.col("before"), part_bytes).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "log", "before", "partial"))).alias("items"),
+        F.first("start").alias("start"),
+        F.max(~F.col("partial")).alias("complete"),
+        F.max(F.col("final") & F.col("partial")).alias("open"),
+        F.max(F.col("before") + size).alias("until"),
     )
+    items, edge = F.col("items"), (F.col("message") == 0) | ~F.col("complete")
+    text = F.when(F.size(items) == 1, items[0]["log"]).otherwise(_text(items))
+    rest = [*_SOURCE, "chunk", "message", "part", "start", "complete", "open", "until"]
+    return runs.select(*rest, edge.alias("edge"), F.when(~edge, text).alias("log"), F.when(edge, items).alias("items"))
+
 
+def _text(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda i: i["log"]), "")
 
-def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+
+def _joined(pieces: DataFrame) -> DataFrame:
     """Concatenate the rows of each part of a message in line order."""
-    items = F.sort_array(F.collect_list(F.struct("chunk", "place", "log")))
-    start = F.col("start") if "start" in keys else F.min("start")
-    out = rows.groupBy(*keys).agg(
-        items.alias("items"), F.max(~F.col("partial")).alias("complete"), *([] if "start" in keys else [start.alias("start")])
+    out = pieces.groupBy(*_SOURCE, "start", "part").agg(
+        F.sort_array(F.collect_list(F.struct("chunk", "place", "log"))).alias("items"), F.max(~F.col("partial")).alias("complete")
     )
     return out.select(
         *_SOURCE,
         F.col("start.line_no").alias("line_no"),
         F.col("start.ts").alias("ts"),
-        F.array_join(F.transform("items", lambda i: i["log"]), "").alias("log"),
+        _text(F.col("items")).alias("log"),
         "complete",
         "part",
     )
 
 
-def _summed_up(pieces: DataFrame, size: Column) -> DataFrame:
+def _summed_up(edges: DataFrame) -> DataFrame:
     """One row per chunk: ``ends``, and ``start`` and ``bytes`` of the message left open, NULL and 0 without one."""
-    runs = pieces.groupBy(*_SOURCE, "chunk", "message").agg(
-        F.min("start").alias("start"), F.sum(size).alias("bytes"), F.max("ended").alias("ended")
-    )
-    chunks = runs.groupBy(*_SOURCE, "chunk").agg(
-        F.max("ended").alias("ends"), F.max(F.struct("message", "ended", "start", "bytes")).alias("last")
+    # The head of a chunk is there always, and ends if any message of it does.
+    chunks = edges.groupBy(*_SOURCE, "chunk").agg(
+        F.max((F.col("message") == 0) & F.col("complete")).alias("ends"),
+        F.max(F.when(F.col("open"), F.struct("start", "until"))).alias("last"),
     )
-    is_open = ~F.col("last.ended")
     return chunks.select(
-        *_SOURCE, "chunk", "ends", F.when(is_open, F.col("last.start")).alias("start"),
-        F.when(is_open, F.col("last.bytes")).otherwise(0).alias("bytes"),
+        *_SOURCE, "chunk", "ends", F.col("last.start").alias("start"), F.coalesce("last.until", F.lit(0)).alias("bytes")
     )
 
 

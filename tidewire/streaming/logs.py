@@ -61,7 +61,7 @@ def collect(
         .drop("now", "part")
     )
     pieces = log_source.fields(lines).unionByName(carried)
-    joined = logs.join_partials(pieces, F.floor(F.col("line_no") / CHUNK_BYTES))
+    joined = logs.join_partials(pieces, F.floor(F.col("line_no") / CHUNK_BYTES), staged=f"{now}/pieces")
     joined.select(*_table(spark, _MESSAGES, None).columns).write.mode("overwrite").parquet(f"{now}/messages")
     messages = _table(spark, _MESSAGES, f"{now}/messages")
     # A message is finished with the row that has its last piece; only long ones have others.
