@@ -172,6 +172,16 @@ def test_sample_table_prunes_metric_and_day(spark, folder):
     assert sorted(r.value for r in found.collect()) == [4.0, 5.0]
 
 
+def test_metrics_are_read_from_their_folders(spark, folder):
+    frame = sample_frame(spark, [({"a": "1"}, [(0, 1), (86400, 2)])])
+    samples.write(frame.unionByName(frame.withColumn("metric", F.lit("n"))), folder)
+    found = samples.read(spark, folder, ["n", "absent"])
+    assert {r.metric for r in found.collect()} == {"n"} and found.columns == samples.read(spark, folder).columns
+    assert len(found.inputFiles()) == 2 and all("/metric=n/" in f for f in found.inputFiles())
+    none = samples.read(spark, folder, ["absent"])
+    assert none.count() == 0 and none.schema == samples.read(spark, folder).schema
+
+
 def test_scan_without_a_matching_target(spark):
     frame = sample_frame(spark, [({"a": "1"}, [(0, 1)])])
     assert samples.scan(frame, targets={"a": ["2"]}).count() == 0

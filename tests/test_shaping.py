@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import logs, naming
+from tidewire.operators import logs, naming, relabel
 from tidewire.sources import fixtures, paths
 from tidewire.sources import logs as log_source
 from tidewire.streaming import logs as log_job
@@ -363,6 +363,36 @@ def test_target_labels_come_before_those_of_beans(spark):
     assert metric_job.sampled(other).count() == 0
 
 
+def test_targets_are_relabelled_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    row_by_row = relabel.relabel_pods
+
+    @F.udf("map<string,string>")
+    def counted(labels):
+        made.add(1)
+        return labels
+
+    def relabelled(df, **settings):
+        return row_by_row(df.withColumn("labels", counted("labels")), **settings)
+
+    kind = "__meta_kubernetes_pod_label_strimzi_io_kind"
+    held = [
+        {kind: "Kafka", "__meta_kubernetes_pod_name": "a", "x": "1"}, {"x": "1", kind: "Kafka", "__meta_kubernetes_pod_name": "a"},
+        {kind: "KafkaConnect", "x": None}, {kind: "KafkaConnect", "y": None}, {kind: "Pod"}, {kind: None}, {}, None,
+    ]
+    bean = "kafka.server<type=BrokerTopicMetrics, name=BytesInPerSec, topic=a><>Count"
+    rows = [(bean, held[n % len(held)], n, float(n)) for n in range(400)]
+    df = spark.createDataFrame(rows, "bean string, labels map<string,string>, n long, value double")
+    df = df.withColumn("ts", F.timestamp_seconds("n")).drop("n")
+    plain = row_by_row(df, drop_meta=True).where(F.col("labels")["strimzi_io_kind"].isin("Kafka", "KafkaConnect")).collect()
+    expected = sorted((r.value, sorted({"topic": "a", **r.labels}.items(), key=str)) for r in plain)
+    monkeypatch.setattr(relabel, "relabel_pods", relabelled)
+    got = metric_job.sampled(df).collect()
+    assert sorted((r.value, sorted(r.labels.items(), key=str)) for r in got) == expected and len(got) == 200
+    # Once for each distinct map, in every place where the plan makes use of them.
+    assert 0 < made.value < 100
+
+
 BEANS = [
     ("java.lang<type=Memory><HeapMemoryUsage>used", "jvm_memory_bytes_used", {"area": "heap"}, "GAUGE"),
     ("java.lang<type=Memory><NonHeapMemoryUsage>max", "jvm_memory_bytes_max", {"area": "nonheap"}, "GAUGE"),
