@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm.topk import shard_top, top_k
+from tidewire.llm.topk import _grid, shard_top, top_k
 
 
 def brute(rows, asks, k=5):
@@ -60,3 +60,36 @@ def test_probing_drops_vectors_early_and_stays_exact():
         exact[q] = -np.inf
         best = np.lexsort((ids, -exact))[:5]
         assert found.tolist() == best.tolist() and scores.tolist() == exact[best].tolist()
+
+
+def test_parts_of_queries_and_shards_are_merged(work):
+    pick = np.random.default_rng(11)
+    rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(np.round(pick.normal(0, 0.2, (400, 6)), 1))]
+    rows += [(i, v[::-1]) for i, v in rows[:40]] + rows[40:80]  # ids with two vectors, rows that come twice
+    rows += [(500, [0.5] * 9), (510, []), (520, [90.0, -3e4]), (530, [1.0])]  # of other lengths, beyond two bytes
+    df = work.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = answer(top_k(df, F.col("vec_id") % 10 == 0, block_rows=16, query_bytes=1500, shard_bytes=9000))
+    assert got == brute(rows, lambda q: q % 10 == 0)
+
+
+def test_copies_of_queries_are_never_broadcast(work):
+    rows = [(i, [0.25 * (i % 7), 0.5]) for i in range(300)]
+    df = work.createDataFrame(rows, "vec_id long, embedding array<float>")
+    before = work.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    work.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        found = top_k(df, F.col("vec_id") % 50 == 0)
+        got = answer(found.select("*"))
+        found.collect()
+    finally:
+        work.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute(rows, lambda q: q % 50 == 0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows, queries", [(100, 2), (51_282, 1026), (10**6, 10**6), (15 * 10**6, 300_000), (10**9, 10), (0, 0)])
+def test_tasks_are_bounded_and_copies_few(rows, queries):
+    down, across = _grid(72 * rows, 72 * queries, queries, 10_000, 256 << 20, 64 << 20)
+    assert 8 * 72 * queries <= down * (64 << 20) and 8 * 72 * rows <= across * (256 << 20)
+    needed = -(-8 * 72 * queries // (64 << 20)) * rows + -(-8 * 72 * rows // (256 << 20)) * queries
+    assert down * rows + across * queries <= max(10 * rows, 2 * needed + rows + queries)
